@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import simhash, substring_dedup
 from .common import read
 
 
@@ -12,5 +12,9 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup,)}
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op5_simhash_groups)}
 SQL: dict[str, str] = {}
