@@ -142,7 +142,7 @@ def _search(batches):
         us, vs = [], []
         node = np.repeat(np.arange(len(starts)), sizes)
         small = np.repeat(sizes <= FAN, sizes)
-        for step in range(1, FAN):
+        for step in range(1, min(FAN, len(fp))):
             i = np.flatnonzero(small[: len(fp) - step] & (node[: len(fp) - step] == node[step:]))
             i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= RADIUS]
             us.append(fp[i])
