@@ -39,9 +39,9 @@ class Work:
         return f"{self.root}/{table}"
 
     def save(self, df: DataFrame, table: str) -> DataFrame:
+        self.release()
         df.write.option("compression", "zstd").parquet(self.path(table))
         out = self.spark.read.schema(df.schema).parquet(self.path(table))
-        self.release()
         return out
 
     def drop(self, table: str) -> None:
@@ -59,10 +59,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def row_key(text: str = "text", doc_id: str = "doc_id") -> list[Column]:
-    """(doc_id, text hash): names a row even where ids repeat; a null id sorts last."""
+    """(doc_id, 31-bit text hash): names a row even where ids repeat; a null id sorts last."""
     return [
         F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("_llm_id"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_llm_tk"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("long").alias("_llm_tk"),
     ]
 
 
@@ -94,7 +94,7 @@ def numbers(column, null: int = 0) -> np.ndarray:
 
 def pack(**arrays: np.ndarray) -> bytes:
     """Arrays as one compressed Arrow stream."""
-    batch = pa.record_batch({k: pa.array(v) for k, v in arrays.items()})
+    batch = pa.record_batch({k: pa.array(v, pa.binary()) if v.dtype == object else pa.array(v) for k, v in arrays.items()})
     sink = io.BytesIO()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_batch(batch)
@@ -103,7 +103,7 @@ def pack(**arrays: np.ndarray) -> bytes:
 
 def unpack(blob) -> dict[str, np.ndarray]:
     table = pa.ipc.open_stream(blob).read_all()
-    return {k: table[k].to_numpy() for k in table.column_names}
+    return {k: table[k].to_numpy() for k in table.column_names}  # binary columns become arrays of objects
 
 
 def bucket_rows(kind: int, buckets: np.ndarray, arrays: dict[str, np.ndarray]):

@@ -1,17 +1,16 @@
 """Exact 50-byte substring dedup by prefix-free parsing.
 
 Parsing.  Each window of ``SPAN`` bytes picks the 16-byte gram in it with the
-smallest hash, its anchor; consecutive windows with one anchor form a run.  Runs
-whose anchor hash is 0 modulo ``TRIGGER`` start a phrase, so phrases depend on
-nearby bytes only.  A phrase is extended by SPAN-1 bytes, so every window that
-starts in it lies in it whole: equal extended phrases have equal windows, and no
-extended phrase needs its neighbours (the prefix-free property).
+smallest rolling hash, its trigger; consecutive windows with one trigger form a
+phrase.  Phrases depend on nearby bytes only.  A phrase is extended by SPAN-1 bytes,
+so every window that starts in it lies in it whole: equal extended phrases have
+equal windows and need no neighbours (the prefix-free property).
 
-Dictionary and parse.  The first pass ships (phrase hash, document): a phrase
+Dictionary and parse.  The first pass ships (trigger, phrase, document): a phrase
 that also occurs in a document with a smaller id is removed whole.  What is left,
-one owner document for each distinct phrase, is the dictionary.  Windows that two
-different dictionary phrases share must share an anchor too, so only runs whose
-anchor occurs under two phrases go on.
+one owner document for each distinct phrase, is the dictionary.  A window that two
+different dictionary phrases share has the same trigger in both, so only phrases
+whose trigger stands under two or more of them go on.
 
 Suffix order.  The second pass ranks the dictionary suffixes that are left by
 their first SPAN bytes.  Ranks are made by prefix doubling (1, 2, 4, ... bytes),
@@ -19,11 +18,12 @@ with hashed names in place of dense ones so that tasks need not agree on them;
 sorting the ranks brings equal suffixes together, and the smallest document of
 each class is its first place in corpus order.
 
-Scale.  Entries travel as compressed blobs by hash bucket.  Before anything is
-shipped, a task keeps only the smallest document of each phrase or window it has
-seen and at most two phrases of an anchor; the rest is settled in place, so a
-passage in a third of all documents costs one entry for each task.  Nothing
-is collected, and every step that follows a shuffle reads written tables.
+Scale.  Entries travel as compressed blobs by hash bucket, answers by document
+bucket.  Before anything is shipped, a task keeps only the smallest document of
+each phrase or window it has seen and at most two phrases of a trigger; the rest is
+settled in place, so a passage in a third of all documents costs one entry for
+each task.  Nothing is collected, and every step that follows a shuffle reads
+written tables.
 
 Cases.  Null text counts as empty; texts under SPAN bytes are kept whole; rows
 with the same id never remove each other's bytes; a null id counts as the
@@ -36,14 +36,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOBS, Work, bucket_rows, by_bucket, exchange, mix, numbers, pack, partitions, ranges, row_key, run_starts, slabs, text_column, unpack
+from .common import BLOBS, Work, bucket_rows, by_bucket, exchange, mix, numbers, pack, partitions, ranges, row_key, run_starts, slabs, text_column
 
-SPAN, GRAM, TRIGGER = 50, 16, 8
+SPAN, GRAM = 50, 16
 FLUSH = 600_000
-PHRASE, ANCHOR, SETTLED, WINDOW = 0, 1, 2, 3
+PHRASE, WINDOW, SETTLED = 0, 1, 2
 REMOVED, CANDIDATE = 0, 1
 
 _U = np.uint64
@@ -73,8 +74,8 @@ def window_hashes(data: np.ndarray) -> np.ndarray:
     return _join(_join(names[32][:n], names[16][32 : 32 + n], 5), names[2][48 : 48 + n], 4)
 
 
-def anchor_runs(data: np.ndarray, ends: np.ndarray):
-    """Runs of windows with one anchor: first window, one past the last, anchor hash, document.
+def phrases(data: np.ndarray, ends: np.ndarray):
+    """Phrases: first window, one past the last, trigger hash, document.
 
     ends: end of each document in data.  Windows that cross an end are left out.
     """
@@ -99,29 +100,6 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray):
     return windows[first], windows[last] + 1, grams[place[windows[first]]], doc[first]
 
 
-def phrase_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit hash of data[start:end] for each extended phrase."""
-    import xxhash
-
-    raw = data.tobytes()
-    names = [xxhash.xxh3_128_digest(raw[s:e]) for s, e in zip(start.tolist(), end.tolist())]
-    both = np.frombuffer(b"".join(names), np.uint64).reshape(-1, 2)
-    return both[:, 0].copy(), both[:, 1].copy()
-
-
-def _marks(doc, tk, kind, a, b) -> pa.RecordBatch:
-    kinds = np.broadcast_to(np.int32(kind), np.shape(doc))
-    return pa.record_batch([pa.array(np.asarray(x, t)) for x, t in ((doc, np.int64), (tk, np.int64), (kinds, np.int32), (a, np.int32), (b, np.int32))], names=["_llm_id", "_llm_tk", "kind", "a", "b"])
-
-
-MARKS = "_llm_id long, _llm_tk long, kind int, a int, b int"
-
-
-def _rows(rows) -> pa.RecordBatch:
-    rows = list(rows)
-    return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["kind", "bucket", "blob"])
-
-
 class _Held:
     """Entry arrays gathered until there are enough for one flush."""
 
@@ -138,6 +116,11 @@ class _Held:
         return out
 
 
+def _rows(rows) -> pa.RecordBatch:
+    rows = list(rows)
+    return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["kind", "bucket", "blob"])
+
+
 def _smallest(doc: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by the keys, and for each place of that order the smallest document of its class."""
     order = np.lexsort(keys[::-1])
@@ -146,134 +129,141 @@ def _smallest(doc: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, np.repeat(least, np.diff(np.append(starts, len(order))))
 
 
+def _at(e: dict, where: np.ndarray) -> dict:
+    return {k: v[where] for k, v in e.items()}
+
+
+def _answer(buckets: int, kind: int, e: dict):
+    """Ranges of places (doc, tk, a, n) as blobs by document."""
+    if len(e["doc"]):
+        by = (mix(e["doc"].view(np.uint64) ^ e["tk"].astype(np.uint64)) % _U(buckets)).astype(np.int32)
+        yield from bucket_rows(kind, by, {k: e[k] for k in ("doc", "tk", "a", "n")})
+
+
+def _settled(buckets: int, kind: int, e: dict):
+    """As _answer, but on the way of the entries: the blob that holds an answer goes through as it is."""
+    for _, bucket, blob in _answer(buckets, kind, e):
+        yield SETTLED, bucket, pack(kind=np.array([kind], np.int32), bucket=np.array([bucket], np.int32), blob=np.array([blob], object))
+
+
+def _shared(h: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For entries sorted by (h, name): number of names of h, less one, and rank of the name in h."""
+    group = run_starts(h)
+    sizes = np.diff(np.append(group, len(h)))
+    rank = np.zeros(len(h), np.int64)
+    rank[run_starts(h, name)] = 1
+    rank = np.cumsum(rank)
+    rank -= np.repeat(rank[group], sizes)
+    return np.repeat(rank[np.append(group[1:], len(h)) - 1], sizes), rank
+
+
 def _parse(buckets: int):
-    def flush(phrases: _Held, runs: _Held):
-        p = phrases.take()
-        order, least = _smallest(p["doc"], p["h1"], p["h2"])
-        p = {k: v[order] for k, v in p.items()}
-        later = p["doc"] > least
-        # the marks of documents that hold an earlier document's phrase are settled here
-        if later.any():
-            yield SETTLED, {"doc": p["doc"][later], "tk": p["tk"][later], "kind": np.zeros(later.sum(), np.int32), "a": p["a"][later], "b": p["b"][later]}
-        yield PHRASE, {k: v[~later] for k, v in p.items() if k != "at"}
-        owner = np.zeros(len(order), bool)
-        owner[p["at"][~later]] = True
-        r = runs.take()
-        keep = owner[r["phrase"]]
-        r = {k: v[keep] for k, v in r.items() if k != "phrase"}
-        if not len(r["h"]):
-            return
-        order = np.lexsort((r["tag"], r["h"]))
-        r = {k: v[order] for k, v in r.items()}
-        group = run_starts(r["h"])
-        sizes = np.diff(np.append(group, len(order)))
-        tags = np.zeros(len(order), np.int64)
-        tags[run_starts(r["h"], r["tag"])] = 1
-        rank = np.cumsum(tags)
-        rank -= np.repeat(rank[group], sizes)
-        crowd = np.repeat(rank[np.append(group[1:], len(order)) - 1], sizes) >= 2
-        if crowd.any():
-            yield SETTLED, {"doc": r["doc"][crowd], "tk": r["tk"][crowd], "kind": np.ones(crowd.sum(), np.int32), "a": r["a"][crowd], "b": r["b"][crowd]}
-        # of an anchor under three phrases or more, one entry of two phrases tells other tasks enough
-        first = np.zeros(len(order), bool)
-        first[run_starts(r["h"], r["tag"])] = True
-        ship = ~crowd | (first & (rank < 2))
-        yield ANCHOR, {k: v[ship] for k, v in r.items()}
-
-    def blobs(kind, arrays, salt):
-        if kind == SETTLED:
-            b = np.full(len(arrays["doc"]), salt % buckets, np.int32)
-        elif kind == PHRASE:
-            b = (arrays["h1"] % _U(buckets)).astype(np.int32)
-        else:
-            b = (arrays["h"] % _U(buckets)).astype(np.int32)
-            arrays = arrays | {"h": (arrays["h"] >> _U(32)).astype(np.uint32)}
-        return bucket_rows(kind, b, arrays)
+    def flush(held: _Held):
+        e = held.take()
+        order, least = _smallest(e["doc"], e["h"], e["name"])
+        e = _at(e, order)
+        later = e["doc"] > least
+        yield from _settled(buckets, REMOVED, _at(e, later))
+        e = _at(e, ~later)
+        more, rank = _shared(e["h"], e["name"])
+        crowd = more >= 2
+        yield from _settled(buckets, CANDIDATE, _at(e, crowd))
+        # of a trigger with three phrases or more, two phrases tell other tasks that it is shared
+        ship = _at(e, ~crowd | (rank < 2))
+        yield from bucket_rows(PHRASE, (ship["h"] % _U(buckets)).astype(np.int32), ship | {"h": (ship["h"] >> _U(32)).astype(np.uint32)})
+        # but every phrase has to find its first document
+        rest = _at(e, crowd & (rank >= 2))
+        if len(rest["h"]):
+            yield from bucket_rows(PHRASE, (rest["h"] % _U(buckets)).astype(np.int32), rest | {"h": (rest["h"] >> _U(32)).astype(np.uint32)})
 
     def run(batches):
-        phrases, runs, salt = _Held(), _Held(), 0
+        held = _Held()
         for batch in batches:
             ids, tks = numbers(batch.column("_llm_id")), numbers(batch.column("_llm_tk"))
             for i, j, offsets, data in slabs(batch):
-                l, r, h, d = anchor_runs(data, offsets[1:])
-                if not len(l):
+                a, b, h, d = phrases(data, offsets[1:])
+                if not len(a):
                     continue
-                cut = h % _U(TRIGGER) == 0
-                cut[run_starts(d)] = True
-                first = np.flatnonzero(cut)
-                last = np.append(first[1:], len(l)) - 1
-                h1, h2 = phrase_names(data, l[first], r[last] + SPAN - 1)
-                which = np.cumsum(cut) - 1
-                base = offsets[d]
-                salt = (salt * 31 + int(h1[0] & _U(0xFFFF))) % (1 << 20)
-                at = phrases.n
-                runs.add(h=h, tag=h1[which], doc=ids[i:j][d], tk=tks[i:j][d], a=(l - base).astype(np.int32), b=(r - base).astype(np.int32), phrase=which + at)
-                phrases.add(h1=h1, h2=h2, doc=ids[i:j][d[first]], tk=tks[i:j][d[first]], a=(l - base)[first].astype(np.int32), b=(r - base)[last].astype(np.int32), at=np.arange(at, at + len(first)))
-                if runs.n >= FLUSH:
-                    for kind, arrays in flush(phrases, runs):
-                        yield _rows(blobs(kind, arrays, salt))
-        if runs.n:
-            for kind, arrays in flush(phrases, runs):
-                yield _rows(blobs(kind, arrays, salt))
+                w = window_hashes(data)
+                name = _join(w[a], w[b - 1], 0) + (b - a).astype(np.uint64)
+                held.add(h=h, name=name, doc=ids[i:j][d], tk=tks[i:j][d], a=(a - offsets[d]).astype(np.int32), n=(b - a).astype(np.uint8))
+                if held.n >= FLUSH:
+                    yield _rows(flush(held))
+        if held.n:
+            yield _rows(flush(held))
 
     return run
 
 
-def _settle(batches):
-    """Marks of one bucket: later copies of a phrase, and runs whose anchor stands under two phrases."""
-    for kind, e in by_bucket(batches):
-        if kind == SETTLED:
-            yield _marks(e["doc"], e["tk"], e["kind"], e["a"], e["b"])
-        elif kind == PHRASE:
-            order, least = _smallest(e["doc"], e["h1"], e["h2"])
-            later = order[e["doc"][order] > least]
-            yield _marks(e["doc"][later], e["tk"][later], REMOVED, e["a"][later], e["b"][later])
-        else:
-            order, least = _smallest(e["doc"], e["h"], e["tag"])
-            h, tag = e["h"][order], e["tag"][order]
-            group = run_starts(h)
-            sizes = np.diff(np.append(group, len(h)))
-            shared = np.repeat(tag[group] != tag[np.append(group[1:], len(h)) - 1], sizes)
-            go = order[shared & (e["doc"][order] == least)]
-            yield _marks(e["doc"][go], e["tk"][go], CANDIDATE, e["a"][go], e["b"][go])
+def _settle(buckets: int):
+    """Answers of one bucket: later copies of a phrase, and phrases that share their trigger."""
 
+    def run(batches):
+        for kind, e in by_bucket(batches):
+            if kind == SETTLED:
+                yield _rows(zip(e["kind"].tolist(), e["bucket"].tolist(), e["blob"]))
+                continue
+            order, least = _smallest(e["doc"], e["h"], e["name"])
+            e = _at(e, order)
+            first = e["doc"] == least
+            more, _ = _shared(e["h"], e["name"])
+            yield _rows([*_answer(buckets, REMOVED, _at(e, ~first)), *_answer(buckets, CANDIDATE, _at(e, first & (more > 0)))])
 
-def _by_doc(marks: DataFrame, kind: int, name: str) -> DataFrame:
-    return marks.where(F.col("kind") == kind).groupBy("_llm_id", "_llm_tk").agg(F.collect_list("a").alias(f"{name}a"), F.collect_list("b").alias(f"{name}b"))
+    return run
+
+
+def _ranges(batches):
+    """One row for each document of a bucket: its ranges of places, joined where they touch."""
+    for _, e in by_bucket(batches):
+        a, n = e["a"].astype(np.int64), e["n"].astype(np.int64)
+        order = np.lexsort((a, e["tk"], e["doc"]))
+        doc, tk, a, b = e["doc"][order], e["tk"][order], a[order], (a + n)[order]
+        docs = run_starts(doc, tk)
+        which = np.repeat(np.arange(len(docs)), np.diff(np.append(docs, len(doc))))
+        reach = np.maximum.accumulate(b + (which << 40)) - (which << 40)
+        new = np.ones(len(a), bool)
+        new[1:] = (which[1:] != which[:-1]) | (a[1:] > reach[:-1])
+        first = np.flatnonzero(new)
+        a, b = a[first].astype(np.int32), reach[np.append(first[1:], len(reach)) - 1].astype(np.int32)
+        at = np.append(np.searchsorted(first, docs), len(first)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (a, b)]
+        yield pa.record_batch([pa.array(doc[docs]), pa.array(tk[docs]), *lists], names=["_llm_id", "_llm_tk", "_llm_a", "_llm_b"])
+
+
+def _by_doc(answers: DataFrame, kind: int, n: int, name: str) -> DataFrame:
+    out = exchange(answers.where(F.col("kind") == kind), n).mapInArrow(_ranges, "_llm_id long, _llm_tk long, _llm_a array<int>, _llm_b array<int>")
+    return out.withColumnsRenamed({"_llm_a": f"{name}a", "_llm_b": f"{name}b"})
 
 
 def _lists(column) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    sizes = np.fromiter((0 if x is None else x for x in column.value_lengths().to_pylist()), np.int64, len(column))
-    return np.concatenate([[0], np.cumsum(sizes)]), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _windows(buckets: int):
     def flush(held: _Held):
         e = held.take()
         order, least = _smallest(e["doc"], e["h"])
-        e = {k: v[order] for k, v in e.items()}
+        e = _at(e, order)
         later = e["doc"] > least
-        if later.any():
-            yield from bucket_rows(SETTLED, np.full(int(later.sum()), int(e["h"][0] % _U(buckets)), np.int32), {k: v[later] for k, v in e.items() if k != "h"})
-        e = {k: v[~later] for k, v in e.items()}
+        yield from _settled(buckets, REMOVED, _joined(_at(e, later)))
+        e = _at(e, ~later)
         yield from bucket_rows(WINDOW, (e["h"] % _U(buckets)).astype(np.int32), e | {"h": e["h"] // _U(buckets)})
 
     def run(batches):
         held = _Held()
         for batch in batches:
             ids, tks = numbers(batch.column("_llm_id")), numbers(batch.column("_llm_tk"))
-            at_a, a = _lists(batch.column("_llm_ca"))
+            at, a = _lists(batch.column("_llm_ca"))
             _, b = _lists(batch.column("_llm_cb"))
             for i, j, offsets, data in slabs(batch):
-                s, e = at_a[i], at_a[j]
+                s, e = at[i], at[j]
                 if s == e or len(data) < SPAN:
                     continue
-                doc = np.repeat(np.arange(j - i), np.diff(at_a[i : j + 1]))
-                # a place may be marked by several tasks; doc and place in one number, once each
-                places = np.unique(ranges(a[s:e] + offsets[doc], b[s:e] - a[s:e]))
-                doc = np.searchsorted(offsets, places, "right") - 1
+                doc = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
+                places, doc = ranges(a[s:e] + offsets[doc], b[s:e] - a[s:e]), np.repeat(doc, b[s:e] - a[s:e])
                 held.add(h=window_hashes(data)[places], doc=ids[i:j][doc], tk=tks[i:j][doc], a=(places - offsets[doc]).astype(np.int32))
                 if held.n >= FLUSH:
                     yield _rows(flush(held))
@@ -283,20 +273,27 @@ def _windows(buckets: int):
     return run
 
 
-def _ranked(batches):
-    """Places whose suffix class starts in an earlier document, joined to ranges."""
-    for kind, e in by_bucket(batches):
-        if kind == WINDOW:
+def _joined(e: dict) -> dict:
+    """Single places as ranges."""
+    order = np.lexsort((e["a"], e["tk"], e["doc"]))
+    doc, tk, a = e["doc"][order], e["tk"][order], e["a"][order]
+    first = run_starts(doc, tk, a - np.arange(len(a)))
+    return {"doc": doc[first], "tk": tk[first], "a": a[first], "n": np.diff(np.append(first, len(a))).astype(np.int32)}
+
+
+def _ranked(buckets: int):
+    """Places whose suffix class starts in an earlier document."""
+
+    def run(batches):
+        for kind, e in by_bucket(batches):
+            if kind == SETTLED:
+                yield _rows(zip(e["kind"].tolist(), e["bucket"].tolist(), e["blob"]))
+                continue
             order, least = _smallest(e["doc"], e["h"])
             later = order[e["doc"][order] > least]
-            e = {k: v[later] for k, v in e.items()}
-        order = np.lexsort((e["a"], e["tk"], e["doc"]))
-        doc, tk, a = e["doc"][order], e["tk"][order], e["a"][order]
-        if not len(a):
-            continue
-        first = run_starts(doc, tk, a - np.arange(len(a)))
-        last = np.append(first[1:], len(a)) - 1
-        yield _marks(doc[first], tk[first], REMOVED, a[first], a[last] + 1)
+            yield _rows(_answer(buckets, REMOVED, _joined(_at(e, later))))
+
+    return run
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -308,13 +305,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     work, parts = Work(spark, "substring"), partitions(spark)
     buckets = 4 * parts
-    # not de-duplicated: equal rows only repeat each other's entries
     keyed = docs.select(*row_key(), F.col("text"))
-    marks = work.save(exchange(keyed.mapInArrow(_parse(buckets), BLOBS), parts).mapInArrow(_settle, MARKS), "marks")
-    candidates = _by_doc(marks, CANDIDATE, "_llm_c")
-    found = keyed.join(candidates, ["_llm_id", "_llm_tk"]).mapInArrow(_windows(buckets), BLOBS)
-    shared = work.save(exchange(found, parts).mapInArrow(_ranked, MARKS), "shared")
-    return _by_doc(marks.where(F.col("kind") == REMOVED).unionByName(shared), REMOVED, "_llm_r")
+    answers = work.save(exchange(keyed.mapInArrow(_parse(buckets), BLOBS), parts).mapInArrow(_settle(buckets), BLOBS), "answers")
+    found = keyed.join(_by_doc(answers, CANDIDATE, parts, "_llm_c"), ["_llm_id", "_llm_tk"]).mapInArrow(_windows(buckets), BLOBS)
+    shared = work.save(exchange(found, parts).mapInArrow(_ranked(buckets), BLOBS), "shared")
+    removed = work.save(_by_doc(answers.unionByName(shared), REMOVED, parts, "_llm_r"), "removed")
+    work.drop("answers")
+    work.drop("shared")
+    return removed
 
 
 def covered(length: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
