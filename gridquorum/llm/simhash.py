@@ -139,7 +139,7 @@ def _search(batches):
         mask, pattern, fp = mask[order], pattern[order], fp[order]
         starts = run_starts(mask, pattern)
         sizes = np.diff(np.append(starts, len(fp)))
-        us, vs = [], []
+        us, vs = [fp[:0]], [fp[:0]]
         node = np.repeat(np.arange(len(starts)), sizes)
         small = np.repeat(sizes <= FAN, sizes)
         for step in range(1, min(FAN, len(fp))):
