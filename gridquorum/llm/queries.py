@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, substring_dedup
+from . import simhash, substring_dedup, token_grammar
 from .common import read
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_grammar.digest(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(read(spark, sf_dir, "documents"))
 
@@ -16,5 +27,5 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op5_simhash_groups)}
+QUERIES = {f.__name__: f for f in (op1_token_grammar, op3_substring_dedup, op5_simhash_groups)}
 SQL: dict[str, str] = {}
