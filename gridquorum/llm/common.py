@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import tempfile
 import uuid
@@ -9,7 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLAB_BYTES = 2 << 20
@@ -51,19 +52,27 @@ class Work:
 
     def release(self) -> None:
         """Let Spark delete the shuffle files of steps whose tables are written."""
-        self.spark._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def row_key(text: str = "text", doc_id: str = "doc_id") -> list[Column]:
-    """(doc_id, 31-bit text hash): names a row even where ids repeat; a null id sorts last."""
-    return [
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("_llm_id"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("long").alias("_llm_tk"),
-    ]
+def named_rows(df: DataFrame, work: Work) -> DataFrame:
+    """df with _llm_id, the id as a long (null: the largest), and _llm_tk, which together name a text.
+
+    _llm_tk is 0 where all rows of an id have one text, else a 31-bit hash of the text.
+    The table of ids with several texts is joined by broadcast only if it is small.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+    tk = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("long")
+    several = df.groupBy(key.alias("_llm_id")).agg(F.min(tk).alias("a"), F.max(tk).alias("b")).where("a <> b").select("_llm_id", F.lit(True).alias("_llm_several"))
+    several = work.save(several, "several")
+    out = df.withColumn("_llm_id", key).join(several, "_llm_id", "left")
+    return out.withColumn("_llm_tk", F.when(F.col("_llm_several"), tk).otherwise(F.lit(0).cast("long"))).drop("_llm_several")
 
 
 def text_column(column) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +103,7 @@ def numbers(column, null: int = 0) -> np.ndarray:
 
 def pack(**arrays: np.ndarray) -> bytes:
     """Arrays as one compressed Arrow stream."""
-    batch = pa.record_batch({k: pa.array(v, pa.binary()) if v.dtype == object else pa.array(v) for k, v in arrays.items()})
+    batch = pa.record_batch({k: v if isinstance(v, pa.Array) else pa.array(v, pa.binary()) if v.dtype == object else pa.array(v) for k, v in arrays.items()})
     sink = io.BytesIO()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_batch(batch)
@@ -111,7 +120,7 @@ def bucket_rows(kind: int, buckets: np.ndarray, arrays: dict[str, np.ndarray]):
     order = np.argsort(buckets, kind="stable")
     found, starts = np.unique(buckets[order], return_index=True)
     ends = np.append(starts[1:], len(order))
-    arrays = {k: v[order] for k, v in arrays.items()}
+    arrays = {k: v.take(pa.array(order)) if isinstance(v, pa.Array) else v[order] for k, v in arrays.items()}
     for b, s, e in zip(found.tolist(), starts.tolist(), ends.tolist()):
         yield kind, b, pack(**{k: v[s:e] for k, v in arrays.items()})
 

@@ -20,9 +20,11 @@ each class is its first place in corpus order.
 
 Scale.  Entries travel as compressed blobs by hash bucket, answers by document
 bucket.  Before anything is shipped, a task keeps only the smallest document of
-each phrase or window it has seen and at most two phrases of a trigger; the rest is
-settled in place, so a passage in a third of all documents costs one entry for
-each task.  Nothing is collected, and every step that follows a shuffle reads
+each phrase or window it has seen; the rest is settled in place, so a passage in a third of all
+documents costs one entry for each task.  A trigger with many phrases (a common
+line among ever other words) is crowded: a task ships two of its phrases as a sign
+and its suffixes travel by their own names, each to its own place.  All other
+suffixes travel as the bytes of their phrase, by trigger.  Nothing is collected, and every step that follows a shuffle reads
 written tables.
 
 Cases.  Null text counts as empty; texts under SPAN bytes are kept whole; rows
@@ -40,12 +42,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOBS, Work, bucket_rows, by_bucket, exchange, mix, numbers, pack, partitions, ranges, row_key, run_starts, slabs, text_column
+from .common import BLOBS, Work, bucket_rows, by_bucket, exchange, mix, named_rows, numbers, pack, partitions, ranges, run_starts, slabs, text_column
 
 SPAN, GRAM = 50, 16
-FLUSH = 600_000
-PHRASE, WINDOW, SETTLED = 0, 1, 2
+FLUSH = 800_000
+#: Distinct phrases of a trigger from which it is crowded: in one flush of a task, and over all tasks.
+CROWD_HERE, CROWD = 64, 4096
+PHRASE, WINDOW, SETTLED, CONTEXT = 0, 1, 2, 3
 REMOVED, CANDIDATE = 0, 1
+#: Added to the length of a candidate phrase whose trigger is crowded.
+CROWDED = 64
 
 _U = np.uint64
 _BYTE = mix((np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95)) ^ _U(0x2545F4914F6CDD1D))
@@ -166,15 +172,12 @@ def _parse(buckets: int):
         yield from _settled(buckets, REMOVED, _at(e, later))
         e = _at(e, ~later)
         more, rank = _shared(e["h"], e["name"])
-        crowd = more >= 2
-        yield from _settled(buckets, CANDIDATE, _at(e, crowd))
-        # of a trigger with three phrases or more, two phrases tell other tasks that it is shared
+        crowd = more >= CROWD_HERE
+        hot = _at(e, crowd)
+        yield from _settled(buckets, CANDIDATE, hot | {"n": hot["n"] + np.uint8(CROWDED)})
+        e["n"] = np.where(crowd, e["n"] + np.uint8(CROWDED), e["n"])
         ship = _at(e, ~crowd | (rank < 2))
         yield from bucket_rows(PHRASE, (ship["h"] % _U(buckets)).astype(np.int32), ship | {"h": (ship["h"] >> _U(32)).astype(np.uint32)})
-        # but every phrase has to find its first document
-        rest = _at(e, crowd & (rank >= 2))
-        if len(rest["h"]):
-            yield from bucket_rows(PHRASE, (rest["h"] % _U(buckets)).astype(np.int32), rest | {"h": (rest["h"] >> _U(32)).astype(np.uint32)})
 
     def run(batches):
         held = _Held()
@@ -205,33 +208,51 @@ def _settle(buckets: int):
                 continue
             order, least = _smallest(e["doc"], e["h"], e["name"])
             e = _at(e, order)
-            first = e["doc"] == least
+            group = run_starts(e["h"])
+            sizes = np.diff(np.append(group, len(order)))
             more, _ = _shared(e["h"], e["name"])
-            yield _rows([*_answer(buckets, REMOVED, _at(e, ~first)), *_answer(buckets, CANDIDATE, _at(e, first & (more > 0)))])
+            sign = e["n"] >= CROWDED
+            hot = np.repeat(np.logical_or.reduceat(sign, group), sizes) | (more >= CROWD)
+            e["n"] = np.where(sign, e["n"] - np.uint8(CROWDED), e["n"])
+            first = e["doc"] == least
+            go = first & ((more > 0) | hot)
+            flagged = np.where(hot, e["n"] + np.uint8(CROWDED), e["n"])
+            yield _rows([*_answer(buckets, REMOVED, _at(e, ~first)), *_answer(buckets, CANDIDATE, _at(e | {"n": flagged}, go))])
 
     return run
 
 
-def _ranges(batches):
-    """One row for each document of a bucket: its ranges of places, joined where they touch."""
-    for _, e in by_bucket(batches):
-        a, n = e["a"].astype(np.int64), e["n"].astype(np.int64)
-        order = np.lexsort((a, e["tk"], e["doc"]))
-        doc, tk, a, b = e["doc"][order], e["tk"][order], a[order], (a + n)[order]
-        docs = run_starts(doc, tk)
-        which = np.repeat(np.arange(len(docs)), np.diff(np.append(docs, len(doc))))
-        reach = np.maximum.accumulate(b + (which << 40)) - (which << 40)
-        new = np.ones(len(a), bool)
-        new[1:] = (which[1:] != which[:-1]) | (a[1:] > reach[:-1])
-        first = np.flatnonzero(new)
-        a, b = a[first].astype(np.int32), reach[np.append(first[1:], len(reach)) - 1].astype(np.int32)
-        at = np.append(np.searchsorted(first, docs), len(first)).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (a, b)]
-        yield pa.record_batch([pa.array(doc[docs]), pa.array(tk[docs]), *lists], names=["_llm_id", "_llm_tk", "_llm_a", "_llm_b"])
+def _ranges(whole: bool):
+    """One row for each document of a bucket: its ranges of places, joined where they touch unless ``whole``."""
+
+    def run(batches):
+        for _, e in by_bucket(batches):
+            a, n = e["a"].astype(np.int64), e["n"].astype(np.int64)
+            order = np.lexsort((n, a, e["tk"], e["doc"]))
+            doc, tk, a, n = e["doc"][order], e["tk"][order], a[order], n[order]
+            new = np.ones(len(a), bool)
+            if whole:
+                # one phrase, several answers: crowded if one of them says so
+                new[:-1] = (doc[1:] != doc[:-1]) | (tk[1:] != tk[:-1]) | (a[1:] != a[:-1])
+                doc, tk, a, b = doc[new], tk[new], a[new], n[new]
+                docs = run_starts(doc, tk)
+                at = np.append(docs, len(a))
+            else:
+                docs = run_starts(doc, tk)
+                which = np.repeat(np.arange(len(docs)), np.diff(np.append(docs, len(doc))))
+                reach = np.maximum.accumulate(a + n + (which << 40)) - (which << 40)
+                new[1:] = (which[1:] != which[:-1]) | (a[1:] > reach[:-1])
+                first = np.flatnonzero(new)
+                a, b = a[first], reach[np.append(first[1:], len(reach)) - 1]
+                at = np.append(np.searchsorted(first, docs), len(first))
+            lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (a, b)]
+            yield pa.record_batch([pa.array(doc[docs]), pa.array(tk[docs]), *lists], names=["_llm_id", "_llm_tk", "_llm_a", "_llm_b"])
+
+    return run
 
 
 def _by_doc(answers: DataFrame, kind: int, n: int, name: str) -> DataFrame:
-    out = exchange(answers.where(F.col("kind") == kind), n).mapInArrow(_ranges, "_llm_id long, _llm_tk long, _llm_a array<int>, _llm_b array<int>")
+    out = exchange(answers.where(F.col("kind") == kind), n).mapInArrow(_ranges(kind == CANDIDATE), "_llm_id long, _llm_tk long, _llm_a array<int>, _llm_b array<int>")
     return out.withColumnsRenamed({"_llm_a": f"{name}a", "_llm_b": f"{name}b"})
 
 
@@ -243,36 +264,78 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(buckets: int):
-    def flush(held: _Held):
-        e = held.take()
-        order, least = _smallest(e["doc"], e["h"])
-        e = _at(e, order)
-        later = e["doc"] > least
-        yield from _settled(buckets, REMOVED, _joined(_at(e, later)))
-        e = _at(e, ~later)
-        yield from bucket_rows(WINDOW, (e["h"] % _U(buckets)).astype(np.int32), e | {"h": e["h"] // _U(buckets)})
+    def flush(crowd: _Held, held: _Held):
+        if crowd.n:
+            e = crowd.take()
+            order, least = _smallest(e["doc"], e["h"])
+            e = _at(e, order)
+            later = e["doc"] > least
+            yield from _settled(buckets, REMOVED, _joined(_at(e, later)))
+            e = _at(e, ~later)
+            yield from bucket_rows(WINDOW, (e["h"] % _U(buckets)).astype(np.int32), e | {"h": e["h"] // _U(buckets)})
+        if held.n:
+            parts = [p.pop("bytes") for p in held.parts]
+            e = held.take()
+            size = e["n"].astype(np.int64) + SPAN - 1
+            place, data = np.cumsum(size) - size, np.concatenate(parts)
+            order, least = _smallest(e["doc"], e["h"], e["name"])
+            e, place, size = _at(e, order), place[order], size[order]
+            later = e["doc"] > least
+            yield from _settled(buckets, REMOVED, _at(e, later))
+            e, place, size = _at(e, ~later), place[~later], size[~later]
+            raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(data[ranges(place, size)])])
+            yield from bucket_rows(CONTEXT, (e["h"] % _U(buckets)).astype(np.int32), {"doc": e["doc"], "tk": e["tk"], "a": e["a"], "bytes": raw})
 
     def run(batches):
-        held = _Held()
+        crowd, held = _Held(), _Held()
         for batch in batches:
             ids, tks = numbers(batch.column("_llm_id")), numbers(batch.column("_llm_tk"))
             at, a = _lists(batch.column("_llm_ca"))
-            _, b = _lists(batch.column("_llm_cb"))
+            _, n = _lists(batch.column("_llm_cb"))
             for i, j, offsets, data in slabs(batch):
                 s, e = at[i], at[j]
                 if s == e or len(data) < SPAN:
                     continue
                 doc = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
-                places, doc = ranges(a[s:e] + offsets[doc], b[s:e] - a[s:e]), np.repeat(doc, b[s:e] - a[s:e])
-                held.add(h=window_hashes(data)[places], doc=ids[i:j][doc], tk=tks[i:j][doc], a=(places - offsets[doc]).astype(np.int32))
-                if held.n >= FLUSH:
-                    yield _rows(flush(held))
-        if held.n:
-            yield _rows(flush(held))
+                place, size, names = a[s:e] + offsets[doc], n[s:e], window_hashes(data)
+                hot = size >= CROWDED
+                if hot.any():
+                    long = size[hot] - CROWDED
+                    places, of = ranges(place[hot], long), np.repeat(doc[hot], long)
+                    crowd.add(h=names[places], doc=ids[i:j][of], tk=tks[i:j][of], a=(places - offsets[of]).astype(np.int32))
+                if not hot.all():
+                    place, size, doc = place[~hot], size[~hot], doc[~hot]
+                    h = trigger_of(gram_hashes(data), place)
+                    name = _join(names[place], names[place + size - 1], 0) + size.astype(np.uint64)
+                    held.add(h=h, name=name, doc=ids[i:j][doc], tk=tks[i:j][doc], a=(place - offsets[doc]).astype(np.int32), n=size.astype(np.uint8), bytes=data[ranges(place, size + SPAN - 1)])
+                if crowd.n >= FLUSH or held.n >= FLUSH // 4:
+                    yield _rows(flush(crowd, held))
+        if crowd.n or held.n:
+            yield _rows(flush(crowd, held))
 
     return run
 
 
+def trigger_of(grams: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Hash of the trigger of the windows at the places."""
+    out = np.empty(len(place), np.uint64)
+    inside = np.arange(SPAN - GRAM + 1)
+    for s in range(0, len(place), 1 << 15):
+        near = grams[place[s : s + (1 << 15), None] + inside]
+        out[s : s + (1 << 15)] = near[np.arange(len(near)), np.argmin(near >> _U(32), axis=1)]
+    return out
+
+
+def _suffixes(e: dict) -> dict:
+    """The suffixes of the phrases of a bucket: name, document, place."""
+    raw = e["bytes"]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    start = np.cumsum(size) - size
+    count = size - SPAN + 1
+    of = np.repeat(np.arange(len(raw)), count)
+    return {"h": window_hashes(np.frombuffer(b"".join(raw), np.uint8))[ranges(start, count)], "doc": e["doc"][of], "tk": e["tk"][of], "a": ranges(e["a"], count).astype(np.int32)}
+
+
 def _joined(e: dict) -> dict:
     """Single places as ranges."""
     order = np.lexsort((e["a"], e["tk"], e["doc"]))
@@ -289,6 +352,8 @@ def _ranked(buckets: int):
             if kind == SETTLED:
                 yield _rows(zip(e["kind"].tolist(), e["bucket"].tolist(), e["blob"]))
                 continue
+            if kind == CONTEXT:
+                e = _suffixes(e)
             order, least = _smallest(e["doc"], e["h"])
             later = order[e["doc"][order] > least]
             yield _rows(_answer(buckets, REMOVED, _joined(_at(e, later))))
@@ -296,16 +361,17 @@ def _ranked(buckets: int):
     return run
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """One row (_llm_id, _llm_tk, _llm_ra, _llm_rb) for each row of docs with bytes to remove.
+def repeats(docs: DataFrame, work: Work) -> DataFrame:
+    """One row (_llm_id, _llm_tk, _llm_ra, _llm_rb) for each document with bytes to remove.
 
+    docs: named rows.
     _llm_ra, _llm_rb: ranges of places at which a SPAN-byte string starts that also starts
     in a document with a smaller doc_id.
     """
     spark = docs.sparkSession
-    work, parts = Work(spark, "substring"), partitions(spark)
+    parts = partitions(spark)
     buckets = 4 * parts
-    keyed = docs.select(*row_key(), F.col("text"))
+    keyed = docs.select("_llm_id", "_llm_tk", "text")
     answers = work.save(exchange(keyed.mapInArrow(_parse(buckets), BLOBS), parts).mapInArrow(_settle(buckets), BLOBS), "answers")
     found = keyed.join(_by_doc(answers, CANDIDATE, parts, "_llm_c"), ["_llm_id", "_llm_tk"]).mapInArrow(_windows(buckets), BLOBS)
     shared = work.save(exchange(found, parts).mapInArrow(_ranked(buckets), BLOBS), "shared")
@@ -348,8 +414,9 @@ def _digests(batches):
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), "text")
-    marked = rows.join(repeats(docs), ["_llm_id", "_llm_tk"], "left").select("doc_id", "text", "_llm_ra", "_llm_rb")
+    work = Work(docs.sparkSession, "substring")
+    rows = named_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work)
+    marked = rows.join(repeats(rows, work), ["_llm_id", "_llm_tk"], "left").select("doc_id", "text", "_llm_ra", "_llm_rb")
     return marked.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -380,6 +447,8 @@ def cut(docs: DataFrame) -> DataFrame:
 
     Every column stays; n_chars, where there is one, is made anew.
     """
-    marked = docs.select("*", *row_key()).join(repeats(docs), ["_llm_id", "_llm_tk"], "left").select(*docs.columns, "_llm_ra", "_llm_rb")
+    work = Work(docs.sparkSession, "substring")
+    rows = named_rows(docs, work)
+    marked = rows.join(repeats(rows, work), ["_llm_id", "_llm_tk"], "left").select(*docs.columns, "_llm_ra", "_llm_rb")
     out = marked.mapInArrow(_cut_texts, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
