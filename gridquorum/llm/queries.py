@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, substring_dedup, token_grammar
+from . import language_masks, quality_rules, simhash, substring_dedup, token_grammar
 from .common import read
 
 
@@ -19,6 +19,10 @@ def op1_token_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_grammar.digest(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_masks.held_out(read(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(read(spark, sf_dir, "documents"))
 
@@ -27,5 +31,9 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_grammar, op3_substring_dedup, op5_simhash_groups)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_grammar, op2_language_masks, op3_substring_dedup, op5_simhash_groups, op10_quality_rules)}
 SQL: dict[str, str] = {}
