@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotraining, language_masks, quality_rules, simhash, substring_dedup, token_grammar
+from . import conversations, cotraining, decontaminate, language_masks, licenses, quality_rules, simhash, substring_dedup, token_grammar
 from .common import read
 
 
@@ -31,13 +31,25 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(read(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_maximal_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.rendered(read(spark, sf_dir, "conversations"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_grammar, op2_language_masks, op3_substring_dedup, op5_simhash_groups, op7_cotraining, op10_quality_rules)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_grammar, op2_language_masks, op3_substring_dedup, op5_simhash_groups, op6_decontaminate, op7_cotraining, op8_maximal_chats, op9_license_scan, op10_quality_rules)}
+SQL: dict[str, str] = {"op8_maximal_chats": conversations.SQL, "op9_license_scan": licenses.sql()}
