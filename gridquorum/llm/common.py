@@ -141,8 +141,8 @@ def by_bucket(batches):
 
 
 def exchange(df: DataFrame, n: int) -> DataFrame:
-    """Bring the blobs of a bucket together; several buckets share a partition."""
-    return df.repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket")
+    """Bring the blobs of a bucket together: bucket b is partition b of n."""
+    return df.repartitionById(n, F.col("bucket")).sortWithinPartitions("kind", "bucket")
 
 
 BLOBS = "kind int, bucket int, blob binary"

@@ -370,7 +370,7 @@ def repeats(docs: DataFrame, work: Work) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = partitions(spark)
-    buckets = 4 * parts
+    buckets = parts
     keyed = docs.select("_llm_id", "_llm_tk", "text")
     answers = work.save(exchange(keyed.mapInArrow(_parse(buckets), BLOBS), parts).mapInArrow(_settle(buckets), BLOBS), "answers")
     found = keyed.join(_by_doc(answers, CANDIDATE, parts, "_llm_c"), ["_llm_id", "_llm_tk"]).mapInArrow(_windows(buckets), BLOBS)
