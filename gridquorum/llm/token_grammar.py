@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,9 @@ from pyspark.sql import functions as F
 
 from .common import Work, numbers, partitions, ranges, run_starts
 
-BLOCK, ROUNDS, PAIRS, LEAST = 1 << 19, 5, 4096, 12
+BLOCK, ROUNDS, PAIRS, LEAST = 1 << 19, 3, 8192, 12
 END, TERMINALS = 2, 1 << 17
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 16 << 20
 _HEAD = struct.Struct("<4sIIII")
 
 
@@ -161,9 +162,10 @@ class Block:
 class WordCoder:
     """Ids of whole texts from ids of their words, each word encoded once while it is remembered."""
 
-    def __init__(self, tokenizer, remember: int = 500_000):
+    def __init__(self, tokenizer, remember: int = 300_000):
         self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        self.remember, self.known = remember, {}
+        # two generations: a word looked up in the older one moves to the newer
+        self.remember, self.known, self.older = remember, {}, {}
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and their number for each of the words.
@@ -173,14 +175,16 @@ class WordCoder:
         """
         plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
         coded = pc.if_else(plain, pc.ascii_lower(words), words).dictionary_encode()
-        found = coded.dictionary.to_pylist()
+        found = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > self.remember:
-            self.known.clear()
-        known = self.known
-        new = [w for w in found if w not in known]
-        for w, e in zip(new, self.encode(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, np.int32).tobytes()
-        parts = [known[w] for w in found]
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        parts = [known.get(w) or older.get(w) for w in found]
+        if older:
+            known.update((w, p) for w, p in zip(found, parts) if p is not None)
+        new = [i for i, p in enumerate(parts) if p is None]
+        for i, e in zip(new, self.encode([found[i] for i in new], add_special_tokens=False)):
+            parts[i] = known[found[i]] = array("i", e.ids).tobytes()
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         flat, starts = np.frombuffer(b"".join(parts), np.int32), np.cumsum(sizes) - sizes
         index = coded.indices.to_numpy(zero_copy_only=False)
