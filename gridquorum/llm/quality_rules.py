@@ -79,25 +79,22 @@ def _slabs(batch):
         first = last
 
 
-def counts(docs: DataFrame, work: Work) -> tuple[np.ndarray, np.ndarray]:
-    """Target and raw counts by bin; docs has text and trusted."""
+def counts(texts: DataFrame) -> np.ndarray:
+    """Number of n-grams of all texts in each bin."""
 
     def run(batches):
-        target, raw = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
+        total = np.zeros(BINS, np.int64)
         for batch in batches:
-            trusted = batch.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
-            for i, j, _, data, start, end, doc in _slabs(batch):
-                bins, of = gram_bins(word_hashes(data, start, end), doc)
-                raw += np.bincount(bins, minlength=BINS)
-                target += np.bincount(bins[trusted[i:j][of]], minlength=BINS)
-        some = np.flatnonzero(raw)
-        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(target[some]), pa.array(raw[some])], names=["bin", "target", "raw"])
+            for _, _, _, data, start, end, doc in _slabs(batch):
+                total += np.bincount(gram_bins(word_hashes(data, start, end), doc)[0], minlength=BINS)
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bin", "n"])
 
-    rows = docs.select("text", "trusted").mapInArrow(run, "bin int, target long, raw long").groupBy("bin").agg(F.sum("target"), F.sum("raw")).collect()  # BINS rows at most
-    target, raw = np.zeros(BINS), np.zeros(BINS)
-    for b, t, r in rows:
-        target[b], raw[b] = t, r
-    return target, raw
+    out = np.zeros(BINS)
+    # BINS rows at most
+    for b, n in texts.select("text").mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n")).collect():
+        out[b] = n
+    return out
 
 
 def weights(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -170,7 +167,7 @@ def _scores(weight: np.ndarray):
                     out[name].append(np.asarray(values))
             arrays = {k: np.concatenate(v) if v else np.zeros(0) for k, v in out.items()}
             kinds = [pa.array(arrays[k].astype(np.float64 if k == "score" else np.int64)) for k in out]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("trusted"), *kinds], names=["doc_id", "trusted", *out])
+            yield pa.record_batch([batch.column("doc_id"), *kinds], names=["doc_id", *out])
 
     return run
 
@@ -178,12 +175,15 @@ def _scores(weight: np.ndarray):
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score."""
     work = Work(docs.sparkSession, "rules")
-    good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select("doc_id", F.lit(True).alias("trusted"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    target, raw = counts(rows, work)
-    schema = "doc_id long, trusted boolean, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
+    good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0 and doc_id is not null").select("doc_id")
+    good = work.save(good, "good")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    raw, target = counts(rows), counts(rows.join(good, "doc_id", "left_semi"))
+    work.release()
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
+    # figures without the labels, so that no text is shuffled
     facts = work.save(rows.mapInArrow(_scores(weights(target, raw)), schema), "facts")
-    mean, spread = facts.where("trusted and n_words > 0").agg(F.avg("score"), F.stddev_pop("score")).first()
+    mean, spread = facts.join(good, "doc_id", "left_semi").where("n_words > 0").agg(F.avg("score"), F.stddev_pop("score")).first()
     least = -math.inf if mean is None else mean - SPREADS * spread
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     return facts.withColumn("base_failed", failed).select(
