@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, cotraining, decontaminate, language_masks, licenses, quality_rules, simhash, substring_dedup, token_grammar
+from . import conversations, cotraining, decontaminate, language_masks, licenses, piece_lattice, quality_rules, simhash, substring_dedup, token_grammar
 from .common import read
 
 
@@ -27,6 +27,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(read(spark, sf_dir, "documents"))
 
 
+def op4_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.encoded(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(read(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_grammar, op2_language_masks, op3_substring_dedup, op5_simhash_groups, op6_decontaminate, op7_cotraining, op8_maximal_chats, op9_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_grammar, op2_language_masks, op3_substring_dedup, op4_piece_lattice, op5_simhash_groups, op6_decontaminate, op7_cotraining, op8_maximal_chats, op9_license_scan, op10_quality_rules)}
 SQL: dict[str, str] = {"op8_maximal_chats": conversations.SQL, "op9_license_scan": licenses.sql()}
