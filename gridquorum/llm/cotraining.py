@@ -189,10 +189,13 @@ def _figures(batch) -> tuple[np.ndarray, list[tuple]]:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most about 2 * sample rows of docs (doc_id, text, lang, source) and labels (doc_id, quality)."""
     marks = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
-    rows = docs.join(marks, "doc_id", "left")
-    n, labelled = rows.agg(F.count("*"), F.count("label")).first()
+    marks = marks.where("doc_id is not null")
     place = F.pmod(F.xxhash64(F.lit(11), F.coalesce("doc_id", F.lit(LAST_ID))), F.lit(1 << 30)) / float(1 << 30)
-    part = F.when(F.col("label").isNotNull(), F.lit(min(1.0, sample / max(labelled, 1)))).otherwise(F.lit(min(1.0, sample / max(n - labelled, 1))))
+    n, labelled = docs.count(), marks.count()
+    # about ``sample`` rows by the choice made here, whatever the input: a bounded broadcast
+    known = docs.join(F.broadcast(marks.where(place < min(1.0, sample / max(labelled, 1)))), "doc_id")
+    pool = docs.where(place < min(1.0, sample / max(n - labelled, 1))).join(marks, "doc_id", "left_anti").withColumn("label", F.lit(None).cast("double"))
+    chosen = known.unionByName(pool)
 
     def run(batches):
         for batch in batches:
@@ -200,8 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             columns = [batch.column("doc_id"), batch.column("label"), pa.array(list(text), pa.list_(pa.float64())), *(pa.array([m[k] for m in meta], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32())))]
             yield pa.record_batch(columns, names=["doc_id", "label", "text", "source", "lang", "size"])
 
-    chosen = rows.where(place < part).select("doc_id", "text", "lang", "source", "label")
-    got = chosen.mapInArrow(run, "doc_id long, label double, text array<double>, source string, lang string, size int").toArrow()
+    got = chosen.select("doc_id", "text", "lang", "source", "label").mapInArrow(run, "doc_id long, label double, text array<double>, source string, lang string, size int").toArrow()
     text = np.array(got["text"].to_pylist(), float).reshape(-1, TEXT)
     meta = list(zip(*(got[c].to_pylist() for c in ("source", "lang", "size"))))
     label = np.array([np.nan if x is None else x for x in got["label"].to_pylist()], float)
