@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-SQL: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) under its name, with the SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["region_union_6h"](spark, sf_dir)
+
+
+from . import queries_catalog, queries_cells, queries_values  # noqa: E402, F401
