@@ -101,6 +101,26 @@ def _flow(groups: list[tuple[tuple[str, ...], float]], capacity: dict[str, float
     return placed
 
 
+def split(groups: list[tuple[tuple[str, ...], float]], rates: dict[str, float]) -> tuple[float, dict[tuple[int, str], float]]:
+    """Least makespan of amounts that groups of holders can serve, to one part in a thousand, and the amounts by (group, holder)."""
+    used = sorted({h for sig, _ in groups for h in sig})
+    total = sum(a for _, a in groups)
+    high = max(total / min(rates[h] for h in used), 1e-9)
+    low = total / sum(rates[h] for h in used)
+    placed = None
+    while placed is None:
+        placed = _flow(groups, {h: rates[h] * high for h in used})
+        high = high if placed is not None else high * 2
+    while high - low > 1e-3 * high:
+        middle = (low + high) / 2
+        got = _flow(groups, {h: rates[h] * middle for h in used})
+        if got is None:
+            low = middle
+        else:
+            high, placed = middle, got
+    return high, placed
+
+
 def assign(pieces: list[Piece], rates: dict[str, float], relays: dict[str, tuple[str, float]] | None = None, client: float | None = None) -> tuple[float, dict[str, str]]:
     """Makespan and holder of each piece: parametric flow over holder signatures, then rounding and repair.
 
@@ -119,19 +139,7 @@ def assign(pieces: list[Piece], rates: dict[str, float], relays: dict[str, tuple
     groups = [(sig, sum(p.size for p in ps)) for sig, ps in sorted(groups_of.items())]
     used = sorted({h for sig, _ in groups for h in sig})
     total = sum(a for _, a in groups)
-    high = max(total / min(rates[h] for h in used), 1e-9)
-    low = total / sum(rates[h] for h in used)
-    placed = None
-    while placed is None:
-        placed = _flow(groups, {h: rates[h] * high for h in used})
-        high = high if placed is not None else high * 2
-    while high - low > 1e-3 * high:
-        middle = (low + high) / 2
-        got = _flow(groups, {h: rates[h] * middle for h in used})
-        if got is None:
-            low = middle
-        else:
-            high, placed = middle, got
+    _, placed = split(groups, rates)
     load: dict[str, float] = defaultdict(float)
     for g, (sig, _) in enumerate(groups):
         want = {h: placed.get((g, h), 0.0) for h in sig}

@@ -1 +1,209 @@
-"""Stub."""
+"""Queries over values: approximate means, identity, contracts, parity, covers and plans."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from .functions import grid
+from .operators import aqp, catalog, identity, parity
+from .plans import planner
+from .queries_cells import _merged, _replicas
+from .registry import query
+from .sqltext import CELLS, CHUNKS, UNION, with_
+
+_STATS = with_(UNION) + """,
+stats AS (SELECT var, CAST(floor(g / 12::DOUBLE) AS BIGINT) AS c, CAST(sum(cents) AS BIGINT) AS s, count(*) AS n FROM merged GROUP BY 1, 2),
+placed AS (SELECT *, row_number() OVER (PARTITION BY var ORDER BY c) - 1 AS i FROM stats),
+spread AS (SELECT *, list_sum(list_transform(range(0, 16), lambda b: ((i >> b) & 1) << (15 - b))) AS vdc FROM placed),
+vdc AS (SELECT *, row_number() OVER (PARTITION BY var ORDER BY vdc) AS pos FROM spread)"""
+
+
+def _stats(spark, d):
+    return _merged(spark, d).groupBy("var", grid.floor_div(F.col("g"), 12).alias("c")).agg(F.sum("cents").alias("s"), F.count("*").alias("n"))
+
+
+@query(_STATS + " SELECT var, c, CAST(vdc AS BIGINT) AS vdc, pos FROM vdc")
+def vdc_order(spark, d):
+    """Chunks in bit-reversed order."""
+    return aqp.van_der_corput(_stats(spark, d), ["var"], ["c"]).select("var", "c", "vdc", F.col("pos").cast("long").alias("pos"))
+
+
+_T = "(1.96 + (1.96**3 + 1.96) / 4 / v + (5 * 1.96**5 + 16 * 1.96**3 + 3 * 1.96) / 96 / v**2 + (3 * 1.96**7 + 19 * 1.96**5 + 17 * 1.96**3 - 15 * 1.96) / 384 / v**3)"
+
+
+@query(_STATS + """,
+m AS (
+  SELECT var, pos, count(*) OVER (PARTITION BY var) AS "of", sum(s::DOUBLE) OVER w AS y, sum(n::DOUBLE) OVER w AS x, sum(s::DOUBLE * s) OVER w AS yy, sum(s::DOUBLE * n) OVER w AS xy, sum(n::DOUBLE * n) OVER w AS xx
+  FROM vdc WINDOW w AS (PARTITION BY var ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT *, y / x AS mean, greatest(yy - 2 * (y / x) * xy + (y / x) * (y / x) * xx, 0) / (pos - 1) AS spread, greatest(pos - 1, 1)::DOUBLE AS v FROM m),
+h AS (SELECT *, """ + _T + """ * sqrt(greatest(1 - pos / "of"::DOUBLE, 0) * spread / (pos * (x / pos) ** 2)) AS half FROM r)
+SELECT var, pos, round(mean, 6) AS mean, CASE WHEN pos > 1 THEN round(half, 6) END AS half FROM h""")
+def ratio_mean(spark, d):
+    """Ratio estimate and half-width over every prefix."""
+    out = aqp.ratio_prefixes(aqp.van_der_corput(_stats(spark, d), ["var"], ["c"]), ["var"])
+    return out.select("var", F.col("pos").cast("long").alias("pos"), F.round("mean", 6).alias("mean"), F.round("half", 6).alias("half"))
+
+
+@query()
+def progressive_mean(spark, d):
+    """First prefix within five per cent."""
+    return aqp.progressive_mean(_stats(spark, d), ["var"], ["c"], rel_err=0.05)
+
+
+@query(_STATS + """,
+st AS (SELECT var, c, s / n::DOUBLE AS mean, ntile(4) OVER (PARTITION BY var ORDER BY c) AS stratum FROM stats),
+pick AS (SELECT *, row_number() OVER (PARTITION BY var, stratum ORDER BY (c * 7919) % 1009, c) AS turn FROM st),
+hh AS (SELECT var, stratum, count(*) FILTER (turn <= 5) AS n, avg(mean) FILTER (turn <= 5) AS m, var_samp(mean) FILTER (turn <= 5) AS s2, count(*) AS size FROM pick GROUP BY 1, 2),
+w AS (SELECT *, size / sum(size) OVER (PARTITION BY var)::DOUBLE AS wt FROM hh),
+v AS (SELECT *, wt * wt * greatest(1 - n / size::DOUBLE, 0) * s2 / n AS va FROM w),
+t AS (SELECT var, sum(wt * m) AS mean, sum(va) AS var_, greatest(CASE WHEN sum(va * va / (n - 1)) > 0 THEN sum(va) ** 2 / sum(va * va / (n - 1)) ELSE 1e9 END, 1) AS v, CAST(sum(n) AS BIGINT) AS chunks FROM v GROUP BY var)
+SELECT var, round(mean, 6) AS mean, round(CASE WHEN v > 1e6 THEN 1.96 ELSE """ + _T + """ END * sqrt(var_), 6) AS half, chunks FROM t""")
+def vas_pilot(spark, d):
+    """Stratified mean of a pilot of five chunks a stratum."""
+    means = _stats(spark, d).withColumn("mean", F.col("s") / F.col("n").cast("double"))
+    dealt = aqp.strata_of(means, ["var"], ["c"], 4)
+    turn = F.row_number().over(Window.partitionBy("var", "stratum").orderBy(F.col("c") * 7919 % 1009, "c"))
+    sizes = dealt.groupBy("var", "stratum").agg(F.count("*").alias("size"))
+    out = aqp.stratified(dealt.withColumn("turn", turn).where("turn <= 5"), sizes, ["var"])
+    return out.select("var", F.round("mean", 6).alias("mean"), F.round("half", 6).alias("half"), "chunks")
+
+
+@query()
+def vas_mean(spark, d):
+    """Q02, Q03: adaptive stratified mean of one variable."""
+    means = _stats(spark, d).where("var = 'view'").select("c", (F.col("s") / F.col("n")).alias("mean"))
+    r = aqp.mean_vas(means, ["c"], rel_err=0.05)
+    return spark.createDataFrame([(r["mean"], r["ci95"], r["chunks"], r["of"], r["exact"])], "mean double, ci95 double, chunks long, of long, exact boolean")
+
+
+@query(with_(CELLS) + """
+SELECT var, g, x, CAST(round_even((cents / 100::DOUBLE - 0.0) / 0.25, 0) AS BIGINT) AS code,
+  abs(cents / 100::DOUBLE - (0.0 + round_even((cents / 100::DOUBLE - 0.0) / 0.25, 0) * 0.25)) <= 0.1 AS accepted FROM cells""")
+def contract_codes(spark, d):
+    """Codes under a declared packing, and which values it accepts."""
+    code, ok = identity.contract_codes("value", 0.0, 0.25, 0.1)
+    return catalog.event_cells(spark, d).select("var", "g", "x", code.cast("long").alias("code"), ok.alias("accepted"))
+
+
+@query(with_(CELLS) + """
+SELECT var, CAST(floor(g / 24::DOUBLE) AS BIGINT) AS day, count(*) AS cells, sha256(string_agg(g || ':' || x || ':' || cents, ',' ORDER BY g, x)) AS vcid FROM cells GROUP BY 1, 2""")
+def exact_identity(spark, d):
+    """Exact value ids of days."""
+    rows = catalog.event_cells(spark, d).withColumn("day", grid.floor_div(F.col("g"), 24))
+    return identity.exact_id(rows, ["var", "day"], ["g", "x"], "cents")
+
+
+@query()
+def lattice_identity(spark, d):
+    """Lattice ids of two encodings of the same codes, compared with tolerance."""
+    rows = catalog.event_cells(spark, d).withColumn("day", grid.floor_div(F.col("g"), 24)).where("var = 'view'")
+    level = F.col("cents") / 512.0 + 250.0
+    a = identity.lattice_ids(rows.withColumn("v", level), ["day"], "day", ["g", "x"], "v").alias("a")
+    b = identity.lattice_ids(rows.withColumn("v", level + 1e-7), ["day"], "day", ["g", "x"], "v").alias("b")
+    return a.join(b, F.col("a.day") == F.col("b.day")).select("a.day", "a.codes", identity.same_lattice("a", "b").alias("same"))
+
+
+@query("""
+SELECT p_partkey AS id, CASE WHEN p_size % 10 = 0 THEN NULL ELSE p_size * 0.01 + 3 END AS value FROM part""")
+def packed_decode(spark, d):
+    """1.2: CF packing, scale and offset with a fill value."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    stored = F.when(F.col("p_size") % 10 == 0, -32767).otherwise(F.col("p_size"))
+    return part.select(F.col("p_partkey").alias("id"), (F.nullif(stored, F.lit(-32767)) * 0.01 + 3).alias("value"))
+
+
+@query(with_(CHUNKS) + """,
+k AS (SELECT var, c, t, n, row_number() OVER (ORDER BY var, c, t) - 1 AS i, count(*) OVER () AS total FROM chunks WHERE holder = 'A'),
+s AS (SELECT *, CAST(ceil(total / 5::DOUBLE) AS BIGINT) AS dd FROM k)
+SELECT var, c, i % dd AS stripe, CAST(floor(i / dd::DOUBLE) AS BIGINT) % 5 AS member FROM s""")
+def stripe_map(spark, d):
+    """Interleaved stripes of five members."""
+    return _striped(spark, d).select("var", "c", "stripe", "member")
+
+
+def _striped(spark, d):
+    chunks = catalog.chunks(_replicas(spark, d)).where("holder = 'A'")
+    # numbers over the whole catalogue: counts of each variable first, then places inside it
+    inside = F.row_number().over(Window.partitionBy("var").orderBy("c", "t")) - 1
+    per = chunks.groupBy("var").agg(F.count("*").alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.orderBy("var").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = chunks.withColumn("j", inside).join(F.broadcast(per.select("var", before.alias("before"))), "var")  # one row for each variable
+    return parity.stripes(numbered.withColumn("i", (F.col("j") + F.col("before")).cast("long")), 5, "i")
+
+
+@query(with_(CHUNKS) + """,
+k AS (SELECT cents, row_number() OVER (ORDER BY var, c, t) - 1 AS i, count(*) OVER () AS total FROM chunks WHERE holder = 'A')
+SELECT i % CAST(ceil(total / 5::DOUBLE) AS BIGINT) AS stripe, CAST(bit_xor(cents) AS BIGINT) AS parity, count(*) AS members FROM k GROUP BY 1""")
+def xor_parity(spark, d):
+    """Plain XOR parity of the stripes."""
+    return parity.xor_stripes(_striped(spark, d), "cents")
+
+
+@query("""
+SELECT vec_id // 5 AS stripe, CAST(vec_id % 5 AS INTEGER) AS member, array_to_string(list_transform(embedding, lambda v: CAST(CAST(floor(v * 1000) AS BIGINT) AS VARCHAR)), ',') AS payload FROM embeddings""")
+def gf_restore(spark, d):
+    """Two members of each stripe are lost and come back from two parity rows."""
+    text = F.array_join(F.transform("embedding", lambda v: F.floor(v.cast("double") * 1000).cast("string")), ",")
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(grid.floor_div(F.col("vec_id"), 5).alias("stripe"), (F.col("vec_id") % 5).cast("int").alias("member"), F.encode(text, "UTF-8").alias("payload"))
+    rows_of_parity = parity.encode_stripes(rows, 0).unionByName(parity.encode_stripes(rows, 1))
+    left = rows.where(F.pmod(F.col("member") - F.col("stripe"), F.lit(5)) > 1)
+    back = parity.restore_stripes(left, rows_of_parity, rows.select("stripe", "member", F.length("payload").alias("size")), 5)
+    return back.select("stripe", "member", F.decode("payload", "UTF-8").alias("payload"))
+
+
+def _cover(spark, d, choose):
+    """Covers of a ten-day request by variable; only catalogue rows reach the planner, grouped by variable."""
+    chunks = catalog.chunks(_replicas(spark, d)).where("holder <> 'D'").select("var", "holder", "layout", "c", "t", "g0", "g1", "size", "tile")
+    whole = chunks.groupBy("var", "holder", "layout", "c").agg(F.min("g0").alias("g0"), F.max("g1").alias("g1"), F.sum("size").alias("size"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pieces = [planner.Piece(f"{r.layout}/{r.c}@{r.holder}", int(r.g0), int(r.g1), float(r.size), (r.holder,)) for r in pdf.sort_values(["layout", "c", "holder"]).itertuples()]
+        keys, seconds = choose(pieces)
+        return pd.DataFrame({"var": [pdf["var"].iloc[0]] * len(keys), "piece": keys, "seconds": [seconds] * len(keys)})
+
+    return whole.groupBy("var").applyInPandas(one, "var string, piece string, seconds double")
+
+
+_RATES = {"A": 1e5, "B": 4e5, "C": 2e5}
+
+
+@query()
+def min_byte_cover(spark, d):
+    """Fewest bytes that cover the request."""
+    return _cover(spark, d, lambda ps: ([p.key for p in planner.cheapest_cover(ps, 473376, 473616, lambda p: p.size)], 0.0))
+
+
+@query()
+def joint_cover(spark, d):
+    """Cover chosen with its makespan in view."""
+
+    def choose(ps):
+        cover, seconds = planner.joint_plan(ps, 473376, 473616, _RATES)
+        return [p.key for p in cover], round(seconds, 9)
+
+    return _cover(spark, d, choose)
+
+
+@query()
+def makespan_plan(spark, d):
+    """Which holder sends which chunk.
+
+    Chunks with the same holders are one group, so the flow runs on at most 2^6 rows; chunks
+    of a group then go to its holders in proportion, by hash, without leaving Spark.
+    """
+    li = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_partkey").alias("chunk")).agg(F.array_join(F.array_sort(F.collect_set(F.col("l_suppkey") % 6)), ",").alias("holders"), F.sum("l_quantity").alias("size"))
+    groups = [(tuple(r[0].split(",")), r[1]) for r in li.groupBy("holders").agg(F.sum("size")).orderBy("holders").collect()]
+    seconds, amounts = planner.split(groups, {str(h): float(h + 1) for h in range(6)})
+    shares = []
+    for g, (sig, total) in enumerate(groups):
+        low = 0.0
+        for h in sig:
+            high = low + amounts.get((g, h), 0.0) / total
+            shares.append((",".join(sig), h, low, 1.0 + 1e-9 if h == sig[-1] else high))
+            low = high
+    table = spark.createDataFrame(shares, "holders string, holder string, low double, high double")
+    dice = F.crc32(F.col("chunk").cast("string")) / float(1 << 32)
+    sent = li.withColumn("dice", dice).join(F.broadcast(table), "holders").where("dice >= low and dice < high")
+    return sent.groupBy("holder").agg(F.sum("size").alias("load"), F.count("*").alias("chunks")).withColumn("planned", F.lit(float(seconds)))
