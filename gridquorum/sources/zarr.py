@@ -79,11 +79,18 @@ def decode(meta: dict, raw: bytes | None) -> np.ndarray:
 
 def arrays(spark: SparkSession, path: str) -> dict[str, dict]:
     """Descriptions of the arrays of a flat group."""
-    texts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{.zarray,.zattrs,zarr.json}").load(path).select("path", "content").collect()
+    # file sources skip names with a leading dot, so metadata goes through the file system itself
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
     docs = {}
-    for p, content in texts:
-        *_, array, name = p.split("/")
-        docs.setdefault(array, {})[name] = json.loads(bytes(content))
+    for status in fs.listStatus(top):
+        for name in (".zarray", ".zattrs", "zarr.json") if status.isDirectory() else ():
+            doc = jvm.org.apache.hadoop.fs.Path(status.getPath(), name)
+            if fs.exists(doc):
+                stream = fs.open(doc)
+                docs.setdefault(status.getPath().getName(), {})[name] = json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+                stream.close()
     out = {}
     for array, d in docs.items():
         doc = d.get("zarr.json") or d.get(".zarray")
