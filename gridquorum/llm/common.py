@@ -155,6 +155,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hash of data[start : start + size] for each range, length included; an empty one is 0."""
+    out = np.zeros(len(start), np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        start, size = np.asarray(start)[full], np.asarray(size)[full]
+        first = np.cumsum(size) - size
+        within = np.arange(int(size.sum())) - np.repeat(first, size)
+        powers = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
+        codes = _CODE[data[np.repeat(start, size) + within]] * powers[within]
+        out[full] = mix(np.add.reduceat(codes, first) + size.astype(np.uint64))
+    return out
+
+
 def run_starts(*sorted_keys: np.ndarray) -> np.ndarray:
     """First index of each run of equal keys."""
     n = len(sorted_keys[0])

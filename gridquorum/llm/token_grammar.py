@@ -26,9 +26,10 @@ empty table gives no rows; a document longer than a block is a block of its own.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
-from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, numbers, partitions, ranges, run_starts
+from .common import Work, byte_hashes, numbers, partitions, ranges, run_starts, text_column
 
-BLOCK, ROUNDS, PAIRS, LEAST = 1 << 19, 3, 8192, 12
+BLOCK, ROUNDS, PAIRS, LEAST = 1 << 19, 5, 4096, 12
 END, TERMINALS = 2, 1 << 17
 BATCH_BYTES = 16 << 20
 _HEAD = struct.Struct("<4sIIII")
@@ -160,12 +161,46 @@ class Block:
 
 
 class WordCoder:
-    """Ids of whole texts from ids of their words, each word encoded once while it is remembered."""
+    """Ids of whole texts from ids of their words, each word encoded once while it is remembered.
 
-    def __init__(self, tokenizer, remember: int = 300_000):
-        self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        # two generations: a word looked up in the older one moves to the newer
-        self.remember, self.known, self.older = remember, {}, {}
+    Words are remembered by a 64-bit hash and their length, about 30 bytes for each.
+    """
+
+    def __init__(self, path: str, remember: int = 3_000_000):
+        from tokenizers import Tokenizer
+
+        self.full = self._encoder(Tokenizer.from_file(path))
+        # lower-case Latin letters pass the normaliser and the word splitter as they are
+        with open(path, encoding="utf-8") as f:
+            bare = json.load(f)
+        bare |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
+        self.bare = self._encoder(Tokenizer.from_str(json.dumps(bare)))
+        self.remember = remember
+        self._forget()
+
+    @staticmethod
+    def _encoder(tokenizer):
+        return getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+
+    def _forget(self):
+        self.keys, self.place, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def _learn(self, words: pa.Array, keys: np.ndarray) -> None:
+        plain = pc.match_substring_regex(words, "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$").to_numpy(zero_copy_only=False)
+        found: list = [None] * len(words)
+        for encode, which in ((self.bare, plain), (self.full, ~plain)):
+            for i, e in zip(np.flatnonzero(which).tolist(), encode(words.filter(pa.array(which)).to_numpy(zero_copy_only=False).tolist(), add_special_tokens=False)):
+                found[i] = e.ids
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        total = int(size.sum())
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.int32)])
+        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.int32, total)
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.place, self.size = (np.insert(a, at, v[order]) for a, v in ((self.keys, keys), (self.place, self.used + np.cumsum(size) - size), (self.size, size)))
+        self.used += total
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and their number for each of the words.
@@ -175,20 +210,18 @@ class WordCoder:
         """
         plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
         coded = pc.if_else(plain, pc.ascii_lower(words), words).dictionary_encode()
-        found = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.known) > self.remember:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        parts = [known.get(w) or older.get(w) for w in found]
-        if older:
-            known.update((w, p) for w, p in zip(found, parts) if p is not None)
-        new = [i for i, p in enumerate(parts) if p is None]
-        for i, e in zip(new, self.encode([found[i] for i in new], add_special_tokens=False)):
-            parts[i] = known[found[i]] = array("i", e.ids).tobytes()
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        flat, starts = np.frombuffer(b"".join(parts), np.int32), np.cumsum(sizes) - sizes
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        return flat[ranges(starts[index], sizes[index])], sizes[index]
+        offsets, data = text_column(coded.dictionary)
+        keys = byte_hashes(data, offsets[:-1], np.diff(offsets))
+        if len(self.keys) > self.remember:
+            self._forget()
+        for _ in range(2):
+            at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+            known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+            if known.all():
+                break
+            self._learn(coded.dictionary.filter(pa.array(~known)), keys[~known])
+        index = at[coded.indices.to_numpy(zero_copy_only=False)] if len(keys) else np.zeros(0, np.int64)
+        return self.pool[ranges(self.place[index], self.size[index])], self.size[index]
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts with the end id after each, and the number of ids of each."""
@@ -230,10 +263,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, shards: int) -> None:
         import os
 
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        model, shard = WordCoder(Tokenizer.from_file(tokenizer)), TaskContext.get().partitionId()
+        model, shard = WordCoder(tokenizer), TaskContext.get().partitionId()
         block, first, held, n = 0, 0, [], 0
 
         def row():
