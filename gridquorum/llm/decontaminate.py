@@ -139,5 +139,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that leak no item; rows without an id stay."""
-    bad = leaks(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("_llm_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_llm_bad"), "left_anti")
+    bad = leaks(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+    # in a struct no other column can clash with a name used here
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(bad, "id", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -237,6 +237,8 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs whose id is their component's smallest; rows without an id stay."""
-    heads = grouped(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_llm_head")).distinct()
-    kept = docs.join(heads, F.col("doc_id").cast("long") == F.col("_llm_head"), "left").where("_llm_head is not null or doc_id is null")
-    return kept.select(*docs.columns)
+    heads = grouped(docs).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    # in a struct no other column can clash with a name used here
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    kept = rows.where("id is null").unionByName(rows.where("id is not null").join(heads, "id", "left_semi").select("row", "id"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -41,6 +41,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BLOBS, Work, bucket_rows, by_bucket, exchange, mix, named_rows, numbers, pack, partitions, ranges, run_starts, slabs, text_column
 
@@ -438,8 +439,7 @@ def _cut_texts(batches):
                     gone = np.repeat(np.logical_and.reduceat(gone, lead), np.diff(np.append(lead, len(raw))))
                 text = raw[~gone].tobytes().decode()
             texts.append(text)
-        names = [n for n in batch.schema.names if n not in ("_llm_ra", "_llm_rb", "_llm_id", "_llm_tk")]
-        yield pa.record_batch([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
+        yield pa.record_batch([batch.column("rest"), pa.array(texts, pa.string())], names=["rest", "text"])
 
 
 def cut(docs: DataFrame) -> DataFrame:
@@ -448,7 +448,10 @@ def cut(docs: DataFrame) -> DataFrame:
     Every column stays; n_chars, where there is one, is made anew.
     """
     work = Work(docs.sparkSession, "substring")
-    rows = named_rows(docs, work)
-    marked = rows.join(repeats(rows, work), ["_llm_id", "_llm_tk"], "left").select(*docs.columns, "_llm_ra", "_llm_rb")
-    out = marked.mapInArrow(_cut_texts, docs.schema)
+    others = [c for c in docs.columns if c != "text"]
+    # in a struct no other column can clash with a name used here
+    rows = named_rows(docs.select(F.struct(*others).alias("rest"), "doc_id", "text"), work)
+    marked = rows.join(repeats(rows, work), ["_llm_id", "_llm_tk"], "left").select("rest", "text", "_llm_ra", "_llm_rb")
+    kind = T.StructType([T.StructField("rest", marked.schema["rest"].dataType), T.StructField("text", T.StringType())])
+    out = marked.mapInArrow(_cut_texts, kind).select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
