@@ -28,10 +28,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, partitions, run_starts, text_column
+from .common import Work, mix, partitions, run_starts, text_column
 
 RADIUS, NODE, FAN = 3, 1024, 8
 _FULL = (1 << 64) - 1
@@ -84,9 +84,9 @@ def _below(mask: int) -> list[int]:
 
 
 def _nodes(rows: DataFrame, masks: list[int]) -> DataFrame:
-    """rows (fp) under each mask: (mask, pattern, fp)."""
+    """rows (tab, fp) under each mask: (tab, mask, pattern, fp)."""
     each = F.explode(F.array(*[F.lit(_signed(m)) for m in masks]))
-    return rows.select("fp", each.alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("pattern"), "fp")
+    return rows.select("tab", "fp", each.alias("mask")).select(*NODE_KEY[:2], F.col("fp").bitwiseAND(F.col("mask")).alias("pattern"), "fp")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -95,8 +95,11 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def linked(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (i, j) of the fingerprints of one node, which are sorted by Gray rank."""
+def linked(fps: np.ndarray, direct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (i, j) of the fingerprints of one node, which are sorted by Gray rank.
+
+    direct: links of the index itself, to the first partner before and after each fingerprint.
+    """
     levels = [(fps, np.full(len(fps), _FULL, np.uint64))]
     while len(levels[-1][0]) > FAN:
         pattern, mask = levels[-1]
@@ -119,6 +122,10 @@ def linked(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         fits = (a < n) & (b < n) & (a <= b)
         a, b = a[fits], b[fits]
     a, b = a[a < b], b[a < b]
+    if direct:
+        before, after = np.lexsort((a, b)), np.lexsort((b, a))
+        pick = np.unique(np.concatenate([before[run_starts(b[before])], after[run_starts(a[after])]]))
+        return b[pick], a[pick]
     label = np.arange(len(fps))
     while len(a):
         before = label.copy()
@@ -131,61 +138,71 @@ def linked(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return other, label[other]
 
 
-def _search(batches):
+def _search(direct: bool):
     """Links inside each node of a partition that is sorted by node."""
 
-    def links(mask, pattern, fp):
-        order = np.lexsort((gray_rank(fp), pattern, mask))
-        mask, pattern, fp = mask[order], pattern[order], fp[order]
-        starts = run_starts(mask, pattern)
+    def find(tab, mask, pattern, fp):
+        order = np.lexsort((gray_rank(fp), pattern, mask, tab))
+        tab, mask, pattern, fp = tab[order], mask[order], pattern[order], fp[order]
+        starts = run_starts(tab, mask, pattern)
         sizes = np.diff(np.append(starts, len(fp)))
-        us, vs = [fp[:0]], [fp[:0]]
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         node = np.repeat(np.arange(len(starts)), sizes)
         small = np.repeat(sizes <= FAN, sizes)
         for step in range(1, min(FAN, len(fp))):
             i = np.flatnonzero(small[: len(fp) - step] & (node[: len(fp) - step] == node[step:]))
             i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= RADIUS]
-            us.append(fp[i])
-            vs.append(fp[i + step])
+            us.append(i)
+            vs.append(i + step)
         for s, n in zip(starts[sizes > FAN].tolist(), sizes[sizes > FAN].tolist()):
-            i, j = linked(fp[s : s + n])
-            us.append(fp[s + i])
-            vs.append(fp[s + j])
-        u, v = np.concatenate(us).view(np.int64), np.concatenate(vs).view(np.int64)
-        return pa.record_batch([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
-
-    rest = None
-    for batch in batches:
-        now = [batch.column(c).to_numpy().view(np.uint64) for c in ("mask", "pattern", "fp")]
-        if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now)]
-        starts = run_starts(now[0], now[1])
-        cut = starts[-1] if len(starts) else 0
-        if cut:
-            yield links(*(x[:cut] for x in now))
-        rest = [x[cut:] for x in now]
-    if rest is not None and len(rest[0]):
-        yield links(*rest)
-
-
-def links(fps: DataFrame, work: Work) -> DataFrame:
-    """(u, v), u > v: links at RADIUS or fewer bits that connect what all such links connect."""
+            i, j = linked(fp[s : s + n], direct)
+            us.append(s + i)
+            vs.append(s + j)
+        i, j = np.concatenate(us), np.concatenate(vs)
+        u, v = fp[i].view(np.int64), fp[j].view(np.int64)
+        return pa.record_batch([pa.array(tab[i].astype(np.int32)), pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["tab", "u", "v"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            now = [batch.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in (*NODE_KEY, "fp")]
+            if rest is not None:
+                now = [np.concatenate(x) for x in zip(rest, now)]
+            starts = run_starts(*now[:3])
+            cut = starts[-1] if len(starts) else 0
+            if cut:
+                yield find(*(x[:cut] for x in now))
+            rest = [x[cut:] for x in now]
+        if rest is not None and len(rest[0]):
+            yield find(*rest)
+
+    return run
+
+
+NODE_KEY = ("tab", "mask", "pattern")
+
+
+def links(fps: DataFrame, work: Work, direct: bool = False) -> DataFrame:
+    """(tab, u, v), u > v, from fps (tab, fp): links at RADIUS or fewer bits in one table.
+
+    They connect what all such links connect, or are links themselves if direct.
+    """
     n, masks = partitions(work.spark), _below(0)
-    rows, found, depth = fps.select("fp"), [], 0
+    rows, found, depth = fps.select("tab", "fp"), [], 0
     while True:
         nodes = work.save(_nodes(rows, masks), f"nodes{depth}") if depth == 0 else rows
-        wide = work.save(nodes.groupBy("mask", "pattern").count().where(F.col("count") > NODE).select("mask", "pattern"), f"wide{depth}")
+        wide = work.save(nodes.groupBy(*NODE_KEY).count().where(F.col("count") > NODE).select(*NODE_KEY), f"wide{depth}")
         none = wide.isEmpty()
-        settled = nodes if none else nodes.join(wide, ["mask", "pattern"], "left_anti")
-        found.append(work.save(settled.repartition(n, "mask", "pattern").sortWithinPartitions("mask", "pattern").mapInArrow(_search, "u long, v long"), f"links{depth}"))
+        settled = nodes if none else nodes.join(wide, list(NODE_KEY), "left_anti")
+        found.append(work.save(settled.repartition(n, *NODE_KEY).sortWithinPartitions(*NODE_KEY).mapInArrow(_search(direct), "tab int, u long, v long"), f"links{depth}"))
         if none:
             break
         # fixed size: at most 4 ** depth masks
         down = work.spark.createDataFrame([(_signed(m), [_signed(x) for x in _below(m)]) for m in masks], "mask long, lower array<long>")
-        split = nodes.join(wide, ["mask", "pattern"], "left_semi").join(F.broadcast(down), "mask").select("fp", F.explode("lower").alias("mask"))
+        split = nodes.join(wide, list(NODE_KEY), "left_semi").join(F.broadcast(down), "mask").select("tab", "fp", F.explode("lower").alias("mask"))
         masks = [x for m in masks for x in _below(m)]
         depth += 1
-        rows = work.save(split.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("pattern"), "fp").distinct(), f"nodes{depth}")
+        rows = work.save(split.select("tab", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("pattern"), "fp").distinct(), f"nodes{depth}")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -223,7 +240,7 @@ def grouped(docs: DataFrame, width: int = 3) -> DataFrame:
     work = Work(docs.sparkSession, "simhash")
     rows = work.save(fingerprints(docs, width), "rows")
     fps = work.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
-    roots = components(links(fps, work), work)
+    roots = components(links(fps.withColumn("tab", F.lit(0)), work).select("u", "v"), work)
     labelled = work.save(fps.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "labelled")
     names = work.save(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "names")
     named = work.save(labelled.join(names, "root").select("fp", "component_id"), "named")
@@ -235,10 +252,85 @@ def digest(docs: DataFrame) -> DataFrame:
     return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Near copies: words of a shingle, least similarity, fingerprint tables, hashes of a sketch.
+WORDS, ALIKE, TABLES, SKETCH = 5, 0.8, 16, 128
+_SEEDS = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 & _FULL for k in range(TABLES)], np.uint64)
+
+
+def _hashes(words: list[bytes], hash64, width: int) -> np.ndarray:
+    if not words:
+        return np.zeros(0, np.uint64)
+    width = min(width, len(words))
+    line = b" ".join(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(sizes) - 1
+    starts = (ends - sizes + 1)[: len(words) - width + 1].tolist()
+    return np.array([hash64(line[s:e], 42) for s, e in zip(starts, ends[width - 1 :].tolist())], np.uint64)
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(id, text_hash, fps, sketch): TABLES fingerprints with hashes of their own, and the SKETCH smallest shingle hashes."""
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            offsets, data = text_column(batch.column("text"))
+            view = memoryview(data)
+            fps, low, names = [], [], []
+            for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                raw = bytes(view[s:e])
+                words = raw.lower().split()
+                names.append(xxhash.xxh64_intdigest(raw, 7))
+                h = _hashes(words, xxhash.xxh64_intdigest, 3)
+                ones, n = np.zeros((TABLES, 64), np.int64), len(h)
+                for k in range(0, n, 1 << 12):
+                    part = mix(h[k : k + (1 << 12)][None, :] * _SEEDS[:, None]).astype("<u8").view(np.uint8).reshape(TABLES, -1, 8)
+                    ones += np.unpackbits(part, axis=2, bitorder="little").sum(axis=1, dtype=np.int64)
+                fps.append(np.packbits((2 * ones > n).astype(np.uint8), axis=1, bitorder="little").view("<i8").ravel())
+                low.append(np.unique(mix(_hashes(words, xxhash.xxh64_intdigest, WORDS)) >> np.uint64(1))[:SKETCH].view(np.int64))
+            lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in v])).astype(np.int32)), pa.array(np.concatenate(v) if v else np.zeros(0, np.int64))) for v in (fps, low)]
+            yield pa.record_batch([batch.column("id"), pa.array(np.array(names, np.uint64).view(np.int64)), *lists], names=["id", "text_hash", "fps", "sketch"])
+
+    return docs.select("id", "text").mapInArrow(run, "id long, text_hash long, fps array<long>, sketch array<long>")
+
+
+def alike(a: str, b: str) -> Column:
+    """Jaccard similarity of two shingle sets from their sketches; exact where both sets fit."""
+    both = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+    return F.size(F.array_intersect(both, F.array_intersect(a, b))) / F.greatest(F.size(both), F.lit(1))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(id) of the rows of docs (id, text) that an earlier one makes superfluous.
+
+    Texts are near copies at a WORDS-word Jaccard similarity of ALIKE.  One fingerprint of
+    three-word shingles is seldom within RADIUS for those, so TABLES independent ones go through
+    the index, and its direct links are verified on sketches before they join components.
+    """
+    work = Work(docs.sparkSession, "nearcopies")
+    rows = work.save(sketches(docs), "rows")
+    heads = work.save(rows.groupBy("text_hash").agg(F.min("id").alias("id")), "heads")
+    own = work.save(rows.join(heads, ["text_hash", "id"], "left_semi").dropDuplicates(["id"]), "own")
+    tabled = own.select("id", F.posexplode("fps").alias("tab", "fp"))
+    groups = work.save(tabled.groupBy("tab", "fp").agg(F.min("id").alias("rep")), "groups")
+    found = links(groups, work, direct=True)
+    same = tabled.join(groups, ["tab", "fp"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    ends = groups.select("tab", F.col("fp").alias("u"), F.col("rep").alias("a")), groups.select("tab", F.col("fp").alias("v"), F.col("rep").alias("b"))
+    near = found.join(ends[0], ["tab", "u"]).join(ends[1], ["tab", "v"]).select("a", "b")
+    pairs = work.save(same.unionByName(near).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "pairs")
+    sketch = own.select("id", "sketch")
+    held = pairs.join(sketch.select(F.col("id").alias("u"), F.col("sketch").alias("su")), "u").join(sketch.select(F.col("id").alias("v"), F.col("sketch").alias("sv")), "v")
+    edges = work.save(held.where(alike("su", "sv") >= ALIKE).select("u", "v"), "edges")
+    later = components(edges, work).select(F.col("u").alias("id"))
+    copies = rows.join(heads.select("text_hash", F.col("id").alias("head")), "text_hash").where("id <> head").select("id")
+    return copies.unionByName(later).distinct()
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is their component's smallest; rows without an id stay."""
-    heads = grouped(docs).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    """docs without near copies: of each group the row with the smallest id stays; rows without an id stay, and all with a kept id."""
     # in a struct no other column can clash with a name used here
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    kept = rows.where("id is null").unionByName(rows.where("id is not null").join(heads, "id", "left_semi").select("row", "id"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
+    gone = near_copies(rows.where("id is not null").select("id", "text"))
+    kept = rows.join(gone, "id", "left_anti")
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
