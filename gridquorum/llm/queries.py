@@ -56,4 +56,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_grammar, op2_language_masks, op3_substring_dedup, op4_piece_lattice, op5_simhash_groups, op6_decontaminate, op7_cotraining, op8_maximal_chats, op9_license_scan, op10_quality_rules)}
-SQL: dict[str, str] = {"op8_maximal_chats": conversations.SQL, "op9_license_scan": licenses.sql()}
+SQL: dict[str, str] = {"op3_substring_dedup": substring_dedup.SQL, "op8_maximal_chats": conversations.SQL, "op9_license_scan": licenses.sql()}

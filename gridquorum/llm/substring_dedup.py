@@ -455,3 +455,20 @@ def cut(docs: DataFrame) -> DataFrame:
     kind = T.StructType([T.StructField("rest", marked.schema["rest"].dataType), T.StructField("text", T.StringType())])
     out = marked.mapInArrow(_cut_texts, kind).select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+SQL = """
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+n AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(n - 49)) AS p FROM n WHERE n >= 50)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+r AS (SELECT DISTINCT w.doc_id, p FROM w JOIN f USING (s) WHERE first < doc_id),
+i AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM r),
+g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM i),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM g GROUP BY doc_id, run),
+ends AS (SELECT doc_id, a, b FROM runs UNION ALL SELECT doc_id, n, n FROM n),
+kept AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS x, a AS y FROM ends),
+texts AS (SELECT k.doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS h FROM kept k JOIN n USING (doc_id) GROUP BY k.doc_id)
+SELECT n.doc_id, n.n AS n_bytes, CAST(n.n - length(t.h) // 2 AS BIGINT) AS n_removed, count(r.a) AS n_spans, sha256(unhex(t.h)) AS kept_sha256
+FROM n JOIN texts t USING (doc_id) LEFT JOIN runs r USING (doc_id) GROUP BY n.doc_id, n.n, t.h
+"""
