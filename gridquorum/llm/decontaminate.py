@@ -52,7 +52,7 @@ def simhash(hashes: Column) -> Column:
     """Bit b of the result is 1 if more than half of the hashes have it; up to 65,535 hashes."""
     lanes = 0x0001000100010001
     zero = F.array(*[F.lit(0).cast("long")] * 16)
-    sums = F.aggregate(hashes, zero, lambda acc, h: F.array(*[acc[j].bitwiseXOR(F.lit(0)) + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(lanes)) for j in range(16)]))
+    sums = F.aggregate(hashes, zero, lambda acc, h: F.array(*[acc[j] + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(lanes)) for j in range(16)]))
     return F.transform(F.array(sums), lambda s: _bits(s, F.size(hashes)))[0]
 
 

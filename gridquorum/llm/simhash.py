@@ -19,6 +19,11 @@ Scale.  Equal fingerprints are one index entry (a hash aggregate with map-side
 combine), so a group of copies is one row however large it is.  Components are
 found by alternating large and small stars on written tables.  Nothing is collected.
 
+Near copies.  ``keep_first`` asks for a five-word Jaccard similarity of 0.8.  For such
+texts one fingerprint is often more than three bits off, so sixteen fingerprints
+with hashes of their own go through the index, and its direct links are verified on
+bottom-k sketches of the five-word shingles (exact for up to 128 distinct shingles).
+
 Cases.  Null and empty texts have fingerprint zero and link like any other; null
 ids are ignored when the smallest id is chosen, and a component with null ids only
 has a null id; equal rows stay and share their component.
