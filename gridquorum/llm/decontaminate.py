@@ -50,20 +50,18 @@ def shingles(w: Column, width: int) -> Column:
 
 def simhash(hashes: Column) -> Column:
     """Bit b of the result is 1 if more than half of the hashes have it; up to 65,535 hashes."""
-    lanes = 0x0001000100010001
+    shift = lambda name, x, n: F.call_function(name, x, n)
+    # lane k of counter j counts bit 16 k + j
     zero = F.array(*[F.lit(0).cast("long")] * 16)
-    sums = F.aggregate(hashes, zero, lambda acc, h: F.array(*[acc[j] + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(lanes)) for j in range(16)]))
-    return F.transform(F.array(sums), lambda s: _bits(s, F.size(hashes)))[0]
-
-
-def _bits(sums: Column, n: Column) -> Column:
-    out = F.lit(0).cast("long")
-    for lane in range(4):
-        for j in range(16):
-            count = F.shiftrightunsigned(sums[j], 16 * lane).bitwiseAND(F.lit(0xFFFF))
-            bit = 1 << (16 * lane + j)
-            out = out.bitwiseOR(F.when(count * 2 > n, F.lit(bit - (1 << 64) if bit >> 63 else bit)).otherwise(F.lit(0)).cast("long"))
-    return out
+    counters = F.sequence(F.lit(0), F.lit(15))
+    sums = F.aggregate(hashes, zero, lambda acc, h: F.zip_with(acc, counters, lambda a, j: a + shift("shiftrightunsigned", h, j).bitwiseAND(F.lit(0x0001000100010001))))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def bits(s: Column) -> Column:
+        count = lambda b: shift("shiftrightunsigned", s[b % 16], b - b % 16).bitwiseAND(F.lit(0xFFFF))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), none, lambda acc, b: acc.bitwiseOR(F.when(count(b) * 2 > F.size(hashes), shift("shiftleft", one, b)).otherwise(none)))
+
+    return F.transform(F.array(sums), bits)[0]
 
 
 def _blocks() -> list[tuple[int, int]]:
