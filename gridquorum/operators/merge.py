@@ -50,7 +50,7 @@ def family_vote(arrays: DataFrame) -> DataFrame:
 
 
 def islands(spans: DataFrame, keys: Sequence[str], lo: str = "g0", hi: str = "g1") -> DataFrame:
-    """Union of half-open intervals by key, as maximal runs."""
+    """Union of half-open intervals by key, as maximal runs; spans are distinct."""
     by = Window.partitionBy(*keys).orderBy(lo, hi)
     reach = F.max(hi).over(by.rowsBetween(Window.unboundedPreceding, -1))
     broken = spans.withColumn("_new", (reach.isNull() | (F.col(lo) > reach)).cast("int"))
@@ -99,7 +99,7 @@ def coverage(chunks: DataFrame, request: tuple[Column, Column], stride: int, off
     whole = near.groupBy("var", "layout", "holder", "c", "stride", "tile").agg(F.count("*").alias("tiles"), F.max("g0").alias("g0"), F.min("g1").alias("g1")).where(F.col("tiles") == tiles)
     # one group of a time chunk is complete where its tiles overlap; a coarser layout counts on its own lattice only
     fits = grid.complete_for(F.col("stride"), F.lit(0), F.lit(stride), offset)
-    runs = islands(whole.where(fits & (F.col("g0") < F.col("g1"))).select("var", "g0", "g1"), ["var"])
+    runs = islands(whole.where(fits & (F.col("g0") < F.col("g1"))).select("var", "g0", "g1").distinct(), ["var"])
     clipped = runs.select("var", F.greatest("g0", lo).alias("g0"), F.least("g1", hi).alias("g1")).where("g0 < g1")
     covered = clipped.groupBy("var").agg(F.sum(grid.samples_in("g0", "g1", F.lit(stride), offset)).alias("covered"))
     asked = grid.samples_in(lo, hi, F.lit(stride), offset)

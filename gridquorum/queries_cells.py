@@ -74,7 +74,7 @@ whole AS (
   SELECT var, layout, holder, c, tile, stride, max(g0) AS g0, min(g1) AS g1, count(*) AS tiles FROM chunks
   WHERE t * tile < 6 AND (t + 1) * tile > 2 GROUP BY ALL HAVING count(*) = 5 // tile - 2 // tile + 1),
 ok AS (SELECT var, g0, g1 FROM whole WHERE g0 < g1 AND 6 % stride = 0),
-runs AS (""" + ISLANDS.format(keys="var", spans="SELECT var, g0, g1 FROM ok") + """),
+runs AS (""" + ISLANDS.format(keys="var", spans="SELECT DISTINCT var, g0, g1 FROM ok") + """),
 clipped AS (SELECT var, greatest(g0, 473400) AS g0, least(g1, 474000) AS g1 FROM runs)
 SELECT var, CAST(100 AS BIGINT) AS requested, CAST(sum(ceil(g1 / 6::DOUBLE) - ceil(g0 / 6::DOUBLE)) AS BIGINT) AS covered,
   CAST(100 - sum(ceil(g1 / 6::DOUBLE) - ceil(g0 / 6::DOUBLE)) AS BIGINT) AS missing

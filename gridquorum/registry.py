@@ -21,9 +21,3 @@ def query(sql: str | None = None):
 
     return add
 
-
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["region_union_6h"](spark, sf_dir)
-
-
-from . import queries_catalog, queries_cells, queries_jobs, queries_values  # noqa: E402, F401

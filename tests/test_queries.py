@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from sqlcheck import compare, connect
 
-from gridquorum.registry import QUERIES, SQL, entry
+from gridquorum.queries import QUERIES, SQL, entry
 
 SF = "/root/testdata/sf0.001"
 
