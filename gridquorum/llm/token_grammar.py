@@ -29,6 +29,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -166,7 +167,7 @@ class WordCoder:
     Words are remembered by a 64-bit hash and their length, about 30 bytes for each.
     """
 
-    def __init__(self, path: str, remember: int = 3_000_000):
+    def __init__(self, path: str, remember: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.full = self._encoder(Tokenizer.from_file(path))
@@ -256,6 +257,12 @@ class WordCoder:
         return ids, np.diff(np.concatenate([[0], ends]))
 
 
+@lru_cache(2)
+def coder(path: str) -> WordCoder:
+    """One coder for each Python worker, so that its tasks share the words they remember."""
+    return WordCoder(path)
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, shards: int) -> None:
     """Write the grammar table of docs to path."""
 
@@ -264,7 +271,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, shards: int) -> None:
 
         from pyspark import TaskContext
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        model, shard = WordCoder(tokenizer), TaskContext.get().partitionId()
+        model, shard = coder(tokenizer), TaskContext.get().partitionId()
         block, first, held, n = 0, 0, [], 0
 
         def row():
