@@ -25,6 +25,8 @@ spaces stay apart from it; equal rows stay; a null doc_id stays null.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -75,6 +77,12 @@ class Pieces:
         self.raw, self.raw_at, self.raw_size = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
+@lru_cache(2)
+def opened(path: str) -> Pieces:
+    """One piece table for each Python worker."""
+    return Pieces(path)
+
+
 def _edges(pieces: Pieces, chars: np.ndarray, room: np.ndarray) -> np.ndarray:
     """Piece at each place and length, -1 for none, pieces.n for a character that goes as bytes.
 
@@ -232,7 +240,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
     """
 
     def run(batches):
-        pieces = Pieces(model)
+        pieces = opened(model)
         for batch in batches:
             done = 0
             ids, counts, restored = [], [], []
@@ -263,7 +271,7 @@ def decoded(rows: DataFrame, model: str) -> DataFrame:
     """doc_id and text from rows (doc_id, ids); a text of no pieces is empty."""
 
     def run(batches):
-        pieces = Pieces(model)
+        pieces = opened(model)
         for batch in batches:
             lists = batch.column("ids")
             count = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()], np.int64)
