@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 from .common import BLOBS, Work, bucket_rows, by_bucket, exchange, mix, named_rows, numbers, pack, partitions, ranges, run_starts, slabs, text_column
 
 SPAN, GRAM = 50, 16
-FLUSH = 800_000
+FLUSH, PIECE = 500_000, 1 << 19
 #: Distinct phrases of a trigger from which it is crowded: in one flush of a task, and over all tasks.
 CROWD_HERE, CROWD = 64, 4096
 PHRASE, WINDOW, SETTLED, CONTEXT = 0, 1, 2, 3
@@ -76,7 +76,8 @@ def window_hashes(data: np.ndarray) -> np.ndarray:
     names, h, size, step = {}, _BYTE[data], 1, 0
     while size < 32:
         h, size, step = _join(h[:-size], h[size:], step), size * 2, step + 1
-        names[size] = h
+        if size in (2, 16, 32):
+            names[size] = h
     n = len(data) - SPAN + 1
     return _join(_join(names[32][:n], names[16][32 : 32 + n], 5), names[2][48 : 48 + n], 4)
 
@@ -184,7 +185,7 @@ def _parse(buckets: int):
         held = _Held()
         for batch in batches:
             ids, tks = numbers(batch.column("_llm_id")), numbers(batch.column("_llm_tk"))
-            for i, j, offsets, data in slabs(batch):
+            for i, j, offsets, data in slabs(batch, limit=PIECE):
                 a, b, h, d = phrases(data, offsets[1:])
                 if not len(a):
                     continue
@@ -293,7 +294,7 @@ def _windows(buckets: int):
             ids, tks = numbers(batch.column("_llm_id")), numbers(batch.column("_llm_tk"))
             at, a = _lists(batch.column("_llm_ca"))
             _, n = _lists(batch.column("_llm_cb"))
-            for i, j, offsets, data in slabs(batch):
+            for i, j, offsets, data in slabs(batch, limit=PIECE):
                 s, e = at[i], at[j]
                 if s == e or len(data) < SPAN:
                     continue
