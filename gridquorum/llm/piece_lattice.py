@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import mix, ranges, slabs
 
-LONGEST, UNKNOWN, SLAB, SCALAR = 16, 10.0, 4 << 20, 256
+LONGEST, UNKNOWN, SLAB, SCALAR = 16, 10.0, 2 << 20, 256
 SPACE, LITERAL = 0x2581, 0x110000
 _B = np.uint64(0x9E3779B97F4A7C15)
 
