@@ -112,9 +112,9 @@ def _paths(pieces: Pieces, chars: np.ndarray, size: np.ndarray) -> tuple[np.ndar
     start = np.cumsum(size) - size
     room = np.repeat(start + size, size) - np.arange(len(chars))
     edge = _edges(pieces, chars, room)
-    score = pieces.scores.copy()
+    # index pieces.n is a character that goes as bytes, index -1 no edge
+    score = np.append(pieces.scores, -np.inf)
     score[pieces.n] = pieces.unknown
-    value = np.where(edge >= 0, score[edge], -np.inf)
     order = np.argsort(-size, kind="stable")
     by_size = size[order]
     slot = start + np.arange(len(size))
@@ -124,7 +124,7 @@ def _paths(pieces: Pieces, chars: np.ndarray, size: np.ndarray) -> tuple[np.ndar
     for w in order[:long].tolist():
         s, b = int(start[w]), int(slot[w])
         own, ways = [0.0], [0]
-        rows = value[:, s : s + int(size[w])].T.tolist()
+        rows = score[edge[:, s : s + int(size[w])].T].tolist()
         for j in range(1, int(size[w]) + 1):
             top, way = -np.inf, 0
             for n in range(1, min(LONGEST, j) + 1):
@@ -141,7 +141,7 @@ def _paths(pieces: Pieces, chars: np.ndarray, size: np.ndarray) -> tuple[np.ndar
         s, b = start[live] + j, slot[live] + j
         top, way = np.full(len(live), -np.inf), np.zeros(len(live), np.int32)
         for n in range(1, min(LONGEST, j) + 1):
-            v = best[b - n] + value[n, s - n]
+            v = best[b - n] + score[edge[n, s - n]]
             better = v >= top
             top, way = np.where(better, v, top), np.where(better, n, way)
         best[b], back[b] = top, way
