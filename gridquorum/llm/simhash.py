@@ -19,10 +19,11 @@ Scale.  Equal fingerprints are one index entry (a hash aggregate with map-side
 combine), so a group of copies is one row however large it is.  Components are
 found by alternating large and small stars on written tables.  Nothing is collected.
 
-Near copies.  ``keep_first`` asks for a five-word Jaccard similarity of 0.8.  For such
-texts one fingerprint is often more than three bits off, so sixteen fingerprints
-with hashes of their own go through the index, and its direct links are verified on
-bottom-k sketches of the five-word shingles (exact for up to 128 distinct shingles).
+Near copies.  ``keep_first`` asks for a five-word Jaccard similarity of 0.8, for which
+one fingerprint is often more than three bits off.  So it meets texts on shingles:
+sets are in one order, common shingles last, and of two near copies the first fifths
+share a shingle.  Such pairs are compared on all their shingles.  Texts of a bucket of
+more than ``CROWD`` meet in one task, which compares each with those not linked yet.
 
 Cases.  Null and empty texts have fingerprint zero and link like any other; null
 ids are ignored when the smallest id is chosen, and a component with null ids only
@@ -257,9 +258,10 @@ def digest(docs: DataFrame) -> DataFrame:
     return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near copies: words of a shingle, least similarity, fingerprint tables, hashes of a sketch.
-WORDS, ALIKE, TABLES, SKETCH = 5, 0.8, 16, 128
-_SEEDS = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 & _FULL for k in range(TABLES)], np.uint64)
+#: Near copies: words of a shingle, least similarity, most texts of a bucket whose pairs are written out.
+WORDS, ALIKE, CROWD = 5, 0.8, 64
+#: A common shingle is in OFTEN texts or more; at most COMMON of them are told apart; shingles counted at once.
+OFTEN, COMMON, COUNTED = 64, 100_000, 1 << 21
 
 
 def _hashes(words: list[bytes], hash64, width: int) -> np.ndarray:
@@ -273,63 +275,221 @@ def _hashes(words: list[bytes], hash64, width: int) -> np.ndarray:
     return np.array([hash64(line[s:e], 42) for s, e in zip(starts, ends[width - 1 :].tolist())], np.uint64)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(id, text_hash, fps, sketch): TABLES fingerprints with hashes of their own, and the SKETCH smallest shingle hashes."""
+def shingle_set(raw: bytes) -> tuple[int, np.ndarray]:
+    """Name and sorted hashes of a text's shingle set; texts of one set share the name, and an empty set has that of its text."""
+    import xxhash
 
-    def run(batches):
-        import xxhash
+    s = np.unique(mix(_hashes(raw.lower().split(), xxhash.xxh64_intdigest, WORDS)).view(np.int64))
+    name = xxhash.xxh64_intdigest(s.tobytes(), 11) if len(s) else xxhash.xxh64_intdigest(raw, 7)
+    return name - (1 << 64) if name >> 63 else name, s
+
+
+def _texts(batch):
+    offsets, data = text_column(batch.column("text"))
+    view = memoryview(data)
+    return (bytes(view[s:e]) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()))
+
+
+def _named(batches):
+    """(id, name, 0) for each text, and (null, shingle, texts) for shingles that several texts of a task have."""
+    held, size = [], 0
+
+    def common():
+        found, counts = np.unique(np.concatenate(held), return_counts=True)
+        found, counts = found[counts > 2], counts[counts > 2]
+        return pa.record_batch([pa.nulls(len(found), pa.int64()), pa.array(found), pa.array(counts.astype(np.int64))], names=["id", "name", "n"])
+
+    for batch in batches:
+        names = []
+        for raw in _texts(batch):
+            name, s = shingle_set(raw)
+            names.append(name)
+            held.append(s)
+            size += len(s)
+            if size > COUNTED:
+                yield common()
+                held, size = [], 0
+        yield pa.record_batch([batch.column("id"), pa.array(names, pa.int64()), pa.array(np.zeros(len(names), np.int64))], names=["id", "name", "n"])
+    if held:
+        yield common()
 
+
+def least_shared(n: np.ndarray | int):
+    """Shingles that a set of n has at least in common with a near copy."""
+    return np.ceil(ALIKE * n - 1e-9).astype(np.int64)
+
+
+def _prefixes(common: np.ndarray):
+    """(token, name, n): of each set the shingles of which a near copy has one, common shingles last."""
+
+    def run(batches):
+        seen = set()
         for batch in batches:
-            offsets, data = text_column(batch.column("text"))
-            view = memoryview(data)
-            fps, low, names = [], [], []
-            for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                raw = bytes(view[s:e])
-                words = raw.lower().split()
-                names.append(xxhash.xxh64_intdigest(raw, 7))
-                h = _hashes(words, xxhash.xxh64_intdigest, 3)
-                ones, n = np.zeros((TABLES, 64), np.int64), len(h)
-                for k in range(0, n, 1 << 12):
-                    part = mix(h[k : k + (1 << 12)][None, :] * _SEEDS[:, None]).astype("<u8").view(np.uint8).reshape(TABLES, -1, 8)
-                    ones += np.unpackbits(part, axis=2, bitorder="little").sum(axis=1, dtype=np.int64)
-                fps.append(np.packbits((2 * ones > n).astype(np.uint8), axis=1, bitorder="little").view("<i8").ravel())
-                low.append(np.unique(mix(_hashes(words, xxhash.xxh64_intdigest, WORDS)) >> np.uint64(1))[:SKETCH].view(np.int64))
-            lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in v])).astype(np.int32)), pa.array(np.concatenate(v) if v else np.zeros(0, np.int64))) for v in (fps, low)]
-            yield pa.record_batch([batch.column("id"), pa.array(np.array(names, np.uint64).view(np.int64)), *lists], names=["id", "text_hash", "fps", "sketch"])
-
-    return docs.select("id", "text").mapInArrow(run, "id long, text_hash long, fps array<long>, sketch array<long>")
-
-
-def alike(a: str, b: str) -> Column:
-    """Jaccard similarity of two shingle sets from their sketches; exact where both sets fit."""
-    both = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    return F.size(F.array_intersect(both, F.array_intersect(a, b))) / F.greatest(F.size(both), F.lit(1))
+            tokens, names, sizes = [np.zeros(0, np.int64)], [], []
+            for raw in _texts(batch):
+                name, s = shingle_set(raw)
+                if name in seen or not len(s):
+                    continue
+                seen.add(name)
+                s = s[np.argsort(np.isin(s, common), kind="stable")] if len(common) else s
+                tokens.append(s[: len(s) - int(least_shared(len(s))) + 1])
+                names.append(name)
+                sizes.append(len(s))
+            counts = [len(x) for x in tokens[1:]]
+            yield pa.record_batch([pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.array(names, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts))], names=["token", "name", "n"])
+
+    return run
+
+
+def _meet(token: np.ndarray, name: np.ndarray, n: np.ndarray):
+    """(u, v, nu, nv, c): pairs of sets with c tokens in common; c = 0: token u is crowded and set v has it."""
+    order = np.lexsort((name, token))
+    at = order[run_starts(token[order], name[order])]
+    token, name, n = token[at], name[at], n[at]
+    starts = run_starts(token)
+    sizes = np.diff(np.append(starts, len(token)))
+    crowded = np.flatnonzero(np.repeat(sizes > CROWD, sizes))
+    after = np.repeat(starts + sizes, sizes) - 1 - np.arange(len(token))
+    i = np.flatnonzero((after > 0) & np.repeat(sizes <= CROWD, sizes))
+    us, vs, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
+    while len(i):
+        fits = np.minimum(n[i], n[i + step]) >= least_shared(np.maximum(n[i], n[i + step]))
+        us.append(i[fits])
+        vs.append(i[fits] + step)
+        step += 1
+        i = i[after[i] >= step]
+    v, u = np.concatenate(us), np.concatenate(vs)  # names rise within a bucket
+    order = np.lexsort((name[v], name[u]))
+    u, v = u[order], v[order]
+    first = run_starts(name[u], name[v])
+    count = np.diff(np.append(first, len(u)))
+    u, v, none = u[first], v[first], np.zeros(len(crowded), np.int64)
+    columns = ((name[u], token[crowded]), (name[v], name[crowded]), (n[u], none), (n[v], none), (count, none))
+    return pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in columns], names=["u", "v", "nu", "nv", "c"])
+
+
+def _buckets(batches):
+    """Pairs of the buckets of a partition that is sorted by token."""
+    held, size, most = [], 0, 1 << 18
+    for batch in batches:
+        held.append([batch.column(c).to_numpy() for c in ("token", "name", "n")])
+        size += batch.num_rows
+        if size >= most:
+            now = [np.concatenate(x) for x in zip(*held)]
+            cut = run_starts(now[0])[-1]
+            if cut:
+                yield _meet(*(x[:cut] for x in now))
+            held, size = [[x[cut:] for x in now]], len(now[0]) - cut
+            most = max(1 << 18, 2 * size)
+    if size:
+        yield _meet(*(np.concatenate(x) for x in zip(*held)))
+
+
+def _sets(batches):
+    for batch in batches:
+        found = [shingle_set(raw) for raw in _texts(batch)]
+        sets = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(s) for _, s in found])).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *(s for _, s in found)])))
+        yield pa.record_batch([pa.array([name for name, _ in found], pa.int64()), sets], names=["name", "shingles"])
+
+
+def _split(column) -> list[np.ndarray]:
+    """The arrays of a list column."""
+    values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[s:e] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
+def _verified(batches):
+    """(u, v) of the pairs (u, v, su, sv) whose sets are near copies."""
+    for batch in batches:
+        same = np.zeros(batch.num_rows, bool)
+        for k, (a, b) in enumerate(zip(_split(batch.column("su")), _split(batch.column("sv")))):
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            same[k] = both / (len(a) + len(b) - both) >= ALIKE
+        yield batch.select(["u", "v"]).filter(pa.array(same))
+
+
+def settled(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links of near copies that connect all sets which near copies connect.
+
+    Each set is compared with all that have no link yet, so no pair of two groups is left out.
+    """
+    found, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    own = np.split(flat, np.cumsum(sizes)[:-1])
+    mark, left, out, queue = np.zeros(len(found), bool), np.arange(len(sets)), [], []
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+            rest, stale = None, True
+            continue
+        x = queue.pop()
+        if stale:
+            rest, stale = (np.concatenate([own[k] for k in left]), np.cumsum(sizes[left]) - sizes[left]), False
+        mark[own[x]] = True
+        both = np.add.reduceat(mark[rest[0]], rest[1], dtype=np.int64)
+        mark[own[x]] = False
+        hit = both / (sizes[x] + sizes[left] - both) >= ALIKE
+        if hit.any():
+            out += [(x, k) for k in left[hit].tolist()]
+            queue += left[hit].tolist()
+            left, stale = left[~hit], True
+    return out
+
+
+def _crowds(batches):
+    """(u, v) of the links in each bucket of a partition that is sorted by bucket."""
+
+    def links_of(names, sets):
+        ends = settled(sets)
+        u, v = (np.array([names[e[k]] for e in ends], np.int64) for k in (0, 1))
+        return pa.record_batch([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    key, names, sets = None, [], []
+    for batch in batches:
+        for bucket, name, s in zip(batch.column("bucket").to_pylist(), batch.column("name").to_pylist(), _split(batch.column("shingles"))):
+            if bucket != key:
+                if names:
+                    yield links_of(names, sets)
+                key, names, sets = bucket, [], []
+            names.append(name)
+            sets.append(s)
+    if names:
+        yield links_of(names, sets)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """(id) of the rows of docs (id, text) that an earlier one makes superfluous.
 
-    Texts are near copies at a WORDS-word Jaccard similarity of ALIKE.  One fingerprint of
-    three-word shingles is seldom within RADIUS for those, so TABLES independent ones go through
-    the index, and its direct links are verified on sketches before they join components.
+    Texts are near copies at a WORDS-word Jaccard similarity of ALIKE.
     """
-    work = Work(docs.sparkSession, "nearcopies")
-    rows = work.save(sketches(docs), "rows")
-    heads = work.save(rows.groupBy("text_hash").agg(F.min("id").alias("id")), "heads")
-    own = work.save(rows.join(heads, ["text_hash", "id"], "left_semi").dropDuplicates(["id"]), "own")
-    tabled = own.select("id", F.posexplode("fps").alias("tab", "fp"))
-    groups = work.save(tabled.groupBy("tab", "fp").agg(F.min("id").alias("rep")), "groups")
-    found = links(groups, work, direct=True)
-    same = tabled.join(groups, ["tab", "fp"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    ends = groups.select("tab", F.col("fp").alias("u"), F.col("rep").alias("a")), groups.select("tab", F.col("fp").alias("v"), F.col("rep").alias("b"))
-    near = found.join(ends[0], ["tab", "u"]).join(ends[1], ["tab", "v"]).select("a", "b")
-    pairs = work.save(same.unionByName(near).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "pairs")
-    sketch = own.select("id", "sketch")
-    held = pairs.join(sketch.select(F.col("id").alias("u"), F.col("sketch").alias("su")), "u").join(sketch.select(F.col("id").alias("v"), F.col("sketch").alias("sv")), "v")
-    edges = work.save(held.where(alike("su", "sv") >= ALIKE).select("u", "v"), "edges")
-    later = components(edges, work).select(F.col("u").alias("id"))
-    copies = rows.join(heads.select("text_hash", F.col("id").alias("head")), "text_hash").where("id <> head").select("id")
-    return copies.unionByName(later).distinct()
+    work, n = Work(docs.sparkSession, "nearcopies"), partitions(docs.sparkSession)
+    docs = docs.select("id", "text")
+    told = work.save(docs.mapInArrow(_named, "id long, name long, n long"), "told")
+    rows = told.where("id is not null").select("id", "name")
+    often = told.where("id is null").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    # at most COMMON numbers; any set of them gives the same pairs
+    common = np.array([r[0] for r in often.orderBy(F.desc("n"), "name").limit(COMMON).select("name").collect()], np.int64)
+    tokens = docs.mapInArrow(_prefixes(common), "token long, name long, n int")
+    met = work.save(tokens.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_buckets, "u long, v long, nu long, nv long, c long"), "met")
+
+    # what two prefixes do not share of an overlap lies behind one of them
+    need = F.ceil(ALIKE / (1 + ALIKE) * (F.col("nu") + F.col("nv")) - 1e-9) - F.ceil(ALIKE * F.greatest("nu", "nv") - 1e-9) + 1
+    pairs = work.save(met.where("c > 0").groupBy("u", "v", "nu", "nv").agg(F.sum("c").alias("c")).where(F.col("c") >= need).select("u", "v"), "pairs")
+    crowds = met.where("c = 0").select(F.col("u").alias("bucket"), F.col("v").alias("name"))
+    names = pairs.select(F.col("u").alias("name")).unionByName(pairs.select(F.col("v").alias("name"))).unionByName(crowds.select("name")).distinct()
+    heads = work.save(rows.groupBy("name").agg(F.min("id").alias("first")), "heads")
+    wanted = work.save(heads.join(names, "name", "left_semi"), "wanted")
+    texts = docs.join(wanted.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
+    sets = work.save(texts.mapInArrow(_sets, "name long, shingles array<long>").join(wanted.select("name"), "name", "left_semi").dropDuplicates(["name"]), "sets")
+    held = pairs.join(sets.select(F.col("name").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("name").alias("v"), F.col("shingles").alias("sv")), "v")
+    small = held.select("u", "v", "su", "sv").mapInArrow(_verified, "u long, v long")
+    large = crowds.join(sets, "name").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_crowds, "u long, v long")
+    edges = work.save(small.unionByName(large).distinct(), "edges")
+
+    roots = components(edges, work).select(F.col("u").alias("name"), F.col("v").alias("root"))
+    labelled = work.save(heads.join(roots, "name", "left").select("name", "first", F.coalesce("root", "name").alias("root")), "labelled")
+    kept = labelled.join(labelled.groupBy("root").agg(F.min("first").alias("kept")), "root").select("name", "kept")
+    return rows.join(kept, "name").where("id <> kept").select("id").distinct()
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -328,3 +328,32 @@ def test_the_relational_lattice_agrees(spark, pieces):
     got = {r["word"]: r["ids"] for r in piece_lattice.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), table, pieces.byte.tolist(), pieces.unknown).collect()}
     known = {pieces.texts[i]: i for i in np.flatnonzero(pieces.usable).tolist()}
     assert got == {w: path_brute(pieces, known, w[1:]) for w in words}
+
+
+def kept_brute(texts):
+    """Ids that stay: the smallest of each group of texts linked at a five-word Jaccard similarity of 0.8."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        n = min(5, len(w))
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)})
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return set(root)
+
+
+def left_of(spark, texts):
+    return {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
+def test_copies_that_a_smallest_id_hides(spark):
+    rng = random.Random(11)
+    say = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n)]
+    # all have the fingerprint of the line; only the last two are near copies
+    line, tail = " ".join(say(9) * 60), say(120)
+    texts = [f"{line} {' '.join(say(120))}", f"{line} {' '.join(tail)}", f"{line} {' '.join(tail[:-4] + say(4))}"]
+    assert kept_brute(texts) == {0, 1} == left_of(spark, texts)
