@@ -101,11 +101,8 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def linked(fps: np.ndarray, direct: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (i, j) of the fingerprints of one node, which are sorted by Gray rank.
-
-    direct: links of the index itself, to the first partner before and after each fingerprint.
-    """
+def linked(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (i, j) of the fingerprints of one node, which are sorted by Gray rank."""
     levels = [(fps, np.full(len(fps), _FULL, np.uint64))]
     while len(levels[-1][0]) > FAN:
         pattern, mask = levels[-1]
@@ -128,10 +125,6 @@ def linked(fps: np.ndarray, direct: bool = False) -> tuple[np.ndarray, np.ndarra
         fits = (a < n) & (b < n) & (a <= b)
         a, b = a[fits], b[fits]
     a, b = a[a < b], b[a < b]
-    if direct:
-        before, after = np.lexsort((a, b)), np.lexsort((b, a))
-        pick = np.unique(np.concatenate([before[run_starts(b[before])], after[run_starts(a[after])]]))
-        return b[pick], a[pick]
     label = np.arange(len(fps))
     while len(a):
         before = label.copy()
@@ -144,7 +137,7 @@ def linked(fps: np.ndarray, direct: bool = False) -> tuple[np.ndarray, np.ndarra
     return other, label[other]
 
 
-def _search(direct: bool):
+def _search():
     """Links inside each node of a partition that is sorted by node."""
 
     def find(tab, mask, pattern, fp):
@@ -161,7 +154,7 @@ def _search(direct: bool):
             us.append(i)
             vs.append(i + step)
         for s, n in zip(starts[sizes > FAN].tolist(), sizes[sizes > FAN].tolist()):
-            i, j = linked(fp[s : s + n], direct)
+            i, j = linked(fp[s : s + n])
             us.append(s + i)
             vs.append(s + j)
         i, j = np.concatenate(us), np.concatenate(vs)
@@ -188,11 +181,8 @@ def _search(direct: bool):
 NODE_KEY = ("tab", "mask", "pattern")
 
 
-def links(fps: DataFrame, work: Work, direct: bool = False) -> DataFrame:
-    """(tab, u, v), u > v, from fps (tab, fp): links at RADIUS or fewer bits in one table.
-
-    They connect what all such links connect, or are links themselves if direct.
-    """
+def links(fps: DataFrame, work: Work) -> DataFrame:
+    """(tab, u, v), u > v, from fps (tab, fp): they connect what all links at RADIUS or fewer bits in one table connect."""
     n, masks = partitions(work.spark), _below(0)
     rows, found, depth = fps.select("tab", "fp"), [], 0
     while True:
@@ -200,7 +190,7 @@ def links(fps: DataFrame, work: Work, direct: bool = False) -> DataFrame:
         wide = work.save(nodes.groupBy(*NODE_KEY).count().where(F.col("count") > NODE).select(*NODE_KEY), f"wide{depth}")
         none = wide.isEmpty()
         settled = nodes if none else nodes.join(wide, list(NODE_KEY), "left_anti")
-        found.append(work.save(settled.repartition(n, *NODE_KEY).sortWithinPartitions(*NODE_KEY).mapInArrow(_search(direct), "tab int, u long, v long"), f"links{depth}"))
+        found.append(work.save(settled.repartition(n, *NODE_KEY).sortWithinPartitions(*NODE_KEY).mapInArrow(_search(), "tab int, u long, v long"), f"links{depth}"))
         if none:
             break
         # fixed size: at most 4 ** depth masks

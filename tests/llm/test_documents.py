@@ -357,3 +357,19 @@ def test_copies_that_a_smallest_id_hides(spark):
     line, tail = " ".join(say(9) * 60), say(120)
     texts = [f"{line} {' '.join(say(120))}", f"{line} {' '.join(tail)}", f"{line} {' '.join(tail[:-4] + say(4))}"]
     assert kept_brute(texts) == {0, 1} == left_of(spark, texts)
+
+
+def test_large_families(spark):
+    rng = random.Random(12)
+    say = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n)]
+    texts = []
+    for size in (150, 40, 3):
+        base = say(100)
+        for _ in range(size):  # pairs that differ in two words or fewer are linked
+            words = list(base)
+            for _ in range(rng.randint(1, 3)):
+                words[rng.randrange(100)] = say(1)[0]
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    want = kept_brute(texts)
+    assert 3 < len(want) < len(texts) and left_of(spark, texts) == want
