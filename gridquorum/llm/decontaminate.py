@@ -7,7 +7,7 @@ the weighted Jaccard similarity of their shingles, each weighted by its number o
 repeats, is at least ``ALIKE``.
 
 1. Shingles of the texts meet the benchmark's shingles in an equi-join.  Similarity
-   ALIKE needs 2 ALIKE / (1 + ALIKE) of an item's shingles in the window, so a
+   ALIKE needs ALIKE / (1 + ALIKE) of the shingles of item and window together, so a
    document with fewer hits for an item cannot leak it and is let go at once.
 2. Each window that holds a hit gets its SimHash.  Counters of sixteen bits, four to
    a long, add up the bits of the shingle hashes.
@@ -104,17 +104,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     widths = [r[0] for r in items.select("width").distinct().orderBy("width").collect()]
     n = items.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     small = (lambda df: F.broadcast(df)) if n <= SMALL else (lambda df: df)
-    need = F.ceil(F.lit(2 * ALIKE / (1 + ALIKE) - 1e-9) * F.col("m"))
-    wanted = items.select("item", "width", "m", need.alias("need"), F.explode(F.array_distinct("hashes")).alias("hash"))
+    wanted = items.select("item", "width", "m", F.explode(F.array_distinct("hashes")).alias("hash"))
 
     rows = named_rows(docs.select("doc_id", "text"), work)
     key = ["_llm_id", "_llm_tk"]
     lists = F.array(*[F.struct(F.lit(k).alias("width"), shingles(F.col("w"), k).alias("hashes")) for k in widths or [WIDTH]])
     told = rows.select(*key, words(F.col("text")).alias("w")).select(*key, F.explode(lists).alias("x"))
-    said = told.select(*key, F.col("x.width").alias("width"), F.posexplode("x.hashes").alias("pos", "hash"))
-    hits = said.join(small(wanted), ["width", "hash"]).groupBy(*key, "item", "width", "m", "need").agg(F.collect_set("pos").alias("places"))
-    # a text shorter than the item is one window; it needs its hits all the same
-    near = work.save(hits.where(F.size("places") >= F.col("need")).groupBy(*key, "width", "m").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")), "near")
+    said = told.select(*key, F.col("x.width").alias("width"), F.size("x.hashes").alias("n"), F.posexplode("x.hashes").alias("pos", "hash"))
+    hits = said.join(small(wanted), ["width", "hash"]).groupBy(*key, "item", "width", "m").agg(F.collect_set("pos").alias("places"), F.min("n").alias("n"))
+    # a text shorter than the item is one window of n shingles
+    need = F.ceil(ALIKE / (1 + ALIKE) * (F.col("m") + F.least("m", "n")) - 1e-9)
+    near = work.save(hits.where(F.size("places") >= need).groupBy(*key, "width", "m").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")), "near")
 
     texts = rows.dropDuplicates(key).select(*key, words(F.col("text")).alias("w"))
     whole = F.coalesce(*[F.when(F.col("width") == k, shingles(F.col("w"), k)) for k in widths or [WIDTH]])

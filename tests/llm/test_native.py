@@ -105,3 +105,15 @@ def test_pipeline(spark):
     assert ids[3] == ids[2]
     out = p.run(spark, SF)
     assert {r["doc_id"] for r in out.where("restored").collect()} == ids[-1] and out.count() == len(ids[-1])
+
+
+def test_documents_shorter_than_an_item(spark):
+    rng = random.Random(7)
+    say = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 6))) for _ in range(n))
+    items = [(k, say(n)) for k, n in enumerate((24, 38, 59))]
+    # cut copies of items with 20, 34 and 55 shingles
+    cut = lambda k, n: " ".join(items[k][1].split()[: n + 4])
+    rows = list(enumerate(cut(k, n) for k, sizes in enumerate(((15, 16, 17, 18), (27, 28, 30, 31), (43, 44, 48, 50))) for n in sizes))
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = leaks_brute(rows, items)
+    assert len(want) == 9 and {(r["doc_id"], r["item_id"], round(r["similarity"], 6)) for r in got.collect()} == want
