@@ -17,7 +17,8 @@ spanning star of each linked set, not with all pairs.
 
 Scale.  Equal fingerprints are one index entry (a hash aggregate with map-side
 combine), so a group of copies is one row however large it is.  Components are
-found by alternating large and small stars on written tables.  Nothing is collected.
+found by alternating large and small stars on written tables.  Only the
+``COMMON`` most common shingles at most are collected, for the order of the sets.
 
 Near copies.  ``keep_first`` asks for a five-word Jaccard similarity of 0.8, for which
 one fingerprint is often more than three bits off.  So it meets texts on shingles:
