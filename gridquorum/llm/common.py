@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
 import io
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,40 +23,69 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a local master (a test) gets a temporary folder and a cluster an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-work-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
 class Work:
     """Intermediate tables below ``spark.checkpoint.dir``, which all executors share.
 
-    A written table cuts the lineage, so a lost executor costs at most one step.
-    Only a session without that setting (a local test) gets a temporary folder.
+    A written table cuts the lineage, so a lost executor costs at most one step.  Spark
+    deletes the shuffle files of a step when its table is written.  Tables go when they
+    are dropped, and the folder goes when the program ends, as results read from it.
     """
 
+    live: list[Work] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="spark-work-")
-            spark.conf.set("spark.checkpoint.dir", root)
-        self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        Work.live.append(self)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
     def save(self, df: DataFrame, table: str) -> DataFrame:
-        self.release()
-        df.write.option("compression", "zstd").parquet(self.path(table))
-        out = self.spark.read.schema(df.schema).parquet(self.path(table))
-        return out
-
-    def drop(self, table: str) -> None:
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(self.path(table))
+        finally:
+            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(self.path(table))
+
+    def drop(self, *tables: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for table in tables:
+            self._delete(self.path(table))
+
+    def close(self) -> None:
+        """Delete the folder: no result that reads from it is needed any more."""
+        self._delete(self.root)
+        Work.live.remove(self)
+
+    def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of steps whose tables are written."""
-        for _ in range(2):
-            gc.collect()
-            self.spark._jvm.System.gc()
+@atexit.register
+def _close_all() -> None:
+    with contextlib.suppress(Py4JError, OSError):  # the JVM may be gone
+        for work in list(Work.live):
+            work.close()
+
+
+#: Spark's own removal of the shuffle files of a query that has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def partitions(spark: SparkSession) -> int:
@@ -64,11 +95,12 @@ def partitions(spark: SparkSession) -> int:
 def named_rows(df: DataFrame, work: Work) -> DataFrame:
     """df with _llm_id, the id as a long (null: the largest), and _llm_tk, which together name a text.
 
-    _llm_tk is 0 where all rows of an id have one text, else a 31-bit hash of the text.
+    _llm_tk is 0 where all rows of an id have one text, else the text's 64-bit hash: texts of
+    one id are mixed up only if all 64 bits agree, for n texts of an id at a chance of n * n / 2^65.
     The table of ids with several texts is joined by broadcast only if it is small.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    tk = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("long")
+    tk = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     several = df.groupBy(key.alias("_llm_id")).agg(F.min(tk).alias("a"), F.max(tk).alias("b")).where("a <> b").select("_llm_id", F.lit(True).alias("_llm_several"))
     several = work.save(several, "several")
     out = df.withColumn("_llm_id", key).join(several, "_llm_id", "left")
@@ -158,18 +190,45 @@ def mix(x: np.ndarray) -> np.ndarray:
 _CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def byte_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[start : start + size] for each range, length included; an empty one is 0."""
-    out = np.zeros(len(start), np.uint64)
-    full = np.flatnonzero(size)
-    if len(full):
-        start, size = np.asarray(start)[full], np.asarray(size)[full]
-        first = np.cumsum(size) - size
-        within = np.arange(int(size.sum())) - np.repeat(first, size)
-        powers = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
-        codes = _CODE[data[np.repeat(start, size) + within]] * powers[within]
-        out[full] = mix(np.add.reduceat(codes, first) + size.astype(np.uint64))
-    return out
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs without ASCII white space."""
+    space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
+    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word, A-Z lowered: a sum of byte codes times powers of an odd number."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    first = np.cumsum(size) - size
+    within = np.arange(int(size.sum())) - np.repeat(first, size)
+    powers = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
+    codes = _CODE[_LOWER[data[np.repeat(start, size) + within]]] * powers[within]
+    return mix(np.add.reduceat(codes, first))
+
+
+def word_slabs(batch, limit: int = 4 << 20):
+    """Runs of whole rows of about ``limit`` bytes: first, last, text starts, bytes with a space after each text, word starts, ends, texts."""
+    offsets, data = text_column(batch.column("text"))
+    first, n = 0, len(offsets) - 1
+    while first < n:
+        last = min(n, max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1))
+        piece = data[offsets[first] : offsets[last]]
+        at = offsets[first : last + 1] - offsets[first]
+        # a space between documents, so that no word crosses
+        spaced = np.full(len(piece) + last - first, 0x20, np.uint8)
+        spaced[np.arange(len(piece)) + np.repeat(np.arange(last - first), np.diff(at))] = piece
+        at = at + np.arange(last - first + 1)
+        start, end = word_spans(spaced)
+        yield first, last, at, spaced, start, end, np.searchsorted(at, start, "right") - 1
+        first = last
 
 
 def run_starts(*sorted_keys: np.ndarray) -> np.ndarray:

@@ -26,34 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, mix, text_column
+from .common import Work, mix, word_hashes, word_slabs
 
 BINS, SPREADS = 1 << 14, 4.0
 SYMBOLS = b"#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT = 8, 20, 30
-PIECE = 4 << 20
-
-
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
-    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-
-
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-
-
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, A-Z lowered: a sum of byte codes times powers of an odd number."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    size = end - start
-    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    powers = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
-    codes = _CODE[_LOWER[data[np.repeat(start, size) + within]]] * powers[within]
-    return mix(np.add.reduceat(codes, np.cumsum(size) - size))
 
 
 def gram_bins(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,29 +40,13 @@ def gram_bins(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate([words, bigram]) >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), np.concatenate([doc, doc[1:][pair]])
 
 
-def _slabs(batch):
-    offsets, data = text_column(batch.column("text"))
-    first, n = 0, len(offsets) - 1
-    while first < n:
-        last = min(n, max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE, "right")) - 1))
-        piece = data[offsets[first] : offsets[last]]
-        at = offsets[first : last + 1] - offsets[first]
-        # a space between documents, so that no word crosses
-        spaced = np.full(len(piece) + last - first, 0x20, np.uint8)
-        spaced[np.arange(len(piece)) + np.repeat(np.arange(last - first), np.diff(at))] = piece
-        at = at + np.arange(last - first + 1)
-        start, end = word_spans(spaced)
-        yield first, last, at, spaced, start, end, np.searchsorted(at, start, "right") - 1
-        first = last
-
-
 def counts(texts: DataFrame) -> np.ndarray:
     """Number of n-grams of all texts in each bin."""
 
     def run(batches):
         total = np.zeros(BINS, np.int64)
         for batch in batches:
-            for _, _, _, data, start, end, doc in _slabs(batch):
+            for _, _, _, data, start, end, doc in word_slabs(batch):
                 total += np.bincount(gram_bins(word_hashes(data, start, end), doc)[0], minlength=BINS)
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bin", "n"])
@@ -137,7 +98,7 @@ def _scores(weight: np.ndarray):
     def run(batches):
         for batch in batches:
             out = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score")}
-            for i, j, at, data, start, end, doc in _slabs(batch):
+            for i, j, at, data, start, end, doc in word_slabs(batch):
                 n = j - i
                 hashes = word_hashes(data, start, end)
                 bins, of = gram_bins(hashes, doc)
@@ -179,7 +140,6 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = work.save(good, "good")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     raw, target = counts(rows), counts(rows.join(good, "doc_id", "left_semi"))
-    work.release()
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
     # figures without the labels, so that no text is shuffled
     facts = work.save(rows.mapInArrow(_scores(weights(target, raw)), schema), "facts")

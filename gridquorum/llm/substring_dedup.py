@@ -378,8 +378,7 @@ def repeats(docs: DataFrame, work: Work) -> DataFrame:
     found = keyed.join(_by_doc(answers, CANDIDATE, parts, "_llm_c"), ["_llm_id", "_llm_tk"]).mapInArrow(_windows(buckets), BLOBS)
     shared = work.save(exchange(found, parts).mapInArrow(_ranked(buckets), BLOBS), "shared")
     removed = work.save(_by_doc(answers.unionByName(shared), REMOVED, parts, "_llm_r"), "removed")
-    work.drop("answers")
-    work.drop("shared")
+    work.drop("answers", "shared")
     return removed
 
 

@@ -9,10 +9,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from gridquorum.llm import cotraining, language_masks, piece_lattice, quality_rules, simhash, substring_dedup, token_grammar
+from gridquorum.llm.common import Work, word_spans
 from gridquorum.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _llm_id string, fp string, score double"
@@ -83,6 +85,29 @@ def test_a_crowded_trigger(spark):
     assert Counter(map(tuple, got)) == cut_brute(rows)
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    # two texts whose 64-bit hashes agree in 31 bits, under one null id
+    a, b = "text 10917", "text 36592"
+    assert (xxhash.xxh64_intdigest(a, 42) ^ xxhash.xxh64_intdigest(b, 42)) & 0x7FFFFFFF == 0
+    names = substring_dedup.named_rows(spark.createDataFrame([(None, a), (None, b), (4, a), (4, a)], "doc_id long, text string"), Work(spark, "names")).collect()
+    assert len({(r["_llm_id"], r["_llm_tk"]) for r in names}) == 3
+
+    rng = random.Random(14)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line = say(65)
+    rows = [(1, line)] + [(None, say(40) + line + say(k)) for k in range(30, 60)]
+    got = substring_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == cut_brute(rows)
+
+
+def test_long_texts_are_cut(spark):
+    rng = random.Random(15)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(300_000))
+    rows = [(1, base), (2, base[100_000:] + "xyz" * 50), (3, "z" + base[:50]), (4, base[:49])]
+    got = substring_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == cut_brute(rows)
+
+
 def test_cut_keeps_columns_and_characters(docs):
     out = substring_dedup.cut(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -189,14 +214,41 @@ def test_token_files(docs, rows, empty):
     assert token_grammar.digest(empty, path).count() == 0
 
 
-def test_blocks_read_anywhere():
+def test_shards_read_anywhere():
     rng = np.random.default_rng(0)
     ids = np.concatenate([np.tile(rng.integers(0, 49408, 50), 60), rng.integers(0, 30, 3000), np.zeros(999, int)])
-    payload = token_grammar.write_block(ids, np.array([1, 2]), np.array([False, True]), np.array([10, len(ids) - 10]))
-    block = token_grammar.Block(payload)
-    assert np.array_equal(block.ids(), ids) and len(block.symbols) < len(ids) / 2
+    payload = token_grammar.write_shard(ids, np.array([1, 2]), np.array([False, True]), np.array([10, len(ids) - 10]))
+    shard = token_grammar.Shard(payload)
+    assert np.array_equal(shard.ids(), ids) and len(shard.symbols) < len(ids) / 2
     for first, n in ((0, 1), (17, 300), (len(ids) - 5, 5), (2990, 40)):
-        assert np.array_equal(block.part(first, n), ids[first : first + n])
+        assert np.array_equal(shard.part(first, n), ids[first : first + n])
+
+
+def test_nothing_frequent_is_left():
+    rng = np.random.default_rng(4)
+    phrase = rng.integers(0, 49408, 700)
+    ids = np.concatenate([np.concatenate([phrase, rng.integers(0, 49408, rng.integers(1, 9))]) for _ in range(90)] + [np.zeros(5000, int)])
+    seq, rules, ends = token_grammar.compress(ids)
+    flat, start, size = token_grammar.expansions(rules, ends)
+    assert np.array_equal(flat[token_grammar.ranges(start[seq], size[seq])], ids)
+    pairs, n = np.unique(np.stack([seq[:-1], seq[1:]], axis=1), axis=0, return_counts=True)
+    # a run of one symbol holds half as many pairs as neighbours
+    assert all(k < token_grammar.LEAST for (a, b), k in zip(pairs.tolist(), n.tolist()) if a != b)
+    assert len(seq) < len(ids) / 50 and size.max() >= 700
+
+
+def test_words_are_cut_as_the_tokenizer_cuts_them():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    full, mine = Tokenizer.from_file(path), token_grammar.WordCoder(path)
+    letters = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000 and (chr(c).isalpha() or c < 0x3000)]
+    texts = ["\u0130.", "hello, \u0130STANBUL\u0130.", *(f"{c}. a{c}, {c}b." for c in letters)]
+    ids, sizes = mine.texts(pa.array(texts))
+    want = [[*e.ids, 2] for e in full.encode_batch(texts, add_special_tokens=False)]
+    ends = np.cumsum(sizes)
+    wrong = [t for t, w, s, e in zip(texts, want, (ends - sizes).tolist(), ends.tolist()) if ids[s:e].tolist() != w]
+    assert not wrong
 
 
 # 2: languages
@@ -215,6 +267,22 @@ def test_languages_are_told_apart(spark):
     assert [by[i]["lang_pred"] for i in (900, 901, 902, 903, None)] == ["und", "und", "und", "aa", "bb"]
     assert all(0 <= r["score"] <= 1 for r in got)
 
+    model = language_masks.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    odd = [(1, "zzqq xxvv", 5), (2, "\U0001f600\U0001f601\U0001f602", 5), (3, "\U00020000\U00020001", 5), (4, "bona " * 300_000, 5), (5, "\u0301 12", 5), (6, None, 5)]
+    told = {r["doc_id"]: r for r in language_masks.predict(spark.createDataFrame(odd, "doc_id long, text string, fp int"), model).collect()}
+    usual = max(("aa", "bb"), key=lambda k: (sum(x == k and t is not None for _, t, x in rows), k == "aa"))
+    assert [told[i]["lang_pred"] for i in range(1, 7)] == [usual, "und", usual, "aa", "und", "und"]
+    assert all(r["fp"] == 5 for r in told.values())
+
+
+def test_many_languages(spark):
+    rng = random.Random(30)
+    names = [f"l{k:03d}" for k in range(90)]  # more than one mask word
+    words = {k: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for k in names}
+    rows = [(i, " ".join(rng.choice(words[names[i % 90]]) for _ in range(30)), names[i % 90]) for i in range(900)]
+    got = language_masks.held_out(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sum(r["lang_pred"] == names[r["doc_id"] % 90] for r in got) >= 890
+
 
 def test_no_languages(spark):
     rows = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
@@ -249,9 +317,47 @@ def test_rules(spark, docs, rows, empty):
     assert quality_rules.judged(docs, labels.limit(0)).where("not base_failed and not kept").count() == 0
 
 
+def test_the_verdict(spark, docs, rows):
+    """The likelihood ratio in plain Python, over words in place of bins."""
+    rng = random.Random(31)
+    good, bad = [["".join(rng.choice(letters) for _ in range(5)) for _ in range(60)] for letters in ("abcdefghij", "klmnopqrst")]
+    own = [(i, " ".join(rng.choice(bad if i % 5 == 4 else good) for _ in range(rng.randint(25, 90)))) for i in range(300)] + [(300, None), (301, good[0]), (2, "word " * 30)]
+    marks = [(i, 1, 1 if i == 11 else 0) for i in range(0, 150, 3) if i % 5 != 4] + [(21, 0, 0), (4, 1, 1), (9, None, None)]
+    d, labels = spark.createDataFrame(own, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+
+    def bins(t):
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        w = [(t or "").encode().split()[k].lower() for k in range(len((t or "").split()))]
+        h = [int(quality_rules.word_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0]) for x in w]
+        assert len(w) <= len(data)
+        mixed = lambda x: int(quality_rules.mix(np.array([x], np.uint64))[0])
+        pairs = [mixed((a * 0xC2B2AE3D27D4EB4F + b) % (1 << 64)) for a, b in zip(h, h[1:])]
+        return [x >> 50 for x in h + pairs]
+
+    by_id: dict[int, list] = {}
+    for i, q, t in marks:
+        by_id.setdefault(i, []).append((q, t))
+    trusted = {i for i, v in by_id.items() if min([q for q, _ in v if q is not None], default=0) == 1 and max(t or 0 for _, t in v) == 0}
+    grams = [(i, bins(t)) for i, t in own]
+    raw, target = Counter(), Counter()
+    for i, g in grams:
+        raw.update(g)
+        if i in trusted:
+            target.update(g)
+    n = quality_rules.BINS
+    value = lambda b: np.log((target[b] + 1) / (target.total() + n)) - np.log((raw[b] + 1) / (raw.total() + n))
+    scores = [(i, sum(map(value, g)) / len(g) if g else 0.0) for i, g in grams]
+    own_scores = [s for (i, s), (_, t) in zip(scores, own) if i in trusted and t]
+    least = np.mean(own_scores) - quality_rules.SPREADS * np.std(own_scores)
+    got = quality_rules.judged(d, labels).collect()
+    want = Counter((i, round(s, 9), len((t or "").split()) >= 20 and s >= least) for (i, s), (_, t) in zip(scores, own) if t != "word " * 30)
+    assert Counter((r["doc_id"], round(r["score"], 9), r["kept"]) for r in got if not (r["doc_id"] == 2 and r["n_repeat_words"])) == want
+    assert 0 < sum(k for _, _, k in want) < 280
+
+
 def test_ratio_counts_match_words():
     data = np.frombuffer(b"The cat THE  cat\nsat", np.uint8)
-    start, end = quality_rules.word_spans(data)
+    start, end = word_spans(data)
     h = quality_rules.word_hashes(data, start, end)
     assert len(h) == 5 and h[0] == h[2] and h[1] == h[3] and len(set(h.tolist())) == 3
     bins, of = quality_rules.gram_bins(h, np.array([0, 0, 0, 0, 1]))
@@ -280,6 +386,38 @@ def test_classifier(spark, docs, empty):
     assert [tuple(r) for r in flat] == [(0.5, True)]
 
 
+def test_pseudo_labels_help():
+    """Words that no labelled document has are learnt from the metadata, and are all that the last documents have."""
+    rng = np.random.default_rng(5)
+
+    def rows(n, bins, source):
+        good = rng.random(n) < 0.6
+        text = rng.normal(0, 0.02, (n, cotraining.TEXT))
+        for b, sign in bins:
+            text[:, cotraining.SHAPES + b] += np.where(good, sign, -sign) * 0.1
+        meta = [(None, None, None) if not source else (s, "en", (s, "en")) for s in np.where(good ^ (rng.random(n) < 0.02), "clean", "spam")]
+        return text, meta, good.astype(float)
+
+    labelled, pool, last = rows(400, [(0, 1), (1, -1)], True), rows(1500, [(0, 1), (1, -1), (2, 1), (3, -1)], True), rows(500, [(2, 1), (3, -1)], False)
+    # the text view learns no bin that stands still in its labelled rows
+    text = np.concatenate([labelled[0], pool[0]])
+    meta, label = labelled[1] + pool[1], np.concatenate([labelled[2], np.full(1500, np.nan)])
+    right = {}
+    for rounds in (0, cotraining.ROUNDS):
+        model = cotraining.Model(text, meta, label, rounds)
+        right[rounds] = ((model.scores(last[0], last[1])[0] >= 0.5) == last[2]).mean()
+    assert right[0] < 0.6 and right[cotraining.ROUNDS] > 0.85 and min(model.given) > 100
+
+
+def test_a_view_that_tells_nothing_gives_nothing():
+    rng = np.random.default_rng(6)
+    label = np.append((rng.random(600) < 0.7).astype(float), np.full(600, np.nan))
+    text = rng.normal(0, 1, (1200, cotraining.TEXT))
+    text[:, 0] = np.where(np.isnan(label), rng.choice([-3, 3], 1200), np.where(label == 1, 3, -3))
+    model = cotraining.Model(text, [("s", "en", ("s", "en"))] * 1200, label)
+    assert model.given[1] == 0 and model.given[0] > 0
+
+
 # 4: pieces
 
 
