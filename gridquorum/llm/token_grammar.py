@@ -4,24 +4,25 @@ Encoding.  Words between ASCII white space are encoded once for each batch and
 their ids put together; the tokenizer drops white space before it looks at words,
 so this gives the ids of the whole text.  The end id closes each document.
 
-File format.  Documents are dealt to shards by ranges of doc_id and sorted, so
-shards and blocks follow ascending doc_id (null first, equal ids by text).  A table
-row is a block of whole documents: shard, block, first (ids of the shard before
-it), n_tokens and a payload with a header ``RPG1``, the document ids and lengths,
-the rules, the expansion length of each rule, and the start symbols in three byte
-planes.
-
-Grammar.  In each round the most frequent pairs of neighbouring symbols, each at
-least ``LEAST`` times in the block, become nonterminals together; where
-occurrences overlap the more frequent pair wins, and runs of one symbol pair up from
-even places.  Rounds end when nothing is frequent or after ``ROUNDS``.
-
-Reading.  A block expands with one gather from the table of rule expansions.  For
-ids m to n of a block, sums of expansion lengths find the symbols that cover them
+File format.  Documents are dealt to parts by ranges of doc_id and sorted, so parts
+and shards follow ascending doc_id (null first, equal ids by text).  A shard is a run
+of whole documents of about ``SHARD`` ids and a table row: part, shard, first (ids of
+the part before it), n_tokens and a payload with a header ``RPG1``, the document ids
+and lengths, the rules, the expansion length of each rule, and the start symbols in
+three byte planes.
+
+Grammar.  In each round all pairs of neighbouring symbols that stand ``LEAST`` times or
+more in the shard become nonterminals together; where occurrences overlap the more
+frequent pair wins, and runs of one symbol pair up from even places.  Rounds go on until
+no pair is frequent.  A pair of old symbols never grows more frequent, so after the first
+round only pairs with a new symbol and those left over that were frequent are counted.
+
+Reading.  A shard expands with one gather from the table of rule expansions.  For
+ids m to n of a shard, sums of expansion lengths find the symbols that cover them
 and only these expand.
 
 Cases.  Null and empty texts are documents of the end id alone; equal rows stay; an
-empty table gives no rows; a document longer than a block is a block of its own.
+empty table gives no rows; a document longer than a shard is a shard of its own.
 """
 
 from __future__ import annotations
@@ -38,62 +39,62 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, byte_hashes, numbers, partitions, ranges, run_starts, text_column
+from .common import Work, numbers, partitions, ranges, run_starts
 
-BLOCK, ROUNDS, PAIRS, LEAST = 1 << 19, 5, 4096, 12
+SHARD, LEAST = 1 << 19, 12
 END, TERMINALS = 2, 1 << 17
 BATCH_BYTES = 16 << 20
 _HEAD = struct.Struct("<4sIIII")
+#: A stop or comma after letters is a word of its own to the tokenizer.  Of Latin and Cyrillic letters all but
+#: U+0130 stay single letters when it normalises them.
+STOPPED = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u0481\u048a-\u052f]+[.,]$"
+
+
+def _hashed(pairs: np.ndarray) -> np.ndarray:
+    return ((pairs * np.int64(0x9E3779B97F4A7C1)) >> np.int64(40)) & 0xFFFFF
 
 
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Start symbols, rules (left, right) and the number of rules after each round."""
     seq = ids.astype(np.int64)
-    rules, ends = [], []
-    count = 0
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        code = (seq[:-1] << 24) | seq[1:]
+    rules, ends, count = [], [], 0
+    at, maybe = np.arange(max(len(seq) - 1, 0)), np.zeros(1 << 20, bool)
+    while len(at):
+        # at: places of all pairs that can be frequent
+        code = (seq[at] << 24) | seq[at + 1]
         ordered = np.sort(code)
-        at = run_starts(ordered)
-        often = np.diff(np.append(at, len(ordered)))
+        first = run_starts(ordered)
+        often = np.diff(np.append(first, len(ordered)))
         frequent = np.flatnonzero(often >= LEAST)
         if not len(frequent):
             break
-        if len(frequent) > PAIRS:
-            frequent = frequent[np.argpartition(-often[frequent], PAIRS)[:PAIRS]]
-        pairs = ordered[at[frequent]]
+        pairs, often = ordered[first[frequent]], often[frequent]
         rank = np.empty(len(pairs), np.int64)
-        rank[np.lexsort((pairs, -often[frequent]))] = np.arange(len(pairs))
-        by_code = np.argsort(pairs)
-        pairs, rank = pairs[by_code], rank[by_code]
+        rank[np.lexsort((pairs, -often))] = np.arange(len(pairs))
         # a cheap test by hash leaves few places for the binary search
-        hashed = lambda x: ((x * np.int64(0x9E3779B97F4A7C1)) >> np.int64(40)) & 0xFFFFF
-        maybe = np.zeros(1 << 20, bool)
-        maybe[hashed(pairs)] = True
-        place = np.flatnonzero(maybe[hashed(code)])
-        found = np.searchsorted(pairs, code[place])
-        hit = pairs[np.minimum(found, len(pairs) - 1)] == code[place]
-        place, found = place[hit], found[hit]
-        key = np.full(len(code) + 2, 1 << 40, np.int64)
+        maybe[_hashed(pairs)] = True
+        near = np.flatnonzero(maybe[_hashed(code)])
+        maybe[_hashed(pairs)] = False
+        found = np.minimum(np.searchsorted(pairs, code[near]), len(pairs) - 1)
+        hit = pairs[found] == code[near]
+        place, found = at[near[hit]], found[hit]
+        key = np.full(len(seq) + 1, 1 << 40, np.int64)
         key[place + 1] = rank[found] * 2 + (place & 1)
         wins = (key[place + 1] < key[place]) & (key[place + 1] < key[place + 2])
-        place, found = place[wins], found[wins]
-        uses = np.bincount(found, minlength=len(pairs))
-        kept = uses >= LEAST // 3
-        number = np.cumsum(kept) - 1
-        alive = kept[found]
-        place, found = place[alive], found[alive]
-        if not len(place):
-            break
-        pairs = pairs[kept]
-        rules.append(np.stack([pairs >> 24, pairs & 0xFFFFFF], axis=1))
+        # the most frequent pair wins half of its places or more, so each round takes one pair at least
+        kept = np.bincount(found[wins], minlength=len(pairs)) >= LEAST // 3
+        taken = wins & kept[found]
+        number, left, place = np.cumsum(kept) - 1, place[~taken], place[taken]
+        rules.append(np.stack([pairs[kept] >> 24, pairs[kept] & 0xFFFFFF], axis=1))
+        seq[place] = TERMINALS + count + number[found[taken]]
         stay = np.ones(len(seq), bool)
         stay[place + 1] = False
-        seq[place] = TERMINALS + count + number[found]
-        seq = seq[stay]
-        count += len(pairs)
+        shift = np.cumsum(stay) - 1
+        seq, place, left = seq[stay], shift[place], shift[left]
+        marked = np.zeros(len(seq), bool)
+        marked[place] = marked[np.maximum(place - 1, 0)] = marked[left] = True
+        at = np.flatnonzero(marked[:-1])
+        count += int(kept.sum())
         ends.append(count)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), ends
 
@@ -112,7 +113,7 @@ def expansions(rules: np.ndarray, ends: list[int]) -> tuple[np.ndarray, np.ndarr
     return flat, start, size
 
 
-def write_block(ids: np.ndarray, docs: np.ndarray, null: np.ndarray, lengths: np.ndarray) -> bytes:
+def write_shard(ids: np.ndarray, docs: np.ndarray, null: np.ndarray, lengths: np.ndarray) -> bytes:
     seq, rules, ends = compress(ids)
     sizes = expansions(rules, ends)[2][TERMINALS:]
     planes = [((seq >> s) & 0xFF).astype(np.uint8) for s in (0, 8, 16)]
@@ -120,13 +121,13 @@ def write_block(ids: np.ndarray, docs: np.ndarray, null: np.ndarray, lengths: np
     return _HEAD.pack(b"RPG1", len(docs), len(rules), len(ends), len(seq)) + b"".join(p.tobytes() for p in parts)
 
 
-class Block:
+class Shard:
     """A payload opened for reading."""
 
     def __init__(self, payload: bytes):
         magic, n_docs, n_rules, n_rounds, n_symbols = _HEAD.unpack_from(payload)
         if magic != b"RPG1":
-            raise ValueError("not a token grammar block")
+            raise ValueError("not a token grammar shard")
         at = _HEAD.size
 
         def take(kind: str, n: int) -> np.ndarray:
@@ -164,7 +165,7 @@ class Block:
 class WordCoder:
     """Ids of whole texts from ids of their words, each word encoded once while it is remembered.
 
-    Words are remembered by a 64-bit hash and their length, about 30 bytes for each.
+    Words are remembered as Arrow strings, so they are compared whole.
     """
 
     def __init__(self, path: str, remember: int = 2_000_000):
@@ -184,23 +185,23 @@ class WordCoder:
         return getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
 
     def _forget(self):
-        self.keys, self.place, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known, self.place, self.size = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
 
-    def _learn(self, words: pa.Array, keys: np.ndarray) -> None:
+    def _learn(self, words: pa.Array) -> None:
         plain = pc.match_substring_regex(words, "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$").to_numpy(zero_copy_only=False)
         found: list = [None] * len(words)
         for encode, which in ((self.bare, plain), (self.full, ~plain)):
-            for i, e in zip(np.flatnonzero(which).tolist(), encode(words.filter(pa.array(which)).to_numpy(zero_copy_only=False).tolist(), add_special_tokens=False)):
+            for i, e in zip(np.flatnonzero(which).tolist(), encode(words.filter(pa.array(which)).to_pylist(), add_special_tokens=False)):
                 found[i] = e.ids
         size = np.fromiter(map(len, found), np.int64, len(found))
         total = int(size.sum())
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.int32)])
         self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.int32, total)
-        order = np.argsort(keys)
-        at = np.searchsorted(self.keys, keys[order])
-        self.keys, self.place, self.size = (np.insert(a, at, v[order]) for a, v in ((self.keys, keys), (self.place, self.used + np.cumsum(size) - size), (self.size, size)))
+        self.known = pa.concat_arrays([self.known, words])
+        self.place = np.concatenate([self.place, self.used + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
         self.used += total
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -211,17 +212,15 @@ class WordCoder:
         """
         plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
         coded = pc.if_else(plain, pc.ascii_lower(words), words).dictionary_encode()
-        offsets, data = text_column(coded.dictionary)
-        keys = byte_hashes(data, offsets[:-1], np.diff(offsets))
-        if len(self.keys) > self.remember:
+        if len(self.known) > self.remember:
             self._forget()
-        for _ in range(2):
-            at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-            known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-            if known.all():
-                break
-            self._learn(coded.dictionary.filter(pa.array(~known)), keys[~known])
-        index = at[coded.indices.to_numpy(zero_copy_only=False)] if len(keys) else np.zeros(0, np.int64)
+        found = pc.index_in(coded.dictionary, value_set=self.known)
+        new = found.is_null().to_numpy(zero_copy_only=False)
+        at = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if new.any():
+            at[new] = len(self.known) + np.arange(int(new.sum()))
+            self._learn(coded.dictionary.filter(pa.array(new)))
+        index = at[coded.indices.to_numpy(zero_copy_only=False)] if len(at) else at
         return self.pool[ranges(self.place[index], self.size[index])], self.size[index]
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -229,8 +228,7 @@ class WordCoder:
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         per_text = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        # a stop or comma after letters is a word of its own to the tokenizer
-        stopped = pc.match_substring_regex(coded.dictionary, r"^\p{L}+[.,]$").to_numpy(zero_copy_only=False)
+        stopped = pc.match_substring_regex(coded.dictionary, STOPPED).to_numpy(zero_copy_only=False)
         cut = pc.if_else(pa.array(stopped), pc.utf8_slice_codeunits(coded.dictionary, 0, -1), coded.dictionary)
         stops = pc.utf8_slice_codeunits(coded.dictionary.filter(pa.array(stopped)), -1)
         flat, sizes = self.words(pa.concat_arrays([cut, stops]))
@@ -263,7 +261,7 @@ def coder(path: str) -> WordCoder:
     return WordCoder(path)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, shards: int) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, parts: int) -> None:
     """Write the grammar table of docs to path."""
 
     def run(batches):
@@ -271,15 +269,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, shards: int) -> None:
 
         from pyspark import TaskContext
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        model, shard = coder(tokenizer), TaskContext.get().partitionId()
-        block, first, held, n = 0, 0, [], 0
+        model, part = coder(tokenizer), TaskContext.get().partitionId()
+        shard, first, held, n = 0, 0, [], 0
 
         def row():
-            nonlocal block, first, held, n
+            nonlocal shard, first, held, n
             ids, doc, null, lengths = (np.concatenate(x) for x in zip(*held))
-            out = [shard, block, first, len(ids), write_block(ids, doc, null, lengths)]
-            block, first, held, n = block + 1, first + len(ids), [], 0
-            return pa.record_batch([pa.array([x]) for x in out], names=["shard", "block", "first", "n_tokens", "payload"]).cast(schema)
+            out = [part, shard, first, len(ids), write_shard(ids, doc, null, lengths)]
+            shard, first, held, n = shard + 1, first + len(ids), [], 0
+            return pa.record_batch([pa.array([x]) for x in out], names=["part", "shard", "first", "n_tokens", "payload"]).cast(schema)
 
         for batch in batches:
             text = batch.column("text")
@@ -292,38 +290,38 @@ def write(docs: DataFrame, path: str, tokenizer: str, shards: int) -> None:
                 i = 0
                 while i < len(lengths):
                     before = int(ends[i - 1]) if i else 0
-                    j = max(i + 1, int(np.searchsorted(ends, before + BLOCK - n, "right")))
+                    j = max(i + 1, int(np.searchsorted(ends, before + SHARD - n, "right")))
                     held.append((ids[before : int(ends[j - 1])], doc[i:j], null[i:j], lengths[i:j]))
                     n, i = n + int(ends[j - 1]) - before, j
-                    if n >= BLOCK or j < len(lengths):
+                    if n >= SHARD or j < len(lengths):
                         yield row()
         if held:
             yield row()
 
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    ordered = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     ordered.mapInArrow(run, FORMAT).write.option("compression", "zstd").parquet(path)
 
 
-FORMAT = "shard int, block int, first long, n_tokens long, payload binary"
+FORMAT = "part int, shard int, first long, n_tokens long, payload binary"
 
 
 def _documents(batches):
     for batch in batches:
         for i in range(batch.num_rows):
-            block = Block(batch.column("payload")[i].as_py())
-            raw = block.ids().astype("<u4").tobytes()
-            ends = np.cumsum(block.lengths)
-            starts = ends - block.lengths
+            shard = Shard(batch.column("payload")[i].as_py())
+            raw = shard.ids().astype("<u4").tobytes()
+            ends = np.cumsum(shard.lengths)
+            starts = ends - shard.lengths
             sums = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist())]
             n = len(ends)
             yield pa.record_batch(
                 [
-                    pa.array(block.docs, mask=block.null), pa.array(np.full(n, batch.column("shard")[i].as_py(), np.int32)),
-                    pa.array(starts + batch.column("first")[i].as_py()), pa.array(block.lengths), pa.array(sums, pa.int64()),
+                    pa.array(shard.docs, mask=shard.null), pa.array(np.full(n, batch.column("part")[i].as_py(), np.int32)),
+                    pa.array(starts + batch.column("first")[i].as_py()), pa.array(shard.lengths), pa.array(sums, pa.int64()),
                 ],
-                names=["doc_id", "shard", "start", "n_tokens", "ids_crc32"],
+                names=["doc_id", "part", "start", "n_tokens", "ids_crc32"],
             )
 
 
@@ -331,13 +329,13 @@ def read_documents(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document in the files."""
     table = spark.read.schema(FORMAT).parquet(path)
     before, starts = 0, []
-    # one row for each shard; their number is the setting spark.sql.shuffle.partitions
-    for shard, n in sorted(map(tuple, table.groupBy("shard").agg(F.sum("n_tokens")).collect())):
-        starts.append((shard, before))
+    # one row for each part; their number is the setting spark.sql.shuffle.partitions
+    for part, n in sorted(map(tuple, table.groupBy("part").agg(F.sum("n_tokens")).collect())):
+        starts.append((part, before))
         before += n
-    bases = spark.createDataFrame(starts, "shard int, base long")
-    rows = table.mapInArrow(_documents, "doc_id long, shard int, start long, n_tokens long, ids_crc32 long")
-    return rows.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+    bases = spark.createDataFrame(starts, "part int, base long")
+    rows = table.mapInArrow(_documents, "doc_id long, part int, start long, n_tokens long, ids_crc32 long")
+    return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
