@@ -7,10 +7,10 @@ the weighted Jaccard similarity of their shingles, each weighted by its number o
 repeats, is at least ``ALIKE``.
 
 1. Shingles of the texts meet the benchmark's shingles in an equi-join.  Similarity
-   ALIKE needs ALIKE / (1 + ALIKE) of the shingles of item and window together, so a
-   document with fewer hits for an item cannot leak it and is let go at once.
-2. Each window that holds a hit gets its SimHash.  Counters of sixteen bits, four to
-   a long, add up the bits of the shingle hashes.
+   ALIKE needs ALIKE / (1 + ALIKE) of the shingles of item and window together, so only
+   windows that hold so many hits for an item can leak it, and other documents are let go.
+2. Each such window gets its SimHash.  Counters of sixteen bits, four to a long, add up
+   the bits of the shingle hashes; windows of over 65,535 shingles take counters of 32 bits.
 3. Multi-index Hamming: fingerprints are cut into ``BLOCKS`` blocks; fingerprints
    within ``RADIUS`` differ in at most RADIUS / BLOCKS bits in one of them, so
    items are listed under all block values that near, and windows meet them by equality.
@@ -22,15 +22,17 @@ item tables are broadcast while the benchmark has at most ``SMALL`` shingles, an
 joined by shuffle beyond that.
 
 Cases.  Null and empty texts and items have no shingle and leak nothing; a document
-shorter than an item is one window; equal rows and items each get their rows; a null
-doc_id or item_id stays null in the result.
+shorter than an item is one window; very long texts are read whole; the windows that an item of m
+shingles needs in a text that leaks it grow with m, so long items cost the square of their length; equal rows and items each get their rows, also texts that share a null doc_id;
+a null doc_id or item_id stays null in the result; columns other than doc_id and text
+are ignored.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Work, named_rows
@@ -48,44 +50,74 @@ def shingles(w: Column, width: int) -> Column:
     return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, width)))).otherwise(F.array().cast("array<long>"))
 
 
-def simhash(hashes: Column) -> Column:
-    """Bit b of the result is 1 if more than half of the hashes have it; up to 65,535 hashes."""
+def _lanes(hashes: Column, width: int) -> Column:
+    """SimHash of hashes with counters of width bits in longs: lane k of counter j counts bit width * k + j."""
     shift = lambda name, x, n: F.call_function(name, x, n)
-    # lane k of counter j counts bit 16 k + j
-    zero = F.array(*[F.lit(0).cast("long")] * 16)
-    counters = F.sequence(F.lit(0), F.lit(15))
-    sums = F.aggregate(hashes, zero, lambda acc, h: F.zip_with(acc, counters, lambda a, j: a + shift("shiftrightunsigned", h, j).bitwiseAND(F.lit(0x0001000100010001))))
+    zero = F.array_repeat(F.lit(0).cast("long"), width)
+    counters = F.sequence(F.lit(0), F.lit(width - 1))
+    low = F.lit(sum(1 << width * k for k in range(64 // width)))
+    sums = F.aggregate(hashes, zero, lambda acc, h: F.zip_with(acc, counters, lambda a, j: a + shift("shiftrightunsigned", h, j).bitwiseAND(low)))
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
 
     def bits(s: Column) -> Column:
-        count = lambda b: shift("shiftrightunsigned", s[b % 16], b - b % 16).bitwiseAND(F.lit(0xFFFF))
+        count = lambda b: shift("shiftrightunsigned", s[b % width], b - b % width).bitwiseAND(F.lit((1 << width) - 1))
         return F.aggregate(F.sequence(F.lit(0), F.lit(63)), none, lambda acc, b: acc.bitwiseOR(F.when(count(b) * 2 > F.size(hashes), shift("shiftleft", one, b)).otherwise(none)))
 
     return F.transform(F.array(sums), bits)[0]
 
 
+def simhash(hashes: Column) -> Column:
+    """Bit b of the result is 1 if more than half of the hashes have it."""
+    return F.when(F.size(hashes) < 1 << 16, _lanes(hashes, 16)).otherwise(_lanes(hashes, 32))
+
+
 def _blocks() -> list[tuple[int, int]]:
     """(first bit, width) of each block."""
     cuts = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def block_values(fp: Column, near: bool) -> Column:
-    """(block, value) of the fingerprint's blocks, with all values within RADIUS / BLOCKS bits if near."""
-    found = []
-    for k, (first, width) in enumerate(_blocks()):
-        value = F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1))
-        flips = [sum(1 << b for b in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(width), r)] if near else [0]
-        found += [F.struct(F.lit(k).alias("block"), value.bitwiseXOR(F.lit(x)).cast("int").alias("value")) for x in flips]
-    return F.array(*found)
+def block_values(fp: Column) -> Column:
+    """(block, value) of the fingerprint's blocks."""
+    return F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1)).cast("int").alias("value")) for k, (first, width) in enumerate(_blocks())])
+
+
+def flips(spark: SparkSession) -> DataFrame:
+    """(block, flip): the changes of RADIUS / BLOCKS bits or fewer in each block; a fixed table."""
+    rows = [(k, sum(1 << b for b in c)) for k, (_, width) in enumerate(_blocks()) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(width), r)]
+    return spark.createDataFrame(rows, "block int, flip int")
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard similarity of two lists of shingles."""
-    both = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, x: acc + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
+    """Weighted Jaccard similarity of two lists of shingles: both sorted together, and a fold over runs of equal ones."""
+    side = lambda x, k: F.transform(x, lambda h: F.struct(h.alias("h"), F.lit(k).alias("k")))
+    state = "struct<h:bigint,a:int,b:int,both:int>"
+    none = F.struct(F.lit(None).cast("long").alias("h"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("both")).cast(state)
+
+    def step(acc: Column, x: Column) -> Column:
+        same = acc["h"].eqNullSafe(x["h"])
+        n_a, n_b = (F.when(same, acc[c]).otherwise(F.lit(0)) + (x["k"] == k).cast("int") for c, k in (("a", 0), ("b", 1)))
+        more = F.when(same, F.least(n_a, n_b) - F.least(acc["a"], acc["b"])).otherwise(F.lit(0))
+        return F.struct(x["h"].alias("h"), n_a.alias("a"), n_b.alias("b"), (acc["both"] + more).alias("both")).cast(state)
+
+    both = F.aggregate(F.array_sort(F.concat(side(a, 0), side(b, 1))), none, step, lambda acc: acc["both"])
     return both / (F.size(a) + F.size(b) - both)
 
 
+def starts(places: Column, need: Column, m: Column, last: Column) -> Column:
+    """Starts, up to last, of the windows of m shingles that hold ``need`` of the places or more."""
+    p = F.array_sort(places)
+    first = F.sequence(F.lit(1), F.greatest(F.size(p) - need + 1, F.lit(1)))
+
+    def around(i: Column) -> Column:
+        """Starts of the windows that hold places i to i + need - 1."""
+        a, b = F.element_at(p, i), F.element_at(p, F.least(i + need - 1, F.size(p)).cast("int"))
+        lo, hi = F.greatest(b - m + 1, F.lit(0)), F.least(a, last)
+        return F.when((F.size(p) >= need) & (lo <= hi), F.sequence(lo, F.greatest(lo, hi))).otherwise(F.array().cast("array<int>"))
+
+    return F.array_distinct(F.flatten(F.transform(first, around)))
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
     """item, item_id, width, m (shingles), hashes, fp of each item that has words; item numbers the rows."""
     w = words(F.col("text"))
@@ -113,19 +145,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     said = told.select(*key, F.col("x.width").alias("width"), F.size("x.hashes").alias("n"), F.posexplode("x.hashes").alias("pos", "hash"))
     hits = said.join(small(wanted), ["width", "hash"]).groupBy(*key, "item", "width", "m").agg(F.collect_set("pos").alias("places"), F.min("n").alias("n"))
     # a text shorter than the item is one window of n shingles
-    need = F.ceil(ALIKE / (1 + ALIKE) * (F.col("m") + F.least("m", "n")) - 1e-9)
-    near = work.save(hits.where(F.size("places") >= need).groupBy(*key, "width", "m").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")), "near")
+    need = F.ceil(ALIKE / (1 + ALIKE) * (F.col("m") + F.least("m", "n")) - 1e-9).cast("int")
+    begun = hits.where(F.size("places") >= need).select(*key, "width", "m", starts(F.col("places"), need, F.col("m"), F.greatest(F.col("n") - F.col("m"), F.lit(0))).alias("starts"))
+    near = begun.where(F.size("starts") > 0).groupBy(*key, "width", "m").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    near = work.save(near, "near")
 
     texts = rows.dropDuplicates(key).select(*key, words(F.col("text")).alias("w"))
     whole = F.coalesce(*[F.when(F.col("width") == k, shingles(F.col("w"), k)) for k in widths or [WIDTH]])
-    pairs = near.join(texts, key).select(*key, "width", "m", "places", whole.alias("all"))
-    last = F.greatest(F.size("all") - F.col("m"), F.lit(0))
-    starts = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(F.least(F.greatest(p - F.col("m") + 1, F.lit(0)), last), F.least(p, last)))))
-    windows = pairs.select(*key, "width", "m", "all", F.explode(starts).alias("start")).select(*key, "width", "m", "start", F.slice("all", F.col("start") + 1, F.col("m")).alias("window"))
+    pairs = near.join(texts, key).select(*key, "width", "m", "starts", whole.alias("all"))
+    # the windows are cut before the explode, so that no row carries the whole text
+    cuts = F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("all", s + 1, F.col("m")).alias("window")))
+    windows = pairs.select(*key, "width", "m", F.explode(cuts).alias("x")).select(*key, "width", "m", "x.start", "x.window")
     windows = work.save(windows.select("*", simhash(F.col("window")).alias("fp")), "windows")
 
-    listed = items.select("item", "width", "m", F.col("fp").alias("item_fp"), F.explode(block_values(F.col("fp"), True)).alias("b")).select("item", "width", "m", "item_fp", "b.block", "b.value")
-    probes = windows.select(*key, "width", "m", "start", "fp", F.explode(block_values(F.col("fp"), False)).alias("b")).select(*key, "width", "m", "start", "fp", "b.block", "b.value")
+    blocks = items.select("item", "width", "m", F.col("fp").alias("item_fp"), F.explode(block_values(F.col("fp"))).alias("b")).select("item", "width", "m", "item_fp", "b.block", "b.value")
+    listed = blocks.join(F.broadcast(flips(work.spark)), "block").select("item", "width", "m", "item_fp", "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+    probes = windows.select(*key, "width", "m", "start", "fp", F.explode(block_values(F.col("fp"))).alias("b")).select(*key, "width", "m", "start", "fp", "b.block", "b.value")
     hamming = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     met = probes.join(small(listed), ["width", "m", "block", "value"]).select(*key, "start", "item", "width", "m", hamming.alias("hamming")).where(F.col("hamming") <= RADIUS).distinct()
     checked = met.join(windows.select(*key, "width", "m", "start", "window"), [*key, "width", "m", "start"]).join(small(items.select("item", "item_id", "hashes")), "item")
