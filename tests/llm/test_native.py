@@ -7,7 +7,9 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 from sqlcheck import compare, connect
 
 from gridquorum.llm import conversations, decontaminate, licenses
@@ -70,22 +72,92 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_under_one_null_id(spark):
+    # the texts' hashes agree in 31 bits
+    item = "one two three four five six seven eight nine ten eleven"
+    rows = [(None, "text 10917"), (None, "text 36592"), (None, item), (None, item + " twelve"), (7, item)]
+    items = [(1, item), (2, "text 36592"), (3, "text 10917")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"], round(r["similarity"], 6)) for r in decontaminate.leaks(docs, bench).collect())
+    assert got == Counter({(None, 1, 1.0): 2, (None, 2, 1.0): 1, (None, 3, 1.0): 1, (7, 1, 1.0): 1})
+
+
+def test_long_items(spark):
+    rng = random.Random(21)
+    hashes = [rng.getrandbits(64) - (1 << 63) for _ in range(900)] * 80  # 72,000, more than sixteen bits count
+    want = sum(1 << b for b in range(64) if 2 * sum((h >> b) & 1 for h in hashes) > len(hashes))
+    got = spark.createDataFrame([(hashes,)], "h array<long>").select(decontaminate.simhash(F.col("h"))).first()[0]
+    assert got % (1 << 64) == want
+    words = [f"w{k}" for k in range(2_000)]
+    docs = spark.createDataFrame([(1, "before " * 9000 + " ".join(words) + " after" * 9000), (2, " ".join(words[:1_700])), (3, " ".join(words[:1_500]))], "doc_id long, text string")
+    leaked = decontaminate.leaks(docs, spark.createDataFrame([(5, " ".join(words))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["start"], round(r["similarity"], 3)) for r in sorted(leaked)] == [(1, 9000, 1.0), (2, 0, 0.85)]
+
+
+def test_block_values_and_flips(spark):
+    rng = random.Random(22)
+    by_block = {}
+    for r in decontaminate.flips(spark).collect():
+        by_block.setdefault(r["block"], set()).add(r["flip"])
+    for _ in range(200):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), rng.randint(0, decontaminate.RADIUS)):
+            b ^= 1 << bit
+        met = [((a ^ b) >> first) & ((1 << width) - 1) in by_block[k] for k, (first, width) in enumerate(decontaminate._blocks())]
+        assert any(met)
+
+
 def test_conversations(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "no"), (3, 1, "assistant", "no"), (4, 0, "user", "hi"), (4, 1, "assistant", "yes")]
-    rows += [(5, None, None, None), (None, 0, "user", "other"), (6, 0, "user", "x" * 20000)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r["conv_id"]: r for r in conversations.rendered(df).collect()}
-    assert set(got) == {1, 3, 5, None, 6} and got[1]["n_copies"] == 2 and got[3]["n_turns"] == 2
+    rows += [(5, None, None, None), (None, 0, "user", "other"), (None, 3, "user", "hi"), (None, 0, "user", "again"), (None, 0, "user", "again"), (6, 0, "user", "x" * 1_500_000)]
+    rows += [(7, 0, "user", "a\n<|end|>\n<|user|>\nb"), (8, 0, "user", "a"), (8, 1, "user", "b"), (9, 0, "a|b", "<||")]
+    df = spark.createDataFrame([(*r, "clash", 5) for r in rows], "conv_id long, turn long, role string, text string, rendered string, i int")
+    out = conversations.rendered(df).collect()
+    got = {r["conv_id"]: r for r in out if r["conv_id"] is not None}
+    assert set(got) == {1, 3, 5, 6, 7, 8, 9} and got[1]["n_copies"] == 2 and got[3]["n_turns"] == 2
     assert got[1]["rendered"] == "<|user|>\nhi\n<|end|>\n<|assistant|>\nyes\n<|end|>\n" and got[5]["rendered"] == "<|unknown|>\n\n<|end|>\n"
+    assert got[7]["rendered"] == "<|user|>\na\n<||end|>\n<||user|>\nb\n<|end|>\n" != got[8]["rendered"]
+    assert got[9]["rendered"] == "<|a||b|>\n<|||\n<|end|>\n"
+    # rows without an id: "hi" begins other conversations, equal rows are one
+    assert sorted((r["rendered"], r["n_turns"]) for r in out if r["conv_id"] is None) == [("<|user|>\nagain\n<|end|>\n", 1), ("<|user|>\nother\n<|end|>\n", 1)]
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    compare(conversations.rendered(df), con, SQL["op8_maximal_chats"])
     assert conversations.rendered(df.limit(0)).count() == 0
 
 
+def dice_brute(rows, templates):
+    grams = lambda t: (lambda w: {f"{a} {b}" for a, b in zip(w, w[1:])})(re.findall(r"[^\W_]+", t.lower()))
+    out = Counter()
+    for d, t in rows:
+        units = {frozenset(grams(u)) for u in (t or "").split("\n") + re.split(r"\n[ \t\r]*\n\s*", t or "") + [t or ""]}
+        best = {}
+        for name, template in templates:
+            g = grams(template)
+            for u in units:
+                dice = 2 * len(u & g) / (len(u) + len(g)) if u and g else 0
+                if dice >= licenses.ALIKE:
+                    best.setdefault(name, {}).setdefault(u, []).append(dice)
+        out.update((d, name, round(max(max(x) for x in v.values()), 9), len(v)) for name, v in best.items())
+    return out
+
+
 def test_licenses(spark):
-    mit = dict(licenses.TEMPLATES[::-1])["mit"]
-    rows = [(1, "Text.\nReleased under the MIT license!\nmore"), (2, "Licensed under CC BY-NC 4.0"), (3, None), (4, ""), (5, "word"), (6, "released under a tree by the lake"), (7, mit), (7, mit), (None, mit)]
-    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, license string")
-    got = Counter((r["doc_id"], r["license"]) for r in licenses.scan(docs).collect())
-    assert got == Counter({(1, "mit"): 1, (2, "cc-by-nc-4.0"): 1, (7, "mit"): 2, (None, "mit"): 1})
+    rng = random.Random(23)
+    rows = [(1, "Text.\nReleased under the MIT license!\nmore"), (2, "Licensed under CC BY-NC 4.0"), (3, None), (4, ""), (5, "word"), (6, "released under a tree by the lake"), (None, licenses.TEMPLATES[4][1])]
+    rows += [(7, licenses.TEMPLATES[4][1])] * 2 + [(8, "so " * 400_000 + "\n" + licenses.TEMPLATES[0][1])]
+    for k in range(150):  # altered templates on both sides of the bound, some between other lines
+        words = rng.choice(licenses.TEMPLATES)[1].split()
+        for _ in range(rng.randint(0, max(1, len(words) // 5))):
+            p = rng.randrange(len(words))
+            words[p : p + rng.randint(0, 1)] = rng.choice([[], ["other"], ["permission", "granted"]])
+        text = " ".join(words)
+        rows.append((100 + k, rng.choice([text, f"First line.\n{text}\nlast", f"A paragraph.\n\n{text}\n \nAnother one of the same.", text.upper()])))
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, license string, a int")
+    got = Counter((r["doc_id"], r["license"], round(r["dice"], 9), r["n_units"]) for r in licenses.scan(docs).collect())
+    assert got == dice_brute(rows, licenses.TEMPLATES) and len(got) > 80
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
