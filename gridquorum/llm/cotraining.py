@@ -1,22 +1,26 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
-Views.  The text view is ``TEXT`` figures of a document's bytes and words (shares of
-byte classes, repetition, line shapes); the metadata view is source, language and
-length class, each as logarithms of the good-to-bad odds that labelled rows give it.
+Views.  The text view is what a document says and how: shares of its words (A-Z lower-cased)
+in ``BINS`` hash bins, and figures of its bytes and words (byte classes, repetition,
+line shapes).  The metadata view is source, language and both together, each as the
+logarithm of the good-to-bad odds that labelled rows give it; nothing of it comes from
+the text.
 
 Training.  A bounded sample, at most about ``SAMPLE`` labelled documents and ``SAMPLE``
 unlabelled ones chosen by a hash of doc_id, comes to the driver as figures, not texts.
-A tenth of the labelled ones stays out for calibration.  In each of ``ROUNDS`` rounds
-both views fit a logistic regression and each hands the other its most confident
-unlabelled documents, ``GIVE`` of the pool at most and only where its probability is
-over ``SURE``, as pseudo-labels.  Each view is then calibrated on the rows kept out
-(Platt), and the calibrated log-odds are added, weighted by what each view can tell on
-those rows.  Every document is scored by the broadcast coefficients, whose number is
-fixed by TEXT and the bounded table of metadata values.
-
-Cases.  Null or empty text has the figures of an empty text; unknown or null metadata
-weighs nothing; a document with several labels is good if most are; without labels of
-both classes every document gets score 0.5 and stays; equal rows stay.
+A tenth of the labelled ones stays out.  In each of ``ROUNDS`` rounds both views fit a
+logistic regression, and each hands the other its most confident unlabelled documents as
+pseudo-labels, ``GIVE`` of the pool at most for each class.  It is confident of a class
+beyond the log-odds from which on it is right about ``SURE`` of the documents kept out,
+``PROOF`` of them at least; a view that tells nothing hands over nothing.  Each view
+is then calibrated on the rows kept out (Platt), and the calibrated log-odds are added,
+weighted by what each view can tell on those rows.  Every document is scored by the
+broadcast coefficients, whose number is fixed by BINS and the bounded table of metadata values.
+
+Cases.  Null or empty text has the figures of an empty text; very long texts are read whole;
+unknown or null metadata weighs nothing; a document with several labels is good if most are;
+labels without an id are left out; without labels of both classes every document gets
+score 0.5 and stays; equal rows stay; other columns are ignored, and keep_good keeps them.
 """
 
 from __future__ import annotations
@@ -26,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, text_column
+from .common import LAST_ID, text_column, word_hashes, word_slabs
 
-SAMPLE, ROUNDS, GIVE, SURE, KEEP = 8000, 4, 0.05, 0.97, 0.5
+SAMPLE, BINS, ROUNDS, GIVE, SURE, PROOF, KEEP = 8000, 256, 4, 0.05, 0.95, 5, 0.5
 _CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "space": b" \t", "line": b"\n", "stop": b".,;:", "loud": b"!?", "symbol": b"#*$%&@^~", "bar": b"|_=+/\\", "bracket": b"<>[]{}()", "quote": b"\"'`-",
 }
-TEXT = len(_CLASSES) + 11
+SHAPES = len(_CLASSES) + 11
+TEXT = SHAPES + BINS
 
 
 def _class_matrix() -> np.ndarray:
@@ -46,9 +51,9 @@ def _class_matrix() -> np.ndarray:
 _MATRIX = _class_matrix()
 
 
-def text_figures(raw: bytes) -> np.ndarray:
+def text_shapes(raw: bytes) -> np.ndarray:
     n = len(raw)
-    out = np.zeros(TEXT)
+    out = np.zeros(SHAPES)
     if not n:
         return out
     k = len(_CLASSES) + 1
@@ -90,7 +95,7 @@ class Logistic:
             p = _sigmoid(z @ self.beta)
             step = np.linalg.solve((z * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + np.diag(penalty), z.T @ (w * (y - p)) - penalty * self.beta)
             self.beta += np.clip(step, -5, 5)
-            if np.abs(step).max() < 1e-6:
+            if np.abs(step).max() < 1e-4:
                 break
 
     def _design(self, x: np.ndarray) -> np.ndarray:
@@ -120,8 +125,20 @@ def _auc(odds: np.ndarray, y: np.ndarray) -> float:
     return float((rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / max(good.sum() * (~good).sum(), 1))
 
 
+def _sure(odds: np.ndarray, y: np.ndarray, pool: np.ndarray, most: int) -> np.ndarray:
+    """Places of the pool, ``most`` at most, where the odds are beyond those from which on ``SURE`` of the rows y are good."""
+    order = np.argsort(-odds, kind="stable")
+    right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+    last = np.append(odds[order][1:] != odds[order][:-1], True)  # equal odds stand or fall together
+    good = np.flatnonzero((right >= SURE) & last & (np.arange(1, len(y) + 1) >= PROOF))
+    if not len(good):
+        return good
+    best = np.argsort(-pool, kind="stable")[:most]
+    return best[pool[best] >= odds[order][good[-1]]]
+
+
 class Model:
-    def __init__(self, text: np.ndarray, meta: list[tuple], label: np.ndarray):
+    def __init__(self, text: np.ndarray, meta: list[tuple], label: np.ndarray, rounds: int = ROUNDS):
         """label: 1, 0 or nan for unlabelled rows, which stand in a fixed order."""
         known = np.flatnonzero(~np.isnan(label))
         self.flat = len(np.unique(label[known])) < 2
@@ -131,7 +148,7 @@ class Model:
         fit = np.setdiff1d(known, known[::10]) if len(out) < len(known) else known
         self.tables = []
         y = label[fit]
-        for k in range(3):
+        for k in range(len(META)):
             sums: dict = {}
             for i, v in zip(fit.tolist(), y.tolist()):
                 good, n = sums.get(meta[i][k], (0.0, 0))
@@ -142,20 +159,20 @@ class Model:
         pool = np.flatnonzero(np.isnan(label))
         rows = [fit, fit]
         ys = [y, y]
-        for turn in range(ROUNDS + 1):
+        self.given = [0, 0]
+        for turn in range(rounds + 1):
             self.fits = [Logistic(views[v][rows[v]], ys[v]) for v in (0, 1)]
-            if turn == ROUNDS or not len(pool):
+            if turn == rounds or not len(pool):
                 break
             taken = np.zeros(len(pool), bool)
             for v in (0, 1):
-                p = _sigmoid(self.fits[v].odds(views[v][pool]))
-                sure = np.abs(p - 0.5)
-                sure[taken] = -1
-                best = np.argsort(-sure, kind="stable")[: int(GIVE * len(pool)) + 1]
-                best = best[sure[best] > SURE - 0.5]
-                taken[best] = True
-                rows[1 - v] = np.concatenate([rows[1 - v], pool[best]])
-                ys[1 - v] = np.concatenate([ys[1 - v], (p[best] > 0.5).astype(float)])
+                told, asked = self.fits[v].odds(views[v][out]), self.fits[v].odds(views[v][pool])
+                for side, truth in ((1, label[out]), (-1, 1 - label[out])):
+                    best = _sure(side * told, truth, np.where(taken, -np.inf, side * asked), int(GIVE * len(pool)) + 1)
+                    taken[best] = True
+                    self.given[v] += len(best)
+                    rows[1 - v] = np.concatenate([rows[1 - v], pool[best]])
+                    ys[1 - v] = np.concatenate([ys[1 - v], np.full(len(best), float(side > 0))])
             pool = pool[~taken]
             if not taken.any():
                 break
@@ -166,7 +183,7 @@ class Model:
         self.base = float(np.log(label[known].mean() / (1 - label[known].mean())))
 
     def meta_figures(self, meta: list[tuple]) -> np.ndarray:
-        return np.array([[t.get(m[k], 0.0) for k, t in enumerate(self.tables)] for m in meta]).reshape(-1, 3)
+        return np.array([[t.get(m[k], 0.0) for k, t in enumerate(self.tables)] for m in meta]).reshape(-1, len(META))
 
     def scores(self, text: np.ndarray, meta: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probability of each view and of both."""
@@ -178,12 +195,27 @@ class Model:
         return _sigmoid(a), _sigmoid(b), _sigmoid(both)
 
 
-def _figures(batch) -> tuple[np.ndarray, list[tuple]]:
+#: What the metadata view looks at.
+META = ("source", "lang", "both")
+
+
+def text_figures(batch) -> np.ndarray:
+    """Figures of the texts of a batch: shapes, and the square roots of the shares of their words in each bin."""
+    out = np.zeros((batch.num_rows, TEXT), np.float32)
     offsets, data = text_column(batch.column("text"))
     view = memoryview(data)
-    text = np.array([text_figures(bytes(view[s:e])) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]).reshape(-1, TEXT)
-    sizes = np.log2(np.diff(offsets) + 1).astype(int).tolist()
-    return text, list(zip(batch.column("source").to_pylist(), batch.column("lang").to_pylist(), sizes))
+    for k, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        out[k, :SHAPES] = text_shapes(bytes(view[s:e]))
+    for first, last, _, data, start, end, doc in word_slabs(batch):
+        bins = (word_hashes(data, start, end) >> np.uint64(65 - BINS.bit_length())).astype(np.int64)
+        n = np.bincount(doc * BINS + bins, minlength=(last - first) * BINS).reshape(-1, BINS)
+        out[first:last, SHAPES:] = np.sqrt(n / np.maximum(n.sum(axis=1, keepdims=True), 1))
+    return out
+
+
+def _figures(batch) -> tuple[np.ndarray, list[tuple]]:
+    source, lang = batch.column("source").to_pylist(), batch.column("lang").to_pylist()
+    return text_figures(batch), [(s, x, None if s is None or x is None else (s, x)) for s, x in zip(source, lang)]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -199,16 +231,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def run(batches):
         for batch in batches:
-            text, meta = _figures(batch)
-            columns = [batch.column("doc_id"), batch.column("label"), pa.array(list(text), pa.list_(pa.float64())), *(pa.array([m[k] for m in meta], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32())))]
-            yield pa.record_batch(columns, names=["doc_id", "label", "text", "source", "lang", "size"])
-
-    got = chosen.select("doc_id", "text", "lang", "source", "label").mapInArrow(run, "doc_id long, label double, text array<double>, source string, lang string, size int").toArrow()
-    text = np.array(got["text"].to_pylist(), float).reshape(-1, TEXT)
-    meta = list(zip(*(got[c].to_pylist() for c in ("source", "lang", "size"))))
-    label = np.array([np.nan if x is None else x for x in got["label"].to_pylist()], float)
-    order = sorted(range(len(meta)), key=lambda i: (got["doc_id"][i].as_py() is None, got["doc_id"][i].as_py() or 0, text[i].tolist()))
-    return Model(text[order], [meta[i] for i in order], label[order])
+            text = text_figures(batch)
+            columns = [batch.column("doc_id"), batch.column("label"), pa.array([x.tobytes() for x in text], pa.binary()), batch.column("source"), batch.column("lang")]
+            yield pa.record_batch(columns, names=["doc_id", "label", "text", "source", "lang"])
+
+    got = chosen.select("doc_id", "text", "lang", "source", "label").mapInArrow(run, "doc_id long, label double, text binary, source string, lang string").toArrow()
+    raw, ids = got["text"].to_pylist(), got["doc_id"].to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, raw[i]))
+    text = np.frombuffer(b"".join(raw[i] for i in order), np.float32).reshape(-1, TEXT).astype(float)
+    source, lang, label = (got[c].to_pylist() for c in ("source", "lang", "label"))
+    meta = [(source[i], lang[i], None if source[i] is None or lang[i] is None else (source[i], lang[i])) for i in order]
+    return Model(text, meta, np.array([np.nan if label[i] is None else label[i] for i in order], float))
 
 
 def _columns(docs: DataFrame) -> DataFrame:
