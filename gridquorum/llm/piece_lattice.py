@@ -1,11 +1,20 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Text is cut before each space and around each line end; a space becomes U+2581 and
-each text starts with one.  Words repeat, so every slab of texts is reduced to its
-distinct words; their substrings of at most ``LONGEST`` characters are exploded and
-meet the piece table in an equi-join by length and hash; the matches are the edges of
-the word's lattice, and a fold over end places keeps the best path (Viterbi) of all
-words of a slab at once.  The words of the texts then take their pieces by number.
+each text starts with one.
+
+Lattice.  ``encode_words`` takes distinct words in DataFrame operations: their substrings
+of at most ``LONGEST`` characters are exploded and meet the piece table in an equi-join, the
+matches are the edges of a word's lattice, grouped by word, and a higher-order aggregate
+folds over their ends, keeping the best path to each place (Viterbi).
+
+Corpus.  ``encoded`` counts the words of all texts and gives the ``VOCABULARY`` most frequent
+ones of at most ``SHORT`` characters to encode_words; that table is bounded by those two
+numbers and is broadcast.  Words repeat, so it has most of a corpus.  The others, for which
+edge rows and a join back to every word of every document would be shuffled, take the
+same lattice inside Arrow batches: each slab of texts is reduced to its distinct words, and
+the fold runs over all of them at once.  Both folds add the same numbers in the same
+order, so it does not matter which one a word takes.
 
 Scores.  A piece's score is the logarithm of a Zipf frequency of its rank in the model
 (the model lists pieces in order of frequency; its own scores are ranks and do not add
@@ -14,17 +23,14 @@ up along a path).  A character without a piece becomes its UTF-8 byte pieces at
 wins.  So this is the most likely segmentation for those scores, not the merge order of
 a pair-merging encoder; decoding gives back every text exactly.
 
-``encode_words`` is the same lattice in DataFrame operations only, with the fold as a
-higher-order aggregate.  It suits vocabularies.  Over whole corpora its edge rows and
-the join back to every word of every document are too many, so ``encoded`` runs the
-lattice inside Arrow batches: no shuffle, memory bounded by a slab and the longest text.
-
 Cases.  Null and empty texts have no pieces; U+2581 in a text goes as bytes, so that
-spaces stay apart from it; equal rows stay; a null doc_id stays null.
+spaces stay apart from it; a very long text is a slab of its own, which bounds memory; equal
+rows stay; a null doc_id stays null; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -32,10 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, ranges, slabs
+from .common import Work, mix, ranges, slabs
 
 LONGEST, UNKNOWN, SLAB, SCALAR = 16, 10.0, 2 << 20, 256
 SPACE, LITERAL = 0x2581, 0x110000
+#: Words that take the relational lattice, their characters, and the uses in a slab from which a word is counted.
+VOCABULARY, SHORT, OFTEN = 1 << 17, 32, 4
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -171,13 +179,49 @@ def _with_bytes(pieces: Pieces, ids: np.ndarray, chars: np.ndarray, count: np.nd
     return out, np.bincount(word, sizes, minlength=len(count)).astype(np.int64)
 
 
-def encode_slab(pieces: Pieces, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of concatenated texts and their number for each."""
+@dataclass
+class Vocabulary:
+    """Encoded words: sorted names, the words' characters and ids, flat with starts and sizes."""
+
+    names: np.ndarray
+    chars: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+    ids: np.ndarray
+    ids_at: np.ndarray
+    count: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[str], ids: list[list[int]]) -> Vocabulary:
+        size, count = np.array([len(w) for w in words], np.int64), np.array([len(x) for x in ids], np.int64)
+        chars, at = np.array([ord(c) for w in words for c in w], np.uint64), np.cumsum(size) - size
+        names = _hashes(chars, at, size) if len(words) else np.zeros(0, np.uint64)
+        order = np.argsort(names)
+        flat = np.array([i for x in ids for i in x], np.int32)
+        return cls(names[order], chars, at[order], size[order], flat, (np.cumsum(count) - count)[order], count[order])
+
+    def find(self, names: np.ndarray, chars: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Place of each word, -1 where it is not there; names are followed by a comparison of all characters."""
+        if not len(self.names):
+            return np.full(len(names), -1)
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        same = (self.names[at] == names) & (self.size[at] == size)
+        k = np.flatnonzero(same)
+        if len(k):
+            differ = chars[ranges(start[k], size[k])] != self.chars[ranges(self.at[at[k]], size[k])]
+            same[k] = np.add.reduceat(differ, np.cumsum(size[k]) - size[k], dtype=np.int64) == 0
+        return np.where(same, at, -1)
+
+
+NOTHING = Vocabulary(*[np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int32, np.int64, np.int64)])
+
+
+def slab_words(offsets: np.ndarray, data: np.ndarray):
+    """Words of concatenated texts: all characters, start and size of each word, its text."""
     lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     at = lead[offsets]
     raw = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
-    n_chars = np.diff(at)
-    full = np.flatnonzero(n_chars)
+    full = np.flatnonzero(np.diff(at))
     # one leading space for each text that is not empty
     chars = np.full(len(raw) + len(full), ord(" "), np.uint64)
     begin = at[full] + np.arange(len(full))
@@ -191,29 +235,44 @@ def encode_slab(pieces: Pieces, offsets: np.ndarray, data: np.ndarray) -> tuple[
     chars[chars == SPACE] = LITERAL
     chars[chars == 0x20] = SPACE
     start = np.flatnonzero(head)
-    size = np.diff(np.append(start, len(chars)))
-    if not len(start):
-        return np.zeros(0, np.int32), np.zeros(len(n_chars), np.int64)
-    name = _names(chars, start, size)
-    _, first, which = np.unique(name, return_index=True, return_inverse=True)
-    ids, count = _paths(pieces, chars[ranges(start[first], size[first])], size[first])
-    ends = np.cumsum(count)
-    out = ids[ranges((ends - count)[which], count[which])]
-    text = full[np.searchsorted(begin, start, "right") - 1]
-    return out, np.bincount(text, count[which], minlength=len(n_chars)).astype(np.int64)
+    return chars, start, np.diff(np.append(start, len(chars))), full[np.searchsorted(begin, start, "right") - 1] if len(start) else start
 
 
-def _names(chars: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A number for each word, equal for equal words only."""
+def encode_slab(pieces: Pieces, offsets: np.ndarray, data: np.ndarray, known: Vocabulary = NOTHING) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of concatenated texts and their number for each."""
+    chars, start, size, text = slab_words(offsets, data)
+    n = len(offsets) - 1
+    if not len(start):
+        return np.zeros(0, np.int32), np.zeros(n, np.int64)
+    name, plain = _names(chars, start, size)
+    name, first, which = np.unique(name, return_index=True, return_inverse=True)
+    found = known.find(name, chars, start[first], size[first]) if plain else np.full(len(first), -1)
+    rest = np.flatnonzero(found < 0)
+    of_rest = first[rest]
+    ids, count = _paths(pieces, chars[ranges(start[of_rest], size[of_rest])], size[of_rest]) if len(rest) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    at, counts = np.empty(len(first), np.int64), np.empty(len(first), np.int64)
+    at[rest], counts[rest] = len(known.ids) + np.cumsum(count) - count, count
+    hit = np.flatnonzero(found >= 0)
+    at[hit], counts[hit] = known.ids_at[found[hit]], known.count[found[hit]]
+    out = np.concatenate([known.ids, ids])[ranges(at[which], counts[which])]
+    return out, np.bincount(text, counts[which], minlength=n).astype(np.int64)
+
+
+def _hashes(chars: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     powers = np.cumprod(np.full(int(size.max()), _B, np.uint64))
     within = np.arange(len(chars)) - np.repeat(start, size)
-    name = mix(np.add.reduceat(mix(chars) * powers[within], start)) + size.astype(np.uint64)
+    return mix(np.add.reduceat(mix(chars) * powers[within], start)) + size.astype(np.uint64)
+
+
+def _names(chars: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, bool]:
+    """A number for each word, equal for equal words only, and whether the numbers are the words' hashes."""
+    name = _hashes(chars, start, size)
     _, first, which = np.unique(name, return_index=True, return_inverse=True)
     same = size[first][which] == size
     if same.all() and np.array_equal(chars, chars[ranges(start[first][which], size)]):
-        return name
+        return name, True
     seen: dict[bytes, int] = {}
-    return np.array([seen.setdefault(chars[s : s + n].tobytes(), len(seen)) for s, n in zip(start.tolist(), size.tolist())], np.uint64)
+    return np.array([seen.setdefault(chars[s : s + n].tobytes(), len(seen)) for s, n in zip(start.tolist(), size.tolist())], np.uint64), False
 
 
 def decode_slab(pieces: Pieces, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,9 +287,32 @@ def decode_slab(pieces: Pieces, ids: np.ndarray, count: np.ndarray) -> tuple[np.
     return np.concatenate([[0], np.cumsum(np.maximum(length - 1, 0))]), data[keep]
 
 
-def _lists(ids: list[np.ndarray], counts: list[np.ndarray]) -> pa.Array:
-    at = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1)
-    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
+def _list(ids: np.ndarray, count: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(ids, pa.int32()))
+
+
+def _frequent(batches):
+    """(word, n): the short words that stand OFTEN times or more in a slab."""
+    for batch in batches:
+        for _, _, offsets, data in slabs(batch, limit=SLAB):
+            chars, start, size, _ = slab_words(offsets, data)
+            if not len(start):
+                continue
+            name, _ = _names(chars, start, size)
+            _, first, n = np.unique(name, return_index=True, return_counts=True)
+            odd = np.add.reduceat(chars == LITERAL, start, dtype=np.int64)[first] > 0
+            often = (n >= OFTEN) & (size[first] <= SHORT) & ~odd
+            words = ["".join(map(chr, chars[s : s + k].tolist())) for s, k in zip(start[first[often]].tolist(), size[first[often]].tolist())]
+            yield pa.record_batch([pa.array(words, pa.string()), pa.array(n[often].astype(np.int64))], names=["word", "n"])
+
+
+def vocabulary(docs: DataFrame, model: str, work: Work) -> Vocabulary:
+    """The VOCABULARY most frequent words of docs (text) by the relational lattice."""
+    counted = docs.select("text").mapInArrow(_frequent, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = work.save(counted.orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word"), "words")
+    pieces = opened(model)
+    got = encode_words(words, piece_table(docs.sparkSession, model), pieces.byte.tolist(), pieces.unknown).toArrow()
+    return Vocabulary.of(got["word"].to_pylist(), got["ids"].to_pylist())
 
 
 def encoded(docs: DataFrame, model: str) -> DataFrame:
@@ -238,30 +320,21 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
 
     model: path of the model file, which every executor has.
     """
+    work = Work(docs.sparkSession, "pieces")
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(docs, model, work))  # at most VOCABULARY words of SHORT characters
+    work.close()
 
     def run(batches):
         pieces = opened(model)
         for batch in batches:
-            done = 0
-            ids, counts, restored = [], [], []
-
-            def rows():
-                n = sum(map(len, counts))
-                return pa.record_batch([batch.column("doc_id").slice(done - n, n), pa.array(np.concatenate(counts)), pa.array(np.concatenate(restored)), _lists(ids, counts)], names=["doc_id", "n_pieces", "restored", "ids"])
-
             for i, j, offsets, data in slabs(batch, limit=SLAB):
-                got, count = encode_slab(pieces, offsets, data)
-                back_at, back = decode_slab(pieces, got, count)
+                ids, count = encode_slab(pieces, offsets, data, shared.value)
+                back_at, back = decode_slab(pieces, ids, count)
                 if np.array_equal(back_at, offsets) and np.array_equal(back, data):
                     same = np.ones(j - i, bool)
                 else:
                     same = np.array([np.array_equal(back[back_at[k] : back_at[k + 1]], data[offsets[k] : offsets[k + 1]]) for k in range(j - i)])
-                ids.append(got)
-                counts.append(count)
-                restored.append(same)
-                done = j
-                yield rows()
-                ids, counts, restored = [], [], []
+                yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.array(count), pa.array(same), _list(ids, count)], names=["doc_id", "n_pieces", "restored", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, n_pieces long, restored boolean, ids array<int>")

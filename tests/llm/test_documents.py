@@ -460,6 +460,20 @@ def test_pieces(docs, rows, empty, pieces):
     assert piece_lattice.encoded(empty, tokenizer_path("piece_bpe_32k.model")).count() == 0
 
 
+def test_both_lattices_give_a_word_the_same_pieces(spark, pieces, monkeypatch):
+    rng = random.Random(16)
+    words = ["".join(rng.choice("etaoinsé日 ▁\n") for _ in range(rng.randint(1, 12))) for _ in range(120)]
+    rows = [(i, " ".join(rng.choices(words, range(120, 0, -1), k=rng.randint(1, 300)))) for i in range(60)] + [(70, "x" * 3000 + " " + "ab" * 40), (71, "▁ ▁▁"), (None, None), (72, "")]
+    docs, path = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, word int"), tokenizer_path("piece_bpe_32k.model")
+    known = piece_lattice.vocabulary(docs, path, Work(spark, "words"))
+    assert 50 < len(known.names)
+    alone = {(r["doc_id"], tuple(r["ids"])) for r in piece_lattice.encoded(docs, path).collect()}
+    monkeypatch.setattr(piece_lattice, "vocabulary", lambda *_: piece_lattice.NOTHING)
+    assert alone == {(r["doc_id"], tuple(r["ids"])) for r in piece_lattice.encoded(docs, path).collect()}
+    every = {pieces.texts[i]: i for i in np.flatnonzero(pieces.usable).tolist()}
+    assert alone == {(d, tuple(path_brute(pieces, every, t or ""))) for d, t in rows}
+
+
 def test_the_relational_lattice_agrees(spark, pieces):
     words = ["▁the", "▁tokenizers", "▁naïve", "▁日本語", "▁xq😀z", "▁aaaaaaaaaaaaaaaaaaaaaaaaa"]
     table = piece_lattice.piece_table(spark, tokenizer_path("piece_bpe_32k.model"))
