@@ -23,8 +23,11 @@ found by alternating large and small stars on written tables.  Only the
 Near copies.  ``keep_first`` asks for a five-word Jaccard similarity of 0.8, for which
 one fingerprint is often more than three bits off.  So it meets texts on shingles:
 sets are in one order, common shingles last, and of two near copies the first fifths
-share a shingle.  Such pairs are compared on all their shingles.  Texts of a bucket of
-more than ``CROWD`` meet in one task, which compares each with those not linked yet.
+share a shingle.  A bit map of each set, in which each shingle flips a bit, bounds from below in how
+many shingles a pair differs; pairs that differ in too many go.  Of the others, the smallest of each
+connected group is compared with its members on all shingles, then those pairs that are not
+in one component yet.  Texts of a bucket of more than ``CROWD`` meet in one task, which
+compares each with those not linked yet.
 
 Cases.  Null and empty texts have fingerprint zero and link like any other; null
 ids are ignored when the smallest id is chosen, and a component with null ids only
@@ -206,27 +209,29 @@ def links(fps: DataFrame, work: Work) -> DataFrame:
     return work.save(out.distinct(), "links")
 
 
-def components(edges: DataFrame, work: Work) -> DataFrame:
+def components(edges: DataFrame, work: Work, name: str = "") -> DataFrame:
     """(u, v): v is the smallest node of u's component, for each u that is not the smallest itself."""
     turn = 0
 
     def state(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    def star(e: DataFrame, large: bool, name: str) -> DataFrame:
+    def star(e: DataFrame, large: bool, step: str) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        least = work.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"least{name}")
+        least = work.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}least{step}")
         near = both.join(least, "u")
         if large:
             out = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             out = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        return work.save(out.where("u <> v").distinct(), f"stars{name}")
+        return work.save(out.where("u <> v").distinct(), f"{name}stars{step}")
 
     now = state(edges)
     while now[0]:
         edges = star(star(edges, True, f"{turn}a"), False, f"{turn}b")
-        before, now, turn = now, state(edges), turn + 1
+        before, now = now, state(edges)
+        work.drop(*[f"{name}{x}" for x in (f"least{turn}a", f"stars{turn}a", f"least{turn}b", *([f"stars{turn - 1}b"] if turn else []))])
+        turn += 1
         if before == now:
             break
     return edges
@@ -252,7 +257,9 @@ def digest(docs: DataFrame) -> DataFrame:
 #: Near copies: words of a shingle, least similarity, most texts of a bucket whose pairs are written out.
 WORDS, ALIKE, CROWD = 5, 0.8, 64
 #: A common shingle is in OFTEN texts or more; at most COMMON of them are told apart; shingles counted at once.
-OFTEN, COMMON, COUNTED = 64, 100_000, 1 << 21
+OFTEN, COMMON, COUNTED = 16, 100_000, 1 << 21
+#: Bits of the map of a shingle set.
+MAP = 2048
 
 
 def _hashes(words: list[bytes], hash64, width: int) -> np.ndarray:
@@ -311,7 +318,7 @@ def least_shared(n: np.ndarray | int):
 
 
 def _prefixes(common: np.ndarray):
-    """(token, name, n): of each set the shingles of which a near copy has one, common shingles last."""
+    """(token, name, n): of each set the shingles of which a near copy has one, those in the sorted array common last."""
 
     def run(batches):
         seen = set()
@@ -322,7 +329,8 @@ def _prefixes(common: np.ndarray):
                 if name in seen or not len(s):
                     continue
                 seen.add(name)
-                s = s[np.argsort(np.isin(s, common), kind="stable")] if len(common) else s
+                if len(common):
+                    s = s[np.argsort(common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s, kind="stable")]
                 tokens.append(s[: len(s) - int(least_shared(len(s))) + 1])
                 names.append(name)
                 sizes.append(len(s))
@@ -376,11 +384,18 @@ def _buckets(batches):
         yield _meet(*(np.concatenate(x) for x in zip(*held)))
 
 
+def bit_map(s: np.ndarray) -> bytes:
+    """A bit for each MAP-th part of the hashes: 1 if an odd number of the shingles fall there."""
+    count = np.bincount((s.view(np.uint64) >> np.uint64(65 - MAP.bit_length())).astype(np.int64), minlength=MAP)
+    return np.packbits(count & 1).tobytes()
+
+
 def _sets(batches):
     for batch in batches:
         found = [shingle_set(raw) for raw in _texts(batch)]
         sets = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(s) for _, s in found])).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *(s for _, s in found)])))
-        yield pa.record_batch([pa.array([name for name, _ in found], pa.int64()), sets], names=["name", "shingles"])
+        columns = [pa.array([name for name, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), pa.array([bit_map(s) for _, s in found], pa.binary()), sets]
+        yield pa.record_batch(columns, names=["name", "n", "bits", "shingles"])
 
 
 def _split(column) -> list[np.ndarray]:
@@ -389,6 +404,15 @@ def _split(column) -> list[np.ndarray]:
     return [values[s:e] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
+def _possible(batches):
+    """(u, v) of the pairs (u, v, nu, nv, bu, bv) that can be near copies: sets that share h shingles differ in nu + nv - 2 h, and in as many bits at most."""
+    for batch in batches:
+        maps = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bu", "bv")]
+        both = batch.column("nu").to_numpy() + batch.column("nv").to_numpy()
+        differ = np.bitwise_count(maps[0] ^ maps[1]).sum(axis=1, dtype=np.int64)
+        yield batch.select(["u", "v"]).filter(pa.array(differ <= both - 2 * np.ceil(ALIKE / (1 + ALIKE) * both - 1e-9)))
+
+
 def _verified(batches):
     """(u, v) of the pairs (u, v, su, sv) whose sets are near copies."""
     for batch in batches:
@@ -399,6 +423,12 @@ def _verified(batches):
         yield batch.select(["u", "v"]).filter(pa.array(same))
 
 
+def _beside(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """pairs (u, v) with columns of the sets of both, under the column's first letter and u or v."""
+    side = lambda x: sets.select(F.col("name").alias(x), *[F.col(c).alias(f"{c[0]}{x}") for c in columns])
+    return pairs.join(side("u"), "u").join(side("v"), "v")
+
+
 def settled(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links of near copies that connect all sets which near copies connect.
 
@@ -459,7 +489,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     rows = told.where("id is not null").select("id", "name")
     often = told.where("id is null").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
     # at most COMMON numbers; any set of them gives the same pairs
-    common = np.array([r[0] for r in often.orderBy(F.desc("n"), "name").limit(COMMON).select("name").collect()], np.int64)
+    common = np.sort(np.array([r[0] for r in often.orderBy(F.desc("n"), "name").limit(COMMON).select("name").collect()], np.int64))
     tokens = docs.mapInArrow(_prefixes(common), "token long, name long, n int")
     met = work.save(tokens.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_buckets, "u long, v long, nu long, nv long, c long"), "met")
 
@@ -471,10 +501,20 @@ def near_copies(docs: DataFrame) -> DataFrame:
     heads = work.save(rows.groupBy("name").agg(F.min("id").alias("first")), "heads")
     wanted = work.save(heads.join(names, "name", "left_semi"), "wanted")
     texts = docs.join(wanted.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
-    sets = work.save(texts.mapInArrow(_sets, "name long, shingles array<long>").join(wanted.select("name"), "name", "left_semi").dropDuplicates(["name"]), "sets")
-    held = pairs.join(sets.select(F.col("name").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("name").alias("v"), F.col("shingles").alias("sv")), "v")
-    small = held.select("u", "v", "su", "sv").mapInArrow(_verified, "u long, v long")
-    large = crowds.join(sets, "name").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_crowds, "u long, v long")
+    sets = texts.mapInArrow(_sets, "name long, n long, bits binary, shingles array<long>").join(wanted.select("name"), "name", "left_semi")
+    sets = work.save(sets.dropDuplicates(["name"]), "sets")
+    possible = _beside(pairs, sets, "n", "bits").select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(_possible, "u long, v long")
+    possible = work.save(possible.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "possible")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        return _beside(pairs, sets, "shingles").select("u", "v", "su", "sv").mapInArrow(_verified, "u long, v long")
+
+    # a group of copies has few members and many pairs: most are in one component after its smallest is compared
+    first = work.save(near(components(possible, work, "possible")), "first")
+    to = lambda x: first.select(F.col("u").alias(x), F.col("v").alias(f"of_{x}"))
+    apart = possible.join(to("u"), "u", "left").join(to("v"), "v", "left").where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v")
+    small = first.unionByName(near(apart))
+    large = crowds.join(sets.select("name", "shingles"), "name").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_crowds, "u long, v long")
     edges = work.save(small.unionByName(large).distinct(), "edges")
 
     roots = components(edges, work).select(F.col("u").alias("name"), F.col("v").alias("root"))
