@@ -120,3 +120,40 @@ def evict(index: DataFrame, limit: int, keep: float = 0.9) -> DataFrame:
     held = free.join(later.select("day", "after"), "day").crossJoin(pinned).withColumn("held", F.sum("size").over(inside) + F.col("after") + F.col("pinned_size"))
     total = F.broadcast(blobs.agg(F.sum("size").alias("total")))
     return held.crossJoin(total).where((F.col("total") > limit) & (F.col("held") > F.lit(int(keep * limit)))).select("cid", "size", "last_use")
+
+
+def numbered(rows: DataFrame, by: str, order: list[str], name: str) -> DataFrame:
+    """rows with a dense number from 0 over (by, order): counts of each ``by`` first, then places inside it, so no window has all rows."""
+    inside = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
+    per = rows.groupBy(by).agg(F.count("*").alias("_k"))
+    before = F.coalesce(F.sum("_k").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("_j", inside).join(F.broadcast(per.select(by, before.alias("_before"))), by)  # one row for each value of by
+    return placed.withColumn(name, (F.col("_j") + F.col("_before")).cast("long")).drop("_j", "_before")
+
+
+def stored_blobs(blobs: DataFrame, cid: str = "cid", payload: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """Blobs for a content-addressed table, each cid once, and those whose content is not what their cid says."""
+    good = F.sha2(F.col(payload).cast("binary"), 256) == F.col(cid)
+    return blobs.where(good).dropDuplicates([cid]), blobs.where(~F.coalesce(good, F.lit(False)))
+
+
+def accepted_manifests(manifests: DataFrame, grids: DataFrame, most: int) -> DataFrame:
+    """manifests with ``reason``: null if signed (sig_ok), of at most ``most`` bytes and of a known grid."""
+    known = manifests.join(grids.select("grid").distinct().withColumn("_known", F.lit(True)), "grid", "left")
+    reason = F.when(~F.coalesce("sig_ok", F.lit(False)), "signature").when(F.col("size") > most, "size").when(F.col("_known").isNull(), "grid")
+    return known.withColumn("reason", reason).drop("_known")
+
+
+def relayed_rates(holders: DataFrame, relays: DataFrame) -> DataFrame:
+    """holders (holder, relay, rate) with ``capped``: holders behind a relay share its capacity in proportion to their rates.
+
+    relays: relay, capacity; a holder without a relay keeps its rate.
+    """
+    asked = holders.where("relay is not null").groupBy("relay").agg(F.sum("rate").alias("_asked")).join(relays, "relay")
+    share = F.least(F.lit(1.0), F.col("capacity") / F.col("_asked"))
+    return holders.join(asked, "relay", "left").withColumn("capped", F.col("rate") * F.coalesce(share, F.lit(1.0))).drop("_asked", "capacity")
+
+
+def data_variable(name) -> Column:
+    """A variable of the grid, not a parity or value-parity pseudo-variable."""
+    return ~F.col(name).rlike("#[pv]")

@@ -49,6 +49,24 @@ def family_vote(arrays: DataFrame) -> DataFrame:
     return out.where("authorities <= 1").select("var", F.coalesce("chosen", F.col("mode.vfid")).alias("vfid"), "authorities")
 
 
+def majority(rows: DataFrame, by: Sequence[str], value: str, own: str | None = None, last_wins: bool = False) -> DataFrame:
+    """The most common value of each group, its votes and the number of different values.
+
+    own: a flag column; a flagged value counts before any majority.  Ties go to the smallest value, or to the largest.
+    """
+    mine = F.max(F.col(own).cast("int")) if own else F.max(F.lit(0))
+    counted = rows.groupBy(*by, value).agg(F.count("*").alias("votes"), mine.alias("_own"))
+    score = F.struct("_own", "votes", value) if last_wins else F.struct((-F.col("_own")).alias("o"), (-F.col("votes")).alias("v"), value)
+    best = (F.max_by if last_wins else F.min_by)(F.struct(value, "votes"), score)
+    return counted.groupBy(*by).agg(best.alias("_b"), F.count("*").alias("values")).select(*by, f"_b.{value}", "_b.votes", "values")
+
+
+def assemble(rows: DataFrame, by: Sequence[str], place: Column, size: int, value: str) -> DataFrame:
+    """values: an array of ``size`` places for each group, null where no row has the place (the fill of an absent source)."""
+    held = rows.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(place.cast("int").alias("p"), F.col(value).alias("v")))).alias("_m"))
+    return held.select(*by, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda p: F.try_element_at("_m", p)).alias("values"))
+
+
 def islands(spans: DataFrame, keys: Sequence[str], lo: str = "g0", hi: str = "g1") -> DataFrame:
     """Union of half-open intervals by key, as maximal runs; spans are distinct."""
     by = Window.partitionBy(*keys).orderBy(lo, hi)
@@ -77,14 +95,26 @@ def intersect(a: DataFrame, b: DataFrame, keys: Sequence[str], bucket: int) -> D
     return both.where(grid.floor_div(lo, bucket) == F.col("_b")).select(*keys, lo.alias("g0"), hi.alias("g1"))
 
 
-def subtract(request: DataFrame, held: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Parts of each request interval that no held interval covers; held intervals are disjoint runs."""
-    inside = held.join(request.select(*keys, F.col("g0").alias("r0"), F.col("g1").alias("r1")), keys).where("g0 < r1 and g1 > r0")
+def subtract(request: DataFrame, held: DataFrame, keys: Sequence[str], bucket: int = 168) -> DataFrame:
+    """Parts of each request interval that no held interval covers; held intervals are disjoint runs.
+
+    Both sides are cut at the bounds of time buckets and meet by bucket, so a request meets only the runs near it.
+    """
+
+    def cut(df: DataFrame) -> DataFrame:
+        spots = F.sequence(grid.floor_div(F.col("g0"), bucket), grid.floor_div(F.col("g1") - 1, bucket))
+        parts = df.where("g0 < g1").select(*keys, "g0", "g1", F.explode(spots).alias("_b"))
+        return parts.select(*keys, "_b", F.greatest("g0", F.col("_b") * bucket).alias("g0"), F.least("g1", (F.col("_b") + 1) * bucket).alias("g1"))
+
+    asked = cut(request).select(*keys, "_b", F.col("g0").alias("r0"), F.col("g1").alias("r1"))
+    inside = cut(held).join(asked, [*keys, "_b"]).where("g0 < r1 and g1 > r0")
     gone = inside.select(*keys, "r0", "r1", F.greatest("g0", "r0").alias("g0"), F.least("g1", "r1").alias("g1"))
-    ends = request.select(*keys, F.col("g0").alias("r0"), F.col("g1").alias("r1"), F.col("g1").alias("g0"), F.col("g1").alias("g1"))
+    ends = asked.select(*keys, "r0", "r1", F.col("r1").alias("g0"), F.col("r1").alias("g1"))
     by = Window.partitionBy(*keys, "r0", "r1").orderBy("g0", "g1")
     before = F.coalesce(F.max("g1").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.col("r0"))
-    return gone.unionByName(ends).withColumn("from", before).where(F.col("from") < F.col("g0")).select(*keys, F.col("from").alias("g0"), F.col("g0").alias("g1"))
+    left = gone.unionByName(ends).withColumn("from", before).where(F.col("from") < F.col("g0")).select(*keys, F.col("from").alias("g0"), F.col("g0").alias("g1"))
+    # parts that touch at a bucket's bound are one again
+    return islands(left.distinct(), list(keys))
 
 
 def coverage(chunks: DataFrame, request: tuple[Column, Column], stride: int, offset, x: tuple[int, int]) -> DataFrame:
@@ -123,7 +153,8 @@ def outer_merge(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
 
 
 def key_changes(before: DataFrame, after: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """New and changed keys of after, and keys that are gone."""
-    both = before.select(*keys, F.col(value).alias("_a")).join(after.select(*keys, F.col(value).alias("_b")), list(keys), "full")
-    change = F.when(F.col("_a").isNull(), "new").when(F.col("_b").isNull(), "gone").when(F.col("_a") != F.col("_b"), "changed")
+    """New and changed keys of after, and keys that are gone; null is a value like any other."""
+    a, b = (df.select(*keys, F.struct(value).alias(name)) for df, name in ((before, "_a"), (after, "_b")))
+    both = a.join(b, list(keys), "full")
+    change = F.when(F.col("_a").isNull(), "new").when(F.col("_b").isNull(), "gone").when(~F.col(f"_a.{value}").eqNullSafe(F.col(f"_b.{value}")), "changed")
     return both.select(*keys, change.alias("change")).where("change is not null")

@@ -10,7 +10,7 @@ def audit_sample(requests: DataFrame, trusted: DataFrame, first: int = 3, rate:
     """One decision for each (holder, chunk): the first of each holder and a hash sample of the rest; trusted holders are skipped."""
     one = requests.groupBy("holder", "chunk").agg(F.min("seq").alias("seq")).join(trusted, "holder", "left_anti")
     n = F.row_number().over(Window.partitionBy("holder").orderBy("seq", "chunk"))
-    dice = F.pmod(F.crc32(F.concat_ws("/", "holder", "chunk")), F.lit(10_000))
+    dice = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("/", "holder", "chunk")), 1, 8), 16, 10).cast("long"), F.lit(10_000))
     return one.withColumn("n", n).where((F.col("n") <= first) | (dice < int(rate * 10_000)))
 
 

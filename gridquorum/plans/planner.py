@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict, deque
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -19,10 +19,40 @@ class Piece:
     local: bool = False
 
 
+@dataclass(frozen=True)
+class Family:
+    """All tiles that a time chunk of a layout needs: it covers its interval only as a whole."""
+
+    key: str
+    tiles: tuple[Piece, ...]
+
+    @property
+    def start(self) -> int:
+        return max(p.start for p in self.tiles)
+
+    @property
+    def end(self) -> int:
+        return min(p.end for p in self.tiles)
+
+    @property
+    def size(self) -> float:
+        return sum(p.size for p in self.tiles)
+
+
+def families(pieces: list[tuple[str, Piece]], needed: dict[str, int]) -> list[Family]:
+    """Complete families of (family key, piece); needed: number of tiles by family key."""
+    found: dict[str, list[Piece]] = defaultdict(list)
+    for key, p in pieces:
+        found[key].append(p)
+    out = [Family(key, tuple(sorted(ps, key=lambda p: p.key))) for key, ps in sorted(found.items()) if len(ps) == needed[key]]
+    return [f for f in out if f.start < f.end]
+
+
+# fixed values of the joint plan: slack of the best time, seconds a piece costs besides its bytes, receiver's rate, rounds, weight step
 SLACK, OVERHEAD, RECEIVER, ROUNDS, EPSILON = 0.1, 0.05, 30e6, 24, 0.5
 
 
-def cheapest_cover(pieces: list[Piece], lo: int, hi: int, price, stride: int = 1, offset: int = 0) -> list[Piece]:
+def cheapest_cover(pieces: list[Family] | list[Piece], lo: int, hi: int, price, stride: int = 1, offset: int = 0) -> list:
     """Pieces of least total price that cover every sample of [lo, hi) that any piece covers.
 
     Shortest path over the sorted ends of the intervals.  An elementary cell without a sample, or
@@ -62,8 +92,8 @@ def cheapest_cover(pieces: list[Piece], lo: int, hi: int, price, stride: int = 1
     return sorted(set(out), key=lambda p: p.key)
 
 
-def _flow(groups: list[tuple[tuple[str, ...], float]], capacity: dict[str, float]) -> dict[tuple[int, str], float] | None:
-    """Amounts by (group, holder) that place every group within the capacities, or None."""
+def _flow(groups: list[tuple[tuple[str, ...], float]], capacity: dict[str, float]) -> tuple[dict[tuple[int, str], float], set[str] | None]:
+    """Amounts by (group, holder), and None if all are placed, else holders that are full with what only they can serve."""
     placed: dict[tuple[int, str], float] = defaultdict(float)
     room = dict(capacity)
     for g, (holders, amount) in enumerate(groups):
@@ -84,7 +114,7 @@ def _flow(groups: list[tuple[tuple[str, ...], float]], capacity: dict[str, float
                                 back[k] = (h, other)
                                 queue.append(k)
             if goal is None:
-                return None
+                return placed, set(back)
             much, h = min(left, room[goal]), goal
             while back[h]:
                 before, other = back[h]
@@ -98,27 +128,24 @@ def _flow(groups: list[tuple[tuple[str, ...], float]], capacity: dict[str, float
                 h = before
             placed[g, h] += much
             left -= much
-    return placed
+    return placed, None
 
 
 def split(groups: list[tuple[tuple[str, ...], float]], rates: dict[str, float]) -> tuple[float, dict[tuple[int, str], float]]:
-    """Least makespan of amounts that groups of holders can serve, to one part in a thousand, and the amounts by (group, holder)."""
+    """Least makespan of amounts that groups of holders can serve, and the amounts by (group, holder).
+
+    The least makespan is the largest quotient, over sets of holders, of what only they can serve
+    and their rates.  Each flow that does not fit names such a set, so the time rises to its
+    quotient until a flow fits; there are finitely many sets.
+    """
     used = sorted({h for sig, _ in groups for h in sig})
-    total = sum(a for _, a in groups)
-    high = max(total / min(rates[h] for h in used), 1e-9)
-    low = total / sum(rates[h] for h in used)
-    placed = None
-    while placed is None:
-        placed = _flow(groups, {h: rates[h] * high for h in used})
-        high = high if placed is not None else high * 2
-    while high - low > 1e-3 * high:
-        middle = (low + high) / 2
-        got = _flow(groups, {h: rates[h] * middle for h in used})
-        if got is None:
-            low = middle
-        else:
-            high, placed = middle, got
-    return high, placed
+    seconds = sum(a for _, a in groups) / sum(rates[h] for h in used)
+    while True:
+        placed, tight = _flow(groups, {h: rates[h] * seconds for h in used})
+        if tight is None:
+            return seconds, placed
+        own = sum(a for sig, a in groups if tight.issuperset(sig)) / sum(rates[h] for h in tight)
+        seconds = max(own, seconds * (1 + 1e-12))
 
 
 def assign(pieces: list[Piece], rates: dict[str, float], relays: dict[str, tuple[str, float]] | None = None, client: float | None = None) -> tuple[float, dict[str, str]]:
@@ -178,39 +205,51 @@ def assign(pieces: list[Piece], rates: dict[str, float], relays: dict[str, tuple
     return max(bound, total / client) if client else bound, chosen
 
 
-def joint_plan(pieces: list[Piece], lo: int, hi: int, rates: dict[str, float], stride: int = 1, offset: int = 0, client: float | None = RECEIVER) -> tuple[list[Piece], float]:
-    """Cover chosen with its makespan in view.
+def joint_plan(
+    chunks: list[Family], lo: int, hi: int, rates: dict[str, float], stride: int = 1, offset: int = 0, relays: dict[str, tuple[str, float]] | None = None, client: float | None = RECEIVER
+) -> tuple[list[Family], dict[str, str], float]:
+    """Cover chosen with its makespan in view: families, the holder of each of their pieces, and the time.
 
     Multiplicative weights give holders prices that rise with their load; each round's cheapest
-    cover is a candidate, the one of fewest bytes always is.  Of those within SLACK of the
-    best time, fewest bytes wins, then time.
+    cover is a candidate, the one of fewest bytes always is.  Loads are measured against the time
+    that all holders together would take for the first round's cover.  Of the covers within SLACK
+    of the best time, fewest bytes wins, then time.
     """
-    serving = [p for p in pieces if p.local or any(rates.get(h, 0) > 0 for h in p.holders)]
+    able = lambda p: p.local or any(rates.get(h, 0) > 0 for h in p.holders)
+    serving = [f for f in chunks if all(map(able, f.tiles))]
     if not serving:
-        return [], 0.0
+        return [], {}, 0.0
     known = sorted(r for r in rates.values() if r > 0) or [1.0]
     extra = OVERHEAD * known[len(known) // 2]
+    charged = {f.key: [replace(p, size=p.size + extra) for p in f.tiles] for f in serving}
     weight = {h: 1 / r for h, r in rates.items() if r > 0}
+    cheapest = lambda p: min((h for h in p.holders if h in weight), key=lambda h: (weight[h], h))
+    asked = {h for ps in charged.values() for p in ps if not p.local for h in p.holders if h in weight}
+    together = sum(rates[h] for h in asked) or 1.0
 
-    def price(p: Piece) -> float:
-        return 0.0 if p.local else (p.size + extra) * min(weight[h] for h in p.holders if h in weight)
+    def price(f: Family) -> float:
+        return sum(p.size * weight[cheapest(p)] for p in charged[f.key] if not p.local)
 
-    covers = {tuple(p.key for p in c): c for c in [cheapest_cover(serving, lo, hi, lambda p: 0.0 if p.local else p.size, stride, offset)]}
+    covers = {tuple(f.key for f in c): c for c in [cheapest_cover(serving, lo, hi, lambda f: sum(p.size for p in f.tiles if not p.local), stride, offset)]}
     reference = None
     for _ in range(ROUNDS):
         cover = cheapest_cover(serving, lo, hi, price, stride, offset)
-        covers.setdefault(tuple(p.key for p in cover), cover)
+        covers.setdefault(tuple(f.key for f in cover), cover)
         load: dict[str, float] = defaultdict(float)
-        for p in cover:
-            if not p.local:
-                load[min((h for h in p.holders if h in weight), key=lambda h: (weight[h], h))] += p.size + extra
+        for f in cover:
+            for p in charged[f.key]:
+                if not p.local:
+                    load[cheapest(p)] += p.size
         if not load:
             break
-        if reference is None:
-            reference = max(amount / rates[h] for h, amount in load.items())
+        reference = reference or max(sum(load.values()) / together, 1e-9)
         for h, amount in load.items():
             weight[h] *= 1 + EPSILON * amount / (rates[h] * reference)
-    timed = [(assign(c, rates, client=client)[0], sum(p.size for p in c if not p.local), key) for key, c in covers.items()]
-    best = min(t for t, _, _ in timed)
-    time, _, key = min((x for x in timed if x[0] <= (1 + SLACK) * best), key=lambda x: (x[1], x[0], x[2]))
-    return covers[key], time
+    timed = []
+    for key, c in covers.items():
+        tiles = [p for f in c for p in charged[f.key]]
+        seconds, holder = assign(tiles, rates, relays, client)
+        timed.append((seconds, sum(p.size for p in tiles), key, holder))
+    best = min(t for t, *_ in timed)
+    seconds, _, key, holder = min((x for x in timed if x[0] <= (1 + SLACK) * best), key=lambda x: (x[1], x[0], x[2]))
+    return covers[key], holder, seconds

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_catalog, queries_cells, queries_jobs, queries_values  # noqa: F401
+from . import queries_catalog, queries_cells, queries_jobs, queries_values, queries_views  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
 
 

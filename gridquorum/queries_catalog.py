@@ -178,11 +178,14 @@ def audit_first(spark, d):
     return trust.audit_sample(li, trusted, first=3, rate=0.0).groupBy("holder").agg(F.min("n").cast("long").alias("first"), F.count("*").alias("always"))
 
 
-@query()
+@query("""
+WITH q AS (SELECT l_suppkey % 20 AS holder, l_partkey AS chunk, min(l_orderkey) AS seq FROM lineitem WHERE l_suppkey % 20 NOT IN (3, 7) GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY holder ORDER BY seq, chunk) AS n FROM q)
+SELECT holder, chunk, seq, n FROM n WHERE n <= 3 OR ('0x' || substr(md5(holder || '/' || chunk), 1, 8))::BIGINT % 10000 < 500""")
 def audit_sample(spark, d):
     """With the five per cent sample of the rest."""
     li = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_suppkey") % 20).alias("holder"), F.col("l_partkey").alias("chunk"), F.col("l_orderkey").alias("seq"))
-    return trust.audit_sample(li, spark.createDataFrame([(3,), (7,)], "holder long"))
+    return trust.audit_sample(li, spark.createDataFrame([(3,), (7,)], "holder long")).withColumn("n", F.col("n").cast("long"))
 
 
 _RECEIPTS = """
@@ -256,29 +259,30 @@ def readahead(spark, d):
 
 _KEYS = with_(CHUNKS) + """,
 k AS (SELECT var, c, t, var || '/' || c || '.' || t AS key, vcid FROM chunks WHERE holder = 'A'),
-s AS (SELECT *, ('0x' || substr(md5(key), 1, 4))::BIGINT % 8 = 0 AS ends FROM k)"""
+s AS (SELECT *, ('0x' || substr(md5(key), 1, 8))::BIGINT % 8 = 0 AS ends FROM k)"""
+
+_PAGES = """ AS (SELECT *, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY var ORDER BY c, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS page FROM s)"""
+_TABLE = " (SELECT var, CAST(page AS BIGINT) AS page, count(*) AS entries, min(key) AS first, max(key) AS last, md5(string_agg(key || '=' || vcid, ',' ORDER BY key || '=' || vcid)) AS hash FROM {} GROUP BY 1, 2)"
 
 
 def _paged(spark, d):
-    """Entries of A's manifest with page numbers; md5 in place of the hash, which the SQL has too."""
+    """Entries of A's manifest with page numbers."""
     k = _chunks(spark, d).where("holder = 'A'").select("var", "c", "t", F.concat_ws("/", "var", F.concat_ws(".", "c", "t")).alias("key"), "vcid")
-    ends = (F.conv(F.substring(F.md5("key"), 1, 4), 16, 10).cast("long") % 8 == 0).cast("int")
-    w = Window.partitionBy("var").orderBy("c", "t").rowsBetween(Window.unboundedPreceding, -1)
-    return k.withColumn("page", F.coalesce(F.sum(ends).over(w), F.lit(0)))
+    return paging.pages(k, ["var"], ["c", "t"], "key", 8)
 
 
-@query(_KEYS + """,
-p AS (SELECT *, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY var ORDER BY c, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS page FROM s)
-SELECT var, CAST(page AS BIGINT) AS page, count(*) AS entries, min(key) AS first, max(key) AS last, md5(string_agg(key || '=' || vcid, ',' ORDER BY key || '=' || vcid)) AS hash FROM p GROUP BY 1, 2""")
+@query(_KEYS + ", p" + _PAGES + " SELECT * FROM" + _TABLE.format("p"))
 def manifest_pages(spark, d):
     """Content-defined pages of a manifest."""
     return paging.page_table(_paged(spark, d), ["var"], "key", "vcid")
 
 
-@query()
+@query(_KEYS + ", p" + _PAGES + """,
+old AS (SELECT p.* FROM p JOIN (SELECT var, max(c) AS last FROM p GROUP BY var) USING (var) WHERE c < last)
+SELECT * FROM""" + _TABLE.format("p") + " WHERE hash NOT IN (SELECT hash FROM" + _TABLE.format("old") + ")")
 def manifest_delta(spark, d):
     """Pages that are new when one day is appended."""
-    paged = paging.pages(_chunks(spark, d).where("holder = 'A'").withColumn("key", F.concat_ws("/", "var", F.concat_ws(".", "c", "t"))), ["var"], ["c", "t"], "key", 8)
+    paged = _paged(spark, d)
     last = paged.groupBy("var").agg(F.max("c").alias("last"))
     before = paged.join(F.broadcast(last), "var").where("c < last")  # one row for each variable
     table = lambda p: paging.page_table(p, ["var"], "key", "vcid")

@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from .functions import grid
 from .operators import catalog, merge
 from .registry import query
-from .sqltext import CELLS, CHUNKS, ISLANDS, REPLICAS, UNION, with_
+from .sqltext import CELLS, CHUNKS, ISLANDS, REPLICAS, UNION, VOTE, with_
 
 
 def _replicas(spark, d) -> DataFrame:
     return catalog.replicas(catalog.event_cells(spark, d))
 
 
+PRIORITY = ["A", "C", "B"]
+
+
 def _merged(spark, d) -> DataFrame:
-    return merge.gap_fill(_replicas(spark, d), ["A", "C", "B"])
+    return merge.gap_fill(_replicas(spark, d), PRIORITY)
 
 
 @query(with_(UNION) + """
@@ -84,33 +87,22 @@ def sample_coverage(spark, d):
     return merge.coverage(catalog.chunks(_replicas(spark, d)), (F.lit(473400).cast("long"), F.lit(474000).cast("long")), 6, F.lit(0).cast("long"), (2, 6))
 
 
-_VOTE = """,
-vals AS (
-  SELECT var, layout, c, t, vcid, CAST(sum({trust}) AS BIGINT) AS trust, count(*) AS votes, max(nvalid) AS nvalid, string_agg(holder, '+' ORDER BY holder) AS src
-  FROM chunks GROUP BY var, layout, c, t, vcid),
-ranked AS (
-  SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY var, layout, c, t) AS k,
-    lead(trust) OVER w AS trust2, lead(votes) OVER w AS votes2, lead(nvalid) OVER w AS nvalid2
-  FROM vals WINDOW w AS (PARTITION BY var, layout, c, t ORDER BY trust DESC, votes DESC, nvalid DESC, vcid DESC)),
-won AS (
-  SELECT *, CASE WHEN k = 1 THEN 'accepted' WHEN trust = trust2 AND votes = votes2 AND nvalid = nvalid2 THEN 'contested'
-    WHEN trust = trust2 AND votes = votes2 THEN 'rival' ELSE 'accepted' END AS status FROM ranked WHERE rn = 1)
-SELECT var, layout, c, t, status, CASE WHEN status <> 'contested' THEN vcid END AS vcid, CASE WHEN status <> 'contested' THEN src END AS src, votes, nvalid FROM won"""
+_WON = " SELECT var, layout, c, t, status, CASE WHEN status <> 'contested' THEN vcid END AS vcid, CASE WHEN status <> 'contested' THEN src END AS src, votes, nvalid FROM won"
 
 
-@query(with_(CHUNKS) + _VOTE.format(trust="0"))
+@query(with_(CHUNKS) + VOTE.format(trust="0") + _WON)
 def value_vote(spark, d):
     """Winning value of each chunk."""
     return merge.vote(catalog.chunks(_replicas(spark, d)))
 
 
-@query(with_(CHUNKS) + _VOTE.format(trust="CASE WHEN holder = 'A' THEN 1 ELSE 0 END"))
+@query(with_(CHUNKS) + VOTE.format(trust="CASE WHEN holder = 'A' THEN 1 ELSE 0 END") + _WON)
 def trusted_vote(spark, d):
     """The same vote with A as a trusted publisher."""
     return merge.vote(catalog.chunks(_replicas(spark, d)), ["A"])
 
 
-@query("SELECT var, layout, c, count(*) AS tiles FROM (" + with_(CHUNKS) + _VOTE.format(trust="0") + ") WHERE status = 'contested' GROUP BY ALL")
+@query("SELECT var, layout, c, count(*) AS tiles FROM (" + with_(CHUNKS) + VOTE.format(trust="0") + _WON + ") WHERE status = 'contested' GROUP BY ALL")
 def contested_chunks(spark, d):
     """Time chunks that a contested tile takes out of coverage."""
     return value_vote(spark, d).where("status = 'contested'").groupBy("var", "layout", "c").agg(F.count("*").alias("tiles"))
@@ -163,9 +155,10 @@ def rechunk_tiles(spark, d):
 
 @query(with_(UNION) + " SELECT var, g, x, cents / 100::DOUBLE AS value FROM merged, g0 WHERE x >= 2 AND x < 5 AND g >= g0 + 24 AND g < g0 + 48")
 def bbox_isel(spark, d):
-    """An index box of one day."""
+    """An index box of one day; replicas are cut to it before they are merged."""
     first = F.broadcast(catalog.event_cells(spark, d).agg(F.min("g").alias("g0")))
-    return _merged(spark, d).crossJoin(first).where("x >= 2 and x < 5 and g >= g0 + 24 and g < g0 + 48").select("var", "g", "x", "value")
+    rows = _replicas(spark, d).crossJoin(first).where("x >= 2 and x < 5 and g >= g0 + 24 and g < g0 + 48")
+    return merge.gap_fill(rows, PRIORITY).select("var", "g", "x", "value")
 
 
 @query(with_(UNION) + """,
@@ -182,8 +175,8 @@ def bbox_sel(spark, d):
 def strided_view(spark, d):
     """Every sixth sample from the start of the request."""
     first = F.broadcast(catalog.event_cells(spark, d).agg((F.min("g") + 3).alias("o")))
-    rows = _merged(spark, d).crossJoin(first).where((F.col("g") >= F.col("o")) & grid.on_lattice("g", F.lit(6), "o"))
-    return rows.groupBy("var", "g").agg(F.sum("cents").alias("cents"))
+    rows = _replicas(spark, d).crossJoin(first).where((F.col("g") >= F.col("o")) & grid.on_lattice("g", F.lit(6), "o"))
+    return merge.gap_fill(rows, PRIORITY).groupBy("var", "g").agg(F.sum("cents").alias("cents"))
 
 
 @query(with_(REPLICAS) + """
@@ -313,9 +306,9 @@ m AS (SELECT var, max(g) AS gmax FROM merged GROUP BY var)
 SELECT var, g, x, cents FROM merged JOIN m USING (var) WHERE g > gmax - 12""")
 def follow_window(spark, d):
     """The newest twelve hours of each variable that anyone holds."""
-    rows = _merged(spark, d)
+    rows = _replicas(spark, d).where(F.col("holder").isin(PRIORITY))
     newest = rows.groupBy("var").agg(F.max("g").alias("gmax"))
-    return rows.join(F.broadcast(newest), "var").where("g > gmax - 12").select("var", "g", "x", "cents")  # one row for each variable
+    return merge.gap_fill(rows.join(F.broadcast(newest), "var").where("g > gmax - 12"), PRIORITY).select("var", "g", "x", "cents")  # one row for each variable
 
 
 @query(with_(UNION) + " SELECT var, CAST(floor(g / 24::DOUBLE) AS BIGINT) AS day, x, max(cents) - min(cents) AS span, count(*) AS n FROM merged GROUP BY 1, 2, 3")

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import grid
-from .operators import catalog, merge
+from .operators import catalog, merge, parity
 from .queries_catalog import _chunks
 from .queries_cells import _replicas
 from .registry import query
@@ -180,14 +180,28 @@ def bootstrap_ratio(spark, d):
     return medians.agg(F.percentile(drawn, F.lit(0.025)).alias("lo"), F.max(F.when(F.col("r") < 0, F.col("ratio"))).alias("mid"), F.percentile(drawn, F.lit(0.975)).alias("hi"))
 
 
-@query()
+@query(with_(CHUNKS) + """,
+k AS (SELECT var, layout, c, t, vcid, list(holder) AS src FROM chunks GROUP BY ALL),
+i AS (SELECT *, row_number() OVER (ORDER BY var, layout, c, t, vcid) - 1 AS i, count(*) OVER () AS n FROM k),
+s AS (SELECT *, i % CAST(ceil(n / 5::DOUBLE) AS BIGINT) AS stripe FROM i),
+tr AS (SELECT unnest(range(0, 50)) AS trial),
+gone AS (SELECT trial, h, ('0x' || substr(md5(trial || '/' || h), 1, 8))::BIGINT % 5 = 0 AS gone FROM tr, (SELECT unnest(['A', 'B', 'C', 'D', 'P0', 'P1', 'P2']) AS h)),
+live AS (SELECT s.*, tr.trial, EXISTS (SELECT 1 FROM gone g WHERE g.trial = tr.trial AND NOT g.gone AND list_contains(src, g.h)) AS ok FROM s, tr),
+st AS (SELECT trial, stripe, count(*) FILTER (NOT ok) AS lost, count(*) AS n FROM live GROUP BY 1, 2),
+r AS (SELECT st.*, CASE WHEN lost <= (SELECT count(*) FROM gone g WHERE g.trial = st.trial AND NOT g.gone AND g.h IN ('P' || stripe % 3, 'P' || (stripe + 1) % 3)) THEN 0 ELSE lost END AS still FROM st)
+SELECT trial, round(1 - sum(lost) / CAST(sum(n) AS DOUBLE), 9) AS available, round(1 - sum(still) / CAST(sum(n) AS DOUBLE), 9) AS with_parity FROM r GROUP BY trial""")
 def availability(spark, d):
-    """Monte Carlo share of chunks that survive when a fifth of the holders go, with and without parity."""
+    """Monte Carlo share of chunks that survive when a fifth of the holders go, and with two parity rows for each stripe of five."""
     chunks = _chunks(spark, d).groupBy("var", "layout", "c", "t", "vcid").agg(F.collect_set("holder").alias("src"))
-    trials = F.sequence(F.lit(0), F.lit(49))
-    gone = lambda t, h: F.pmod(F.xxhash64(t, h), F.lit(5)) == 0
-    live = chunks.select("var", "src", F.explode(trials).alias("trial")).select("trial", F.exists("src", lambda h: ~gone(F.col("trial"), h)).cast("int").alias("ok"))
-    return live.groupBy("trial").agg(F.avg("ok").alias("available"))
+    striped = parity.stripes(catalog.numbered(chunks, "var", ["layout", "c", "t", "vcid"], "i"), 5, "i")
+    gone = lambda h: F.pmod(F.conv(F.substring(F.md5(F.concat_ws("/", F.col("trial").cast("string"), h)), 1, 8), 16, 10).cast("long"), F.lit(5)) == 0
+    trials = striped.select("stripe", "src", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long"))).alias("trial"))
+    lost = trials.groupBy("trial", "stripe").agg(F.sum(F.forall("src", gone).cast("int")).alias("lost"), F.count("*").alias("n"))
+    rows = [F.concat(F.lit("P"), (F.pmod(F.col("stripe") + k, F.lit(3))).cast("string")) for k in (0, 1)]
+    live = sum((~gone(h)).cast("int") for h in rows)
+    still = F.when(F.col("lost") <= live, 0).otherwise(F.col("lost"))
+    share = lambda x: F.round(1 - F.sum(x) / F.sum("n").cast("double"), 9)
+    return lost.groupBy("trial").agg(share("lost").alias("available"), share(still).alias("with_parity"))
 
 
 @query(with_(CHUNKS) + """,

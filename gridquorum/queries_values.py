@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import grid
-from .operators import aqp, catalog, identity, parity
+from .operators import aqp, catalog, identity, merge, parity
 from .plans import planner
 from .queries_cells import _merged, _replicas
 from .registry import query
-from .sqltext import CELLS, CHUNKS, UNION, with_
+from .sqltext import CELLS, CHUNKS, UNION, VOTE, with_
 
 _STATS = with_(UNION) + """,
 stats AS (SELECT var, CAST(floor(g / 12::DOUBLE) AS BIGINT) AS c, CAST(sum(cents) AS BIGINT) AS s, count(*) AS n FROM merged GROUP BY 1, 2),
-placed AS (SELECT *, row_number() OVER (PARTITION BY var ORDER BY c) - 1 AS i FROM stats),
-spread AS (SELECT *, list_sum(list_transform(range(0, 16), lambda b: ((i >> b) & 1) << (15 - b))) AS vdc FROM placed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY var ORDER BY c) - 1 AS i, greatest(length(bin(count(*) OVER (PARTITION BY var) - 1)), 1) AS bits FROM stats),
+spread AS (SELECT *, list_sum(list_transform(range(0, bits), lambda b: ((i >> b) & 1) << (bits - 1 - b))) AS vdc FROM placed),
 vdc AS (SELECT *, row_number() OVER (PARTITION BY var ORDER BY vdc) AS pos FROM spread)"""
 
 
@@ -33,12 +35,15 @@ def vdc_order(spark, d):
 _T = "(1.96 + (1.96**3 + 1.96) / 4 / v + (5 * 1.96**5 + 16 * 1.96**3 + 3 * 1.96) / 96 / v**2 + (3 * 1.96**7 + 19 * 1.96**5 + 17 * 1.96**3 - 15 * 1.96) / 384 / v**3)"
 
 
-@query(_STATS + """,
+_PREFIXES = _STATS + """,
 m AS (
   SELECT var, pos, count(*) OVER (PARTITION BY var) AS "of", sum(s::DOUBLE) OVER w AS y, sum(n::DOUBLE) OVER w AS x, sum(s::DOUBLE * s) OVER w AS yy, sum(s::DOUBLE * n) OVER w AS xy, sum(n::DOUBLE * n) OVER w AS xx
   FROM vdc WINDOW w AS (PARTITION BY var ORDER BY pos ROWS UNBOUNDED PRECEDING)),
 r AS (SELECT *, y / x AS mean, greatest(yy - 2 * (y / x) * xy + (y / x) * (y / x) * xx, 0) / (pos - 1) AS spread, greatest(pos - 1, 1)::DOUBLE AS v FROM m),
-h AS (SELECT *, """ + _T + """ * sqrt(greatest(1 - pos / "of"::DOUBLE, 0) * spread / (pos * (x / pos) ** 2)) AS half FROM r)
+h AS (SELECT *, """ + _T + """ * sqrt(greatest(1 - pos / "of"::DOUBLE, 0) * spread / (pos * (x / pos) ** 2)) AS half FROM r)"""
+
+
+@query(_PREFIXES + """
 SELECT var, pos, round(mean, 6) AS mean, CASE WHEN pos > 1 THEN round(half, 6) END AS half FROM h""")
 def ratio_mean(spark, d):
     """Ratio estimate and half-width over every prefix."""
@@ -46,10 +51,13 @@ def ratio_mean(spark, d):
     return out.select("var", F.col("pos").cast("long").alias("pos"), F.round("mean", 6).alias("mean"), F.round("half", 6).alias("half"))
 
 
-@query()
+@query(_PREFIXES + """,
+stops AS (SELECT *, row_number() OVER (PARTITION BY var ORDER BY pos) AS k FROM h WHERE (pos >= 8 AND half <= 0.05 * abs(mean)) OR pos = "of")
+SELECT var, round(mean, 6) AS mean, CASE WHEN pos > 1 THEN round(half, 6) END AS ci95, pos AS chunks, "of", pos = "of" AS exact FROM stops WHERE k = 1""")
 def progressive_mean(spark, d):
-    """First prefix within five per cent."""
-    return aqp.progressive_mean(_stats(spark, d), ["var"], ["c"], rel_err=0.05)
+    """First prefix of eight chunks or more within five per cent."""
+    out = aqp.progressive_mean(_stats(spark, d), ["var"], ["c"], rel_err=0.05)
+    return out.select("var", F.round("mean", 6).alias("mean"), F.round("ci95", 6).alias("ci95"), F.col("chunks").cast("long").alias("chunks"), "of", "exact")
 
 
 @query(_STATS + """,
@@ -95,14 +103,20 @@ def exact_identity(spark, d):
     return identity.exact_id(rows, ["var", "day"], ["g", "x"], "cents")
 
 
-@query()
+@query(with_(CELLS) + """
+SELECT CAST(floor(g / 240::DOUBLE) AS BIGINT) AS c, true AS same, false AS altered, false AS moved FROM cells WHERE var = 'view' GROUP BY 1""")
 def lattice_identity(spark, d):
-    """Lattice ids of two encodings of the same codes, compared with tolerance."""
-    rows = catalog.event_cells(spark, d).withColumn("day", grid.floor_div(F.col("g"), 24)).where("var = 'view'")
-    level = F.col("cents") / 512.0 + 250.0
-    a = identity.lattice_ids(rows.withColumn("v", level), ["day"], "day", ["g", "x"], "v").alias("a")
-    b = identity.lattice_ids(rows.withColumn("v", level + 1e-7), ["day"], "day", ["g", "x"], "v").alias("b")
-    return a.join(b, F.col("a.day") == F.col("b.day")).select("a.day", "a.codes", identity.same_lattice("a", "b").alias("same"))
+    """Ids of ten days in two encodings of the same codes agree; an altered cell and moved cells are told."""
+    rows = catalog.event_cells(spark, d).withColumn("c", grid.floor_div(F.col("g"), 240)).where("var = 'view'")
+    # few codes, so that neighbours stand next to each other
+    level, first = F.pmod("cents", F.lit(40)) / 8.0 + 250.0, F.row_number().over(Window.partitionBy("c").orderBy("g", "x")) == 1
+    rows = rows.withColumn("_first", first)
+    copies = {"a": level, "b": level + 1e-7, "c": F.when(F.col("_first"), level + 1000).otherwise(level), "d": level + 1000}
+    ids = {k: identity.lattice_ids(rows.withColumn("v", v), ["c"], "c", ["g", "x"], "v").alias(k) for k, v in copies.items()}
+    out = ids["a"]
+    for k in "bcd":
+        out = out.join(ids[k], F.col("a.c") == F.col(f"{k}.c"))
+    return out.select("a.c", *[identity.same_lattice("a", k).alias(name) for k, name in (("b", "same"), ("c", "altered"), ("d", "moved"))])
 
 
 @query("""
@@ -125,12 +139,7 @@ def stripe_map(spark, d):
 
 def _striped(spark, d):
     chunks = catalog.chunks(_replicas(spark, d)).where("holder = 'A'")
-    # numbers over the whole catalogue: counts of each variable first, then places inside it
-    inside = F.row_number().over(Window.partitionBy("var").orderBy("c", "t")) - 1
-    per = chunks.groupBy("var").agg(F.count("*").alias("k"))
-    before = F.coalesce(F.sum("k").over(Window.orderBy("var").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = chunks.withColumn("j", inside).join(F.broadcast(per.select("var", before.alias("before"))), "var")  # one row for each variable
-    return parity.stripes(numbered.withColumn("i", (F.col("j") + F.col("before")).cast("long")), 5, "i")
+    return parity.stripes(catalog.numbered(chunks, "var", ["c", "t"], "i"), 5, "i")
 
 
 @query(with_(CHUNKS) + """,
@@ -153,48 +162,107 @@ def gf_restore(spark, d):
     return back.select("stripe", "member", F.decode("payload", "UTF-8").alias("payload"))
 
 
-def _cover(spark, d, choose):
-    """Covers of a ten-day request by variable; only catalogue rows reach the planner, grouped by variable."""
-    chunks = catalog.chunks(_replicas(spark, d)).where("holder <> 'D'").select("var", "holder", "layout", "c", "t", "g0", "g1", "size", "tile")
-    whole = chunks.groupBy("var", "holder", "layout", "c").agg(F.min("g0").alias("g0"), F.max("g1").alias("g1"), F.sum("size").alias("size"))
+_PIECES = with_(CHUNKS) + VOTE.format(trust="CASE WHEN holder = 'A' THEN 1 ELSE 0 END") + """,
+win AS (SELECT g0 + 120 AS lo, g0 + 360 AS hi FROM g0),
+facts AS (
+  SELECT k.var, k.layout, k.c, k.t, any_value(tile) AS tile, min(g0) AS a, max(g1) AS b, max(size) AS size FROM chunks k JOIN won w USING (var, layout, c, t, vcid), win
+  WHERE w.status <> 'contested' GROUP BY 1, 2, 3, 4, lo, hi HAVING min(g0) < hi AND max(g1) > lo),
+fam AS (SELECT var, max(a) AS a, min(b) AS b, sum(size) AS size FROM facts GROUP BY var, layout, c, tile HAVING count(*) = 8 // tile AND max(a) < min(b)),
+f AS (SELECT var, greatest(a, lo) AS a, least(b, hi) AS b, size FROM fam, win),
+ends AS (SELECT var, a AS g FROM f UNION SELECT var, b FROM f UNION SELECT var, lo FROM f, win UNION SELECT var, hi FROM f, win),
+marks AS (SELECT var, g, row_number() OVER (PARTITION BY var ORDER BY g) - 1 AS i, lead(g) OVER (PARTITION BY var ORDER BY g) AS next FROM ends),
+cut AS (SELECT f.var, x.i AS ia, y.i AS ib, size FROM f JOIN marks x ON x.var = f.var AND x.g = f.a JOIN marks y ON y.var = f.var AND y.g = f.b),
+cell AS (
+  SELECT m.var, m.i, ceil(next / 6::DOUBLE) - ceil(g / 6::DOUBLE) AS n, EXISTS (SELECT 1 FROM cut WHERE cut.var = m.var AND ia <= m.i AND ib > m.i) AS held
+  FROM marks m WHERE next IS NOT NULL),
+step AS (
+  SELECT c.var, c.i + 1 AS i, NOT held OR n = 0 AS free, (SELECT list({'ia': ia, 'size': size}) FROM cut WHERE cut.var = c.var AND cut.ib = c.i + 1) AS ps FROM cell c),
+path AS (
+  SELECT var, CAST(0 AS BIGINT) AS i, [CAST(0 AS DOUBLE)] AS dist FROM marks WHERE i = 0
+  UNION ALL
+  SELECT s.var, s.i, list_append(p.dist, least(
+    CASE WHEN s.free THEN p.dist[s.i] ELSE 1e300 END,
+    coalesce(list_min(list_transform(s.ps, lambda q: q.size + list_min(p.dist[q.ia + 1 : s.i]))), 1e300)))
+  FROM path p JOIN step s ON s.var = p.var AND s.i = p.i + 1),
+least_bytes AS (SELECT var, CAST(arg_max(dist[len(dist)], i) AS BIGINT) AS bytes FROM path GROUP BY var),
+covered AS (SELECT var, CAST(sum(n) FILTER (held) AS BIGINT) AS samples FROM cell GROUP BY var)"""
+_PIECES = _PIECES.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _families(spark, d):
+    """Chunks that a ten-day request at six hours touches: window and winning values first, then holders of one value together."""
+    cells = catalog.event_cells(spark, d)
+    chunks = catalog.chunks(_replicas(spark, d))
+    first = F.broadcast(cells.agg(F.min("g").alias("_g0")))
+    keys = ["var", "layout", "c", "t", "vcid"]
+    won = merge.vote(chunks, ["A"]).where("status <> 'contested'").select(*keys, "src")
+    facts = chunks.groupBy(*keys).agg(F.min("tile").alias("tile"), F.min("g0").alias("g0"), F.max("g1").alias("g1"), F.max("size").alias("size"))
+    near = facts.crossJoin(first).select("*", (F.col("_g0") + 120).alias("lo"), (F.col("_g0") + 360).alias("hi")).where("g0 < hi and g1 > lo")
+    return near.join(won, keys).select("var", "layout", "c", "t", "tile", "g0", "g1", "size", "src", "lo", "hi")
+
+
+def _cover(spark, d, choose, schema):
+    """choose(families, lo, hi) by variable; only catalogue rows of the window reach the planner."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pieces = [planner.Piece(f"{r.layout}/{r.c}@{r.holder}", int(r.g0), int(r.g1), float(r.size), (r.holder,)) for r in pdf.sort_values(["layout", "c", "holder"]).itertuples()]
-        keys, seconds = choose(pieces)
-        return pd.DataFrame({"var": [pdf["var"].iloc[0]] * len(keys), "piece": keys, "seconds": [seconds] * len(keys)})
+        rows = sorted(pdf.itertuples(), key=lambda r: (r.layout, r.c, r.t))
+        pieces = [(f"{r.layout}/{r.c}", planner.Piece(f"{r.layout}/{r.c}.{r.t}", int(r.g0), int(r.g1), float(r.size), tuple(r.src.split("+")))) for r in rows]
+        needed = {f"{r.layout}/{r.c}": 8 // int(r.tile) for r in rows}
+        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+        found = choose(planner.families(pieces, needed), lo, hi)
+        return pd.DataFrame({"var": [pdf["var"].iloc[0]]} | {k: [v] for k, v in found.items()})
 
-    return whole.groupBy("var").applyInPandas(one, "var string, piece string, seconds double")
+    return _families(spark, d).groupBy("var").applyInPandas(one, f"var string, {schema}")
 
 
-_RATES = {"A": 1e5, "B": 4e5, "C": 2e5}
+def _samples(cover, lo, hi):
+    """Six-hourly samples of the request under a cover."""
+    return len({g for f in cover for g in range(max(f.start, lo), min(f.end, hi)) if g % 6 == 0})
 
 
-@query()
+@query(_PIECES + " SELECT var, bytes, samples FROM least_bytes JOIN covered USING (var)")
 def min_byte_cover(spark, d):
-    """Fewest bytes that cover the request."""
-    return _cover(spark, d, lambda ps: ([p.key for p in planner.cheapest_cover(ps, 473376, 473616, lambda p: p.size)], 0.0))
+    """Fewest bytes that cover the request, and the samples they cover."""
 
+    def choose(fams, lo, hi):
+        cover = planner.cheapest_cover(fams, lo, hi, lambda f: f.size, 6)
+        return {"bytes": int(sum(f.size for f in cover)), "samples": _samples(cover, lo, hi)}
 
-@query()
+    return _cover(spark, d, choose, "bytes long, samples long")
+
+
+_RATES = {"A": 1e5, "B": 4e5, "C": 2e5, "D": 1e5}
+
+
+@query(_PIECES + " SELECT var, bytes AS least_bytes, samples, true AS enough, true AS in_time FROM least_bytes JOIN covered USING (var)")
 def joint_cover(spark, d):
-    """Cover chosen with its makespan in view."""
+    """Cover chosen with its makespan in view: as complete as the one of fewest bytes, no smaller, and no slower."""
 
-    def choose(ps):
-        cover, seconds = planner.joint_plan(ps, 473376, 473616, _RATES)
-        return [p.key for p in cover], round(seconds, 9)
+    def choose(fams, lo, hi):
+        least = planner.cheapest_cover(fams, lo, hi, lambda f: f.size, 6)
+        cover, holder, seconds = planner.joint_plan(fams, lo, hi, _RATES, 6)
+        extra = planner.OVERHEAD * sorted(_RATES.values())[len(_RATES) // 2]
+        plain, _ = planner.assign([replace(p, size=p.size + extra) for f in least for p in f.tiles], _RATES, client=planner.RECEIVER)
+        size = sum(f.size for f in least)
+        return {"least_bytes": int(size), "samples": _samples(cover, lo, hi), "enough": sum(f.size for f in cover) >= size, "in_time": seconds <= (1 + planner.SLACK) * plain}
 
-    return _cover(spark, d, choose)
+    return _cover(spark, d, choose, "least_bytes long, samples long, enough boolean, in_time boolean")
 
 
-@query()
+@query("""
+WITH li AS (SELECT l_partkey AS chunk, list_sort(list(DISTINCT l_suppkey % 6)) AS holders, CAST(sum(l_quantity) AS DOUBLE) AS size FROM lineitem GROUP BY 1),
+sets AS (SELECT list_filter(range(0, 6), lambda h: (m >> h) & 1 = 1) AS who FROM (SELECT unnest(range(1, 64)) AS m)),
+q AS (SELECT who, coalesce((SELECT sum(size) FROM li WHERE list_has_all(who, holders)), 0) / list_sum(list_transform(who, lambda h: h + 1)) AS seconds FROM sets)
+SELECT round(max(seconds), 4) AS planned, (SELECT count(*) FROM li) AS chunks, (SELECT round(sum(size), 4) FROM li) AS bytes, true AS kept FROM q""")
 def makespan_plan(spark, d):
-    """Which holder sends which chunk.
+    """The least makespan of all chunks, and whether the chunks as dealt out keep to it.
 
     Chunks with the same holders are one group, so the flow runs on at most 2^6 rows; chunks
-    of a group then go to its holders in proportion, by hash, without leaving Spark.
+    of a group then go to its holders in proportion, by hash, without leaving Spark: a holder's
+    load differs from its share by the chance of the deal, here by four deviations at most.
     """
     li = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_partkey").alias("chunk")).agg(F.array_join(F.array_sort(F.collect_set(F.col("l_suppkey") % 6)), ",").alias("holders"), F.sum("l_quantity").alias("size"))
-    groups = [(tuple(r[0].split(",")), r[1]) for r in li.groupBy("holders").agg(F.sum("size")).orderBy("holders").collect()]
+    groups = [(tuple(r[0].split(",")), float(r[1])) for r in li.groupBy("holders").agg(F.sum("size")).orderBy("holders").collect()]
     seconds, amounts = planner.split(groups, {str(h): float(h + 1) for h in range(6)})
     shares = []
     for g, (sig, total) in enumerate(groups):
@@ -205,5 +273,11 @@ def makespan_plan(spark, d):
             low = high
     table = spark.createDataFrame(shares, "holders string, holder string, low double, high double")
     dice = F.crc32(F.col("chunk").cast("string")) / float(1 << 32)
-    sent = li.withColumn("dice", dice).join(F.broadcast(table), "holders").where("dice >= low and dice < high")
-    return sent.groupBy("holder").agg(F.sum("size").alias("load"), F.count("*").alias("chunks")).withColumn("planned", F.lit(float(seconds)))
+    p = F.least("high", F.lit(1.0)) - F.col("low")
+    dealt = li.withColumn("dice", dice).join(F.broadcast(table), "holders").withColumn("mine", (F.col("dice") >= F.col("low")) & (F.col("dice") < F.col("high")))
+    loads = dealt.groupBy("holder").agg(
+        F.sum(F.when(F.col("mine"), F.col("size")).otherwise(0)).alias("load"), F.sum(F.col("mine").cast("long")).alias("n"),
+        F.sum(F.col("size") * p).alias("share"), F.sqrt(F.sum(F.col("size") * F.col("size") * p * (1 - p))).alias("deviation"),
+    )
+    kept = (F.col("share") <= float(seconds) * (F.col("holder").cast("int") + 1) * (1 + 1e-6)) & (F.abs(F.col("load") - F.col("share")) <= 4 * F.col("deviation") + 1e-6)
+    return loads.agg(F.round(F.lit(float(seconds)), 4).alias("planned"), F.sum("n").alias("chunks"), F.round(F.sum("load"), 4).cast("double").alias("bytes"), F.bool_and(kept).alias("kept"))

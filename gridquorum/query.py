@@ -163,3 +163,62 @@ def keys_for(chunks: DataFrame, var: str, g_lo: int, g_hi: int) -> DataFrame:
 def prefetch(ds: Dataset) -> int:
     """Read a selection into the cache and return its number of cells."""
     return ds.cells.persist().count()
+
+
+def open_views(replicas: DataFrame, link: str, priority: Sequence[str], grid_column: str = "grid", **kw) -> dict[str, Dataset]:
+    """One data set for each grid of a composite link such as ``a+b``, in its order."""
+    names = dict.fromkeys(x.strip() for x in link.split("+") if x.strip())
+    return {name: open_dataset(replicas.where(F.col(grid_column) == name).drop(grid_column), priority, **kw) for name in names}
+
+
+def open_view(replicas: DataFrame, link: str, priority: Sequence[str], grid_column: str = "grid", **kw) -> Dataset:
+    """The first grid of a link."""
+    return next(iter(open_views(replicas, link, priority, grid_column, **kw).values()))
+
+
+def mean_of(ds: Dataset, var: str, method: str = "vdc", rel_err: float = 0.01, samples: int = 24, **kw) -> dict:
+    """An approximate mean by progressive (vdc) or variance-adaptive (vas) sampling: mean, ci95, chunks, of, exact."""
+    if method == "vas":
+        return ds.progressive_mean_vas(var, rel_err, samples, **kw)
+    if method != "vdc":
+        raise ValueError(f"no method {method!r}: vdc or vas")
+    row = ds[var].progressive_mean(rel_err, samples=samples, **kw).first()
+    if row is None:
+        return {"mean": float("nan"), "ci95": float("inf"), "chunks": 0, "of": 0, "exact": True}
+    return {k: row[k] for k in ("mean", "ci95", "chunks", "of", "exact")}
+
+
+class VirtualStore:
+    """Chunks of a data set in any layout, assembled on demand: the array store that readers of chunk keys see."""
+
+    def __init__(self, ds: Dataset, ct: int, width: int, dim: str = "x"):
+        self.ds, self.ct, self.width, self.dim = ds, ct, width, dim
+
+    def chunks(self) -> DataFrame:
+        """var, c, t, values in C order; null where no replica has the cell."""
+        keys = {"c": grid.floor_div(F.col("g"), self.ct), "t": grid.floor_div(F.col(self.dim), self.width)}
+        place = F.pmod("g", F.lit(self.ct)) * self.width + F.pmod(self.dim, F.lit(self.width))
+        return merge.assemble(self.ds.cells.withColumns(keys), ["var", "c", "t"], place, self.ct * self.width, "value")
+
+    def get(self, var: str, c: int, t: int) -> DataFrame:
+        """One chunk; the bounds of its cells reach the scan."""
+        inside = (F.col("g") >= c * self.ct) & (F.col("g") < (c + 1) * self.ct) & (F.col(self.dim) >= t * self.width) & (F.col(self.dim) < (t + 1) * self.width)
+        near = self.ds[var]
+        return VirtualStore(near._with(near.cells.where(inside)), self.ct, self.width, self.dim).chunks()
+
+
+class Views:
+    """Views by the snapshot (holder, etag) pairs they were built from, kept for ``ttl`` seconds."""
+
+    def __init__(self, build: Callable, ttl: float = 30.0, clock: Callable[[], float] | None = None):
+        import time
+
+        self.build, self.ttl, self.clock, self.kept = build, ttl, clock or time.monotonic, {}
+
+    def get(self, name: str, snapshot: dict[str, str]):
+        """The view of a name: built anew if a holder's etag changed or the time is up."""
+        now, state = self.clock(), frozenset(snapshot.items())
+        held = self.kept.get(name)
+        if held is None or held[0] != state or now - held[1] >= self.ttl:
+            self.kept[name] = held = (state, now, self.build(name, snapshot))
+        return held[2]

@@ -2,19 +2,24 @@
 
 Files are read by Spark's ``binaryFile`` source, so any file system it knows serves; one
 row is one chunk file.  Metadata comes first and is small (one document for each array).
-Codecs: none, zlib, gzip and zstd, and blosc-free byte order; others raise.
+Codecs: bytes in either order, transpose, zlib, gzip, zstd, crc32c and shards of chunks with
+these; others, blosc among them, raise.  Arrays are written through Arrow's file systems, so
+a path may be local or a URI that Arrow knows.
 """
 
 from __future__ import annotations
 
 import gzip
+import hashlib
 import itertools
 import json
 import math
+import uuid
 import zlib
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,25 +33,37 @@ def _fill(value, dtype: np.dtype):
     return np.array(0 if value is None else value, dtype)
 
 
+def _pipeline(codecs: list[dict], dtype: str) -> dict:
+    """Type, byte codecs, axis order and shard layout of a v3 codec list."""
+    out = {"dtype": dtype, "codecs": [], "axes": None, "shard": None}
+    for c in codecs:
+        conf = c.get("configuration", {})
+        if c["name"] == "bytes":
+            out["dtype"] = out["dtype"].replace("<", ">") if conf.get("endian") == "big" else out["dtype"]
+        elif c["name"] == "transpose":
+            out["axes"] = conf["order"]
+        elif c["name"] == "sharding_indexed":
+            index = _pipeline(conf["index_codecs"], "<u8")
+            out["shard"] = {"chunks": conf["chunk_shape"], "index": index, "first": conf.get("index_location", "end") == "start", "inner": _pipeline(conf["codecs"], dtype)}
+        else:
+            out["codecs"].append(c["name"])
+    return out
+
+
 def describe(doc: dict, attrs: dict | None = None) -> dict:
-    """Shape, chunks, type, fill, codec, separator, dimensions and attributes of an array document."""
+    """Shape, chunks, type, fill, codecs, separator, dimensions and attributes of an array document."""
     if doc.get("zarr_format") == 2:
         codec = doc["compressor"]["id"] if doc.get("compressor") else "raw"
         attrs = attrs or {}
-        out = {"shape": doc["shape"], "chunks": doc["chunks"], "dtype": doc["dtype"], "fill": doc.get("fill_value"), "codecs": [codec], "prefix": "", "sep": doc.get("dimension_separator", "."), "order": doc.get("order", "C"), "dims": attrs.get("_ARRAY_DIMENSIONS"), "attrs": attrs}
+        axes = list(range(len(doc["shape"])))[::-1] if doc.get("order") == "F" else None
+        out = {"shape": doc["shape"], "chunks": doc["chunks"], "fill": doc.get("fill_value"), "prefix": "", "sep": doc.get("dimension_separator", "."), "dims": attrs.get("_ARRAY_DIMENSIONS"), "attrs": attrs}
+        out |= {"dtype": doc["dtype"], "codecs": [codec], "axes": axes, "shard": None}
     else:
         grid_, key = doc["chunk_grid"]["configuration"], doc.get("chunk_key_encoding", {"name": "default"})
         default = key["name"] == "default"
         sep = key.get("configuration", {}).get("separator", "/" if default else ".")
-        dtype, codecs = TYPES[doc["data_type"]], []
-        for c in doc.get("codecs", []):
-            if c["name"] == "bytes":
-                dtype = dtype.replace("<", ">") if c.get("configuration", {}).get("endian") == "big" else dtype
-            elif c["name"] == "transpose":
-                raise ValueError("transposed arrays are not supported")
-            else:
-                codecs.append(c["name"])
-        out = {"shape": doc["shape"], "chunks": grid_["chunk_shape"], "dtype": dtype, "fill": doc.get("fill_value"), "codecs": codecs, "prefix": "c" if default else "", "sep": sep, "order": "C", "dims": doc.get("dimension_names"), "attrs": doc.get("attributes", {})}
+        out = {"shape": doc["shape"], "chunks": grid_["chunk_shape"], "fill": doc.get("fill_value"), "prefix": "c" if default else "", "sep": sep, "dims": doc.get("dimension_names"), "attrs": doc.get("attributes", {})}
+        out |= _pipeline(doc.get("codecs", []), TYPES[doc["data_type"]])
     if not out["dims"]:
         out["dims"] = None
     return out
@@ -70,11 +87,30 @@ def _unpack(raw: bytes, codecs: list[str]) -> bytes:
 
 
 def decode(meta: dict, raw: bytes | None) -> np.ndarray:
-    """One chunk; a missing one is all fill."""
+    """One chunk or shard; a missing one is all fill."""
     dtype = np.dtype(meta["dtype"])
     if raw is None:
         return np.full(meta["chunks"], _fill(meta["fill"], dtype), dtype)
-    return np.frombuffer(_unpack(raw, meta["codecs"]), dtype).reshape(meta["chunks"], order=meta["order"])
+    if meta["shard"]:
+        return _unshard(meta, raw)
+    axes = meta["axes"] or list(range(len(meta["chunks"])))
+    stored = np.frombuffer(_unpack(raw, meta["codecs"]), dtype).reshape([meta["chunks"][i] for i in axes])
+    return stored.transpose(np.argsort(axes))
+
+
+def _unshard(meta: dict, raw: bytes) -> np.ndarray:
+    """A shard: chunks one after the other, and an index of their places, (offset, bytes) each."""
+    shard = meta["shard"]
+    counts = [n // c for n, c in zip(meta["chunks"], shard["chunks"])]
+    size = 16 * math.prod(counts) + 4 * ("crc32c" in shard["index"]["codecs"])
+    index = np.frombuffer(_unpack(raw[:size] if shard["first"] else raw[-size:], shard["index"]["codecs"]), "<u8").reshape(*counts, 2)
+    inner = shard["inner"] | {"chunks": shard["chunks"], "fill": meta["fill"]}
+    out = decode(meta, None).copy()
+    for place in itertools.product(*map(range, counts)):
+        at, n = (int(x) for x in index[place])
+        if at != (1 << 64) - 1:  # fixed value of the format: no such chunk
+            out[tuple(slice(p * c, (p + 1) * c) for p, c in zip(place, shard["chunks"]))] = decode(inner, raw[at : at + n])
+    return out
 
 
 def arrays(spark: SparkSession, path: str) -> dict[str, dict]:
@@ -82,13 +118,13 @@ def arrays(spark: SparkSession, path: str) -> dict[str, dict]:
     # file sources skip names with a leading dot, so metadata goes through the file system itself
     jvm = spark._jvm
     top = jvm.org.apache.hadoop.fs.Path(path)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
     docs = {}
-    for status in fs.listStatus(top):
+    for status in store.listStatus(top):
         for name in (".zarray", ".zattrs", "zarr.json") if status.isDirectory() else ():
             doc = jvm.org.apache.hadoop.fs.Path(status.getPath(), name)
-            if fs.exists(doc):
-                stream = fs.open(doc)
+            if store.exists(doc):
+                stream = store.open(doc)
                 docs.setdefault(status.getPath().getName(), {})[name] = json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
                 stream.close()
     out = {}
@@ -147,19 +183,46 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return known.join(chunk_files(spark, path).groupBy("var").agg(F.count("*").alias("present"), F.sum("size").alias("bytes")), "var", "left")
 
 
-def write_v3(cells: DataFrame, root: str, var: str, shape: list[int], chunks: list[int], dims: list[str], attrs: dict | None = None) -> None:
-    """Cells (idx, value) as a v3 array of float64 at a path that the driver and executors share.
+def chunk_ids(spark: SparkSession, path: str) -> DataFrame:
+    """var, coord, size, cid, vcid of each chunk file: hashes of its bytes, and of type, shape and values, which are the same under any codec."""
+    metas = arrays(spark, path)
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples():
+                values = np.ascontiguousarray(decode(metas[r.var], r.content))
+                little = values.astype(values.dtype.newbyteorder("<"))
+                name = hashlib.blake2b(f"{little.dtype.str}{values.shape}".encode(), digest_size=16)
+                name.update(little.tobytes())
+                out.append((r.var, list(r.coord), r.size_, hashlib.blake2b(r.content, digest_size=16).hexdigest(), name.hexdigest()))
+            yield pd.DataFrame(out, columns=["var", "coord", "size", "cid", "vcid"])
+
+    return chunk_files(spark, path).withColumnRenamed("size", "size_").mapInPandas(run, "var string, coord array<long>, size long, cid string, vcid string")
+
+
+def _files(root: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
 
-    Cells are grouped by chunk; each group writes one file under a temporary name and renames it.
-    """
-    import os
 
-    os.makedirs(f"{root}/{var}", exist_ok=True)
-    with open(f"{root}/zarr.json", "w") as f:
-        json.dump({"zarr_format": 3, "node_type": "group", "attributes": {}}, f)
+def _put(store: fs.FileSystem, path: str, content: bytes) -> None:
+    """Write under a name of its own, then rename, so that readers and repeated tasks never see half a file."""
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.tmp"
+    with store.open_output_stream(part) as out:
+        out.write(content)
+    store.move(part, path)
+
+
+def write_v3(cells: DataFrame, root: str, var: str, shape: list[int], chunks: list[int], dims: list[str], attrs: dict | None = None) -> DataFrame:
+    """Cells (idx, value) as a v3 array of float64 at a path that the driver and executors share: chunk and cells of each file.
+
+    Cells are grouped by chunk; each group writes one file.
+    """
+    store, base = _files(root)
+    _put(store, f"{base}/zarr.json", json.dumps({"zarr_format": 3, "node_type": "group", "attributes": {}}).encode())
     doc = {"zarr_format": 3, "node_type": "array", "shape": shape, "data_type": "float64", "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": chunks}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": "NaN", "codecs": [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "zstd", "configuration": {"level": 1, "checksum": False}}], "dimension_names": dims, "attributes": attrs or {}}
-    with open(f"{root}/{var}/zarr.json", "w") as f:
-        json.dump(doc, f)
+    _put(store, f"{base}/{var}/zarr.json", json.dumps(doc).encode())
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         import zstandard
@@ -168,15 +231,14 @@ def write_v3(cells: DataFrame, root: str, var: str, shape: list[int], chunks: li
         block = np.full(chunks, np.nan)
         at = np.stack(pdf["idx"].to_numpy()) - np.array(coord) * np.array(chunks)
         block[tuple(at.T)] = pdf["value"].to_numpy(float)
-        target = f"{root}/{var}/c/{pdf['_c'].iloc[0]}"
-        os.makedirs(os.path.dirname(target), exist_ok=True)
-        with open(f"{target}.{os.getpid()}.tmp", "wb") as f:
-            f.write(zstandard.ZstdCompressor(level=1).compress(block.astype("<f8").tobytes()))
-        os.replace(f.name, target)
+        here, base = _files(root)
+        _put(here, f"{base}/{var}/c/{pdf['_c'].iloc[0]}", zstandard.ZstdCompressor(level=1).compress(block.astype("<f8").tobytes()))
         return pd.DataFrame({"chunk": [pdf["_c"].iloc[0]], "cells": [len(pdf)]})
 
     key = F.array_join(F.transform(F.arrays_zip(F.col("idx").alias("i"), F.array(*[F.lit(c) for c in chunks]).alias("n")), lambda p: F.floor(p["i"] / p["n"]).cast("string")), "/")
-    cells.select("idx", "value", key.alias("_c")).groupBy("_c").applyInPandas(one, "chunk string, cells long").count()
+    written = cells.select("idx", "value", key.alias("_c")).groupBy("_c").applyInPandas(one, "chunk string, cells long")
+    # one row for each file; they stand for the write itself
+    return cells.sparkSession.createDataFrame(written.toPandas(), "chunk string, cells long")
 
 
 def time_axis(values: list[float], units: str) -> tuple[int, int, int]:

@@ -40,5 +40,18 @@ ISLANDS = """
   GROUP BY {keys}, run"""
 
 
+VOTE = """,
+vals AS (
+  SELECT var, layout, c, t, vcid, CAST(sum({trust}) AS BIGINT) AS trust, count(*) AS votes, max(nvalid) AS nvalid, string_agg(holder, '+' ORDER BY holder) AS src
+  FROM chunks GROUP BY var, layout, c, t, vcid),
+ranked AS (
+  SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY var, layout, c, t) AS k,
+    lead(trust) OVER w AS trust2, lead(votes) OVER w AS votes2, lead(nvalid) OVER w AS nvalid2
+  FROM vals WINDOW w AS (PARTITION BY var, layout, c, t ORDER BY trust DESC, votes DESC, nvalid DESC, vcid DESC)),
+won AS (
+  SELECT *, CASE WHEN k = 1 THEN 'accepted' WHEN trust = trust2 AND votes = votes2 AND nvalid = nvalid2 THEN 'contested'
+    WHEN trust = trust2 AND votes = votes2 THEN 'rival' ELSE 'accepted' END AS status FROM ranked WHERE rn = 1)"""
+
+
 def with_(*parts: str) -> str:
     return "WITH " + ",".join(parts)
