@@ -67,8 +67,19 @@ def assemble(rows: DataFrame, by: Sequence[str], place: Column, size: int, value
     return held.select(*by, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda p: F.try_element_at("_m", p)).alias("values"))
 
 
-def islands(spans: DataFrame, keys: Sequence[str], lo: str = "g0", hi: str = "g1") -> DataFrame:
-    """Union of half-open intervals by key, as maximal runs; spans are distinct."""
+def islands(spans: DataFrame, keys: Sequence[str], lo: str = "g0", hi: str = "g1", bucket: int = 4096) -> DataFrame:
+    """Union of half-open intervals by key, as maximal runs.
+
+    Spans are cut at the bounds of buckets and joined inside each bucket first; what is left, a run or
+    so for each bucket, is joined by key, so no task sorts all spans of a key.
+    """
+    spots = F.sequence(grid.floor_div(F.col(lo), bucket), grid.floor_div(F.greatest(F.col(hi) - 1, F.col(lo)), bucket))
+    cut = spans.select(*keys, lo, hi, F.explode(spots).alias("_b"))
+    cut = cut.select(*keys, "_b", F.greatest(lo, F.col("_b") * bucket).alias(lo), F.least(hi, (F.col("_b") + 1) * bucket).alias(hi))
+    return _runs(_runs(cut, [*keys, "_b"], lo, hi).drop("_b"), keys, lo, hi)
+
+
+def _runs(spans: DataFrame, keys: Sequence[str], lo: str, hi: str) -> DataFrame:
     by = Window.partitionBy(*keys).orderBy(lo, hi)
     reach = F.max(hi).over(by.rowsBetween(Window.unboundedPreceding, -1))
     broken = spans.withColumn("_new", (reach.isNull() | (F.col(lo) > reach)).cast("int"))

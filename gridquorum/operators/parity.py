@@ -1,7 +1,7 @@
 """Erasure-coded repair over GF(256): one parity row for each stripe, any k pieces restore.
 
-Stripe arithmetic is integer Columns; field sums run inside grouped Arrow functions, one
-stripe of k members at a time, so a task never holds more than a stripe.
+Stripe arithmetic is integer Columns; field sums run inside Arrow batches of rows that are sorted
+by stripe, one stripe of k members at a time, so a task holds a batch and a stripe.
 """
 
 from __future__ import annotations
@@ -96,17 +96,47 @@ def stripes(chunks: DataFrame, k: int, order: str, offset: int = 0) -> DataFrame
     return out.drop("_n")
 
 
-def encode_stripes(members: DataFrame, row: int) -> DataFrame:
-    """Parity blob of each stripe from rows (stripe, member, payload)."""
+def _stripe_frames(frames):
+    """(stripe, its rows) of a partition that is sorted by stripe."""
+    rest = None
+    for pdf in frames:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        cuts = [0, *(np.flatnonzero(np.diff(pdf["stripe"].to_numpy())) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:]):
+            yield int(pdf["stripe"].iat[a]), pdf.iloc[a:b]
+        rest = pdf.iloc[cuts[-1] :]
+    if rest is not None and len(rest):
+        yield int(rest["stripe"].iat[0]), rest
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("member")
-        blobs = [b""] * (int(pdf["member"].max()) + 1)
-        for m, p in zip(pdf["member"], pdf["payload"]):
-            blobs[int(m)] = p
-        return pd.DataFrame({"stripe": [pdf["stripe"].iloc[0]], "row": [row], "blob": [encode(blobs, row)]})
 
-    return members.select("stripe", "member", "payload").groupBy("stripe").applyInPandas(one, "stripe long, row int, blob binary")
+def _batches(rows, columns: list[str], size: int = 4096):
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= size:
+            yield pd.DataFrame(held, columns=columns)
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
+def encode_stripes(members: DataFrame, *rows: int) -> DataFrame:
+    """Parity blobs (stripe, row, blob) of each stripe from (stripe, member, payload), all rows in one pass."""
+
+    def run(frames):
+        def blobs():
+            for stripe, pdf in _stripe_frames(frames):
+                held = dict(zip(pdf["member"].tolist(), pdf["payload"].tolist()))
+                whole = [held.get(i, b"") for i in range(max(held) + 1)]
+                for row in rows:
+                    yield stripe, row, encode(whole, row)
+
+        yield from _batches(blobs(), ["stripe", "row", "blob"])
+
+    near = members.select("stripe", "member", "payload").repartition("stripe").sortWithinPartitions("stripe")
+    return near.mapInPandas(run, "stripe long, row int, blob binary")
 
 
 def restore_stripes(members: DataFrame, parity: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
@@ -118,16 +148,20 @@ def restore_stripes(members: DataFrame, parity: DataFrame, sizes: DataFrame, k:
     part = part.unionByName(parity.select("stripe", F.lit("p").alias("kind"), F.col("row").alias("i"), "blob", F.lit(0).alias("size")))
     part = part.unionByName(sizes.select("stripe", F.lit("s").alias("kind"), F.col("member").cast("int").alias("i"), F.lit(None).cast("binary").alias("blob"), F.col("size").cast("int").alias("size")))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        all_sizes = {int(r.i): int(r.size_) for r in pdf[pdf["kind"] == "s"].rename(columns={"size": "size_"}).itertuples()}
-        known = {int(i): b for i, b in pdf[pdf["kind"] == "m"][["i", "blob"]].itertuples(index=False)}
-        known |= {i: b"" for i in range(k) if i not in all_sizes}
-        rows = {int(i): b for i, b in pdf[pdf["kind"] == "p"][["i", "blob"]].itertuples(index=False)}
-        got = restore(known, rows, k, [all_sizes.get(i, 0) for i in range(k)])
-        want = sorted(all_sizes)
-        return pd.DataFrame({"stripe": [pdf["stripe"].iloc[0]] * len(want), "member": want, "payload": [got[i] for i in want]})
+    def run(frames):
+        def payloads():
+            for stripe, pdf in _stripe_frames(frames):
+                held: dict[str, dict] = {"m": {}, "p": {}, "s": {}}
+                for kind, i, blob, size in zip(pdf["kind"].tolist(), pdf["i"].tolist(), pdf["blob"].tolist(), pdf["size"].tolist()):
+                    held[kind][int(i)] = int(size) if kind == "s" else blob
+                known = held["m"] | {i: b"" for i in range(k) if i not in held["s"]}
+                got = restore(known, held["p"], k, [held["s"].get(i, 0) for i in range(k)])
+                for i in sorted(held["s"]):
+                    yield stripe, i, got[i]
+
+        yield from _batches(payloads(), ["stripe", "member", "payload"])
 
-    return part.groupBy("stripe").applyInPandas(one, "stripe long, member int, payload binary")
+    return part.repartition("stripe").sortWithinPartitions("stripe").mapInPandas(run, "stripe long, member int, payload binary")
 
 
 def xor_stripes(members: DataFrame, value: str) -> DataFrame:

@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 
 def audit_sample(requests: DataFrame, trusted: DataFrame, first: int = 3, rate: float = 0.05) -> DataFrame:
-    """One decision for each (holder, chunk): the first of each holder and a hash sample of the rest; trusted holders are skipped."""
+    """One decision for each (holder, chunk): the first of each holder (n is their place) and a hash sample of the rest; trusted holders are skipped."""
     one = requests.groupBy("holder", "chunk").agg(F.min("seq").alias("seq")).join(trusted, "holder", "left_anti")
-    n = F.row_number().over(Window.partitionBy("holder").orderBy("seq", "chunk"))
+    # the first of each of 64 parts of a holder first, so no task sorts a whole holder
+    order = ("seq", "chunk")
+    part = Window.partitionBy("holder", F.pmod(F.xxhash64("chunk"), F.lit(64))).orderBy(*order)
+    near = one.withColumn("n", F.row_number().over(part)).where(F.col("n") <= first)
+    top = near.withColumn("n", F.row_number().over(Window.partitionBy("holder").orderBy(*order))).where(F.col("n") <= first)
     dice = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("/", "holder", "chunk")), 1, 8), 16, 10).cast("long"), F.lit(10_000))
-    return one.withColumn("n", n).where((F.col("n") <= first) | (dice < int(rate * 10_000)))
+    return one.join(top.select("holder", "chunk", "n"), ["holder", "chunk"], "left").where(F.col("n").isNotNull() | (dice < int(rate * 10_000)))
 
 
 def verify_receipts(receipts: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:

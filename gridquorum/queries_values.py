@@ -156,7 +156,7 @@ def gf_restore(spark, d):
     """Two members of each stripe are lost and come back from two parity rows."""
     text = F.array_join(F.transform("embedding", lambda v: F.floor(v.cast("double") * 1000).cast("string")), ",")
     rows = spark.read.parquet(f"{d}/embeddings.parquet").select(grid.floor_div(F.col("vec_id"), 5).alias("stripe"), (F.col("vec_id") % 5).cast("int").alias("member"), F.encode(text, "UTF-8").alias("payload"))
-    rows_of_parity = parity.encode_stripes(rows, 0).unionByName(parity.encode_stripes(rows, 1))
+    rows_of_parity = parity.encode_stripes(rows, 0, 1)
     left = rows.where(F.pmod(F.col("member") - F.col("stripe"), F.lit(5)) > 1)
     back = parity.restore_stripes(left, rows_of_parity, rows.select("stripe", "member", F.length("payload").alias("size")), 5)
     return back.select("stripe", "member", F.decode("payload", "UTF-8").alias("payload"))

@@ -154,7 +154,7 @@ def value_parity(spark, d):
 
     numbered = parity.stripes(catalog.numbered(cut("A"), "var", ["c", "t"], "i"), 5, "i")
     members = numbered.select("stripe", F.col("member").cast("int").alias("member"), F.encode("body", "UTF-8").alias("payload"))
-    rows = parity.encode_stripes(members, 0).unionByName(parity.encode_stripes(members, 1))
+    rows = parity.encode_stripes(members, 0, 1)
     left = members.where(F.pmod(F.col("member") + F.col("stripe"), F.lit(5)) > 1)
     back = parity.restore_stripes(left, rows, members.select("stripe", "member", F.length("payload").alias("size")), 5)
     named = numbered.select("stripe", F.col("member").cast("int").alias("member"), "var", "c", "t", F.md5(F.encode("body", "UTF-8")).alias("vcid"))

@@ -133,6 +133,26 @@ def test_a_stopped_stream_goes_on_where_it_was(spark, tmp_path):
     assert table.versions() == before
 
 
+def test_logs_are_folded(spark, tmp_path):
+    table, schema = feeds.VersionedTable(spark, str(tmp_path / "table"), ["g"], most=3), "g long, value double, status string"
+    for n in range(8):
+        table.fold(n)
+        table.write(spark.createDataFrame([(n % 3, float(n), "accepted"), (10 + n, 0.0, "accepted")], schema), n)
+    assert {r["g"]: r["value"] for r in table.read().collect() if r["g"] < 3} == {0: 6.0, 1: 7.0, 2: 5.0}
+    assert table.read().count() == 11 and table.versions() == [5, 6, 7]
+    assert {r["g"]: r["value"] for r in table.read(before=7).collect() if r["g"] < 3} == {0: 6.0, 1: 4.0, 2: 5.0}
+
+
+def test_follow_keeps_the_newest_window(spark, tmp_path):
+    table, schema = feeds.VersionedTable(spark, str(tmp_path / "table")), "var string, g long, value double"
+    for n, rows in enumerate([[("v", 1, 1.0), ("v", 5, 5.0), ("w", 2, 2.0)], [("v", 7, 7.0), ("v", 5, 9.0)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{n}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        feeds.follow(stream, str(tmp_path / "out"), 4, str(tmp_path / "state"), table, ["var", "g"]).awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "v=1")).collect())
+    assert got == [("v", 5, 5.0, "contested"), ("v", 7, 7.0, "accepted"), ("w", 2, 2.0, "accepted")]
+
+
 @pytest.mark.parametrize("place", ["start", "end"])
 def test_shards_and_transposed_chunks(spark, tmp_path, place):
     values = np.arange(8 * 6, dtype="<i4").reshape(8, 6)
