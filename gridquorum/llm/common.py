@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import io
 import tempfile
 import uuid
@@ -53,12 +54,14 @@ class Work:
         return f"{self.root}/{table}"
 
     def save(self, df: DataFrame, table: str) -> DataFrame:
-        before = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
+        before = {key: self.spark.conf.get(key, None) for key in _SAVING}
         try:
+            for key, value in _SAVING.items():
+                self.spark.conf.set(key, value)
             df.write.option("compression", "zstd").parquet(self.path(table))
         finally:
-            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
+            for key, value in before.items():
+                self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def drop(self, *tables: str) -> None:
@@ -84,8 +87,21 @@ def _close_all() -> None:
             work.close()
 
 
-#: Spark's own removal of the shuffle files of a query that has ended.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: Spark deletes the shuffle files of a query that has ended, and Arrow batches are bounded in bytes.
+_SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
+def arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) whose tasks give the memory they freed back to the system, as their worker lives on."""
+
+    def returned(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # a function of the C library on Linux
+        if trim:
+            trim(0)
+
+    return df.mapInArrow(returned, schema)
 
 
 def partitions(spark: SparkSession) -> int:

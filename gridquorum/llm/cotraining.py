@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, text_column, word_hashes, word_slabs
+from .common import LAST_ID, arrow, text_column, word_hashes, word_slabs
 
 SAMPLE, BINS, ROUNDS, GIVE, SURE, PROOF, KEEP = 8000, 256, 4, 0.05, 0.95, 5, 0.5
 _CLASSES = {
@@ -235,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             columns = [batch.column("doc_id"), batch.column("label"), pa.array([x.tobytes() for x in text], pa.binary()), batch.column("source"), batch.column("lang")]
             yield pa.record_batch(columns, names=["doc_id", "label", "text", "source", "lang"])
 
-    got = chosen.select("doc_id", "text", "lang", "source", "label").mapInArrow(run, "doc_id long, label double, text binary, source string, lang string").toArrow()
+    got = chosen.select("doc_id", "text", "lang", "source", "label").transform(arrow, run, "doc_id long, label double, text binary, source string, lang string").toArrow()
     raw, ids = got["text"].to_pylist(), got["doc_id"].to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, raw[i]))
     text = np.frombuffer(b"".join(raw[i] for i in order), np.float32).reshape(-1, TEXT).astype(float)
@@ -258,7 +258,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             a, b, both = model.value.scores(*_figures(batch))
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(x) for x in (a, b, both)), pa.array(both >= KEEP)], names=["doc_id", "p_text", "p_meta", "score", "kept"])
 
-    return rows.mapInArrow(run, "doc_id long, p_text double, p_meta double, score double, kept boolean")
+    return rows.transform(arrow, run, "doc_id long, p_text double, p_meta double, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -269,4 +269,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(model.value.scores(*_figures(batch))[2] >= KEEP))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(arrow, run, docs.schema)

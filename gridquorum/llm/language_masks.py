@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, mix, run_starts, slabs
+from .common import Work, arrow, mix, run_starts, slabs
 
 GRAM, HASHES, SAMPLE, LEAST, KEEP = 4, 2, 3000, 3, 0.5
 SLOTS, PIECE, HELD = 1 << 21, 1 << 20, 1 << 21
@@ -138,14 +138,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Masks:
     part = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, sample / sizes[lang]))])
     chosen = rows.where(place < part[F.col("lang")]).select("text", "lang")
     work = Work(docs.sparkSession, "languages")
-    seen = chosen.mapInArrow(_counted({lang: k for k, lang in enumerate(langs)}), "gram long, lang int, n long")
+    seen = chosen.transform(arrow, _counted({lang: k for k, lang in enumerate(langs)}), "gram long, lang int, n long")
     seen = work.save(seen.groupBy("gram", "lang").agg(F.sum("n").alias("n")), "seen")
     total = dict(map(tuple, seen.groupBy("lang").agg(F.sum("n")).collect()))  # one row for each language
     per = F.element_at(F.array(*[F.lit(float(max(total.get(k, 0), 1))) for k in range(len(langs))]), F.col("lang") + 1)
     shares = seen.select("gram", "lang", "n", (F.col("n") / per).alias("share"))
     most = shares.groupBy("gram").agg(F.max("share").alias("most"))
     member = shares.join(most, "gram").where((F.col("n") >= LEAST) & (F.col("share") >= KEEP * F.col("most"))).select("gram", "lang")
-    bits = member.mapInArrow(_set_bits, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
+    bits = member.transform(arrow, _set_bits, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
     got = bits.toArrow()  # SLOTS rows at most for each mask word
     masks[got["slot"].to_numpy(), got["word"].to_numpy()] = got["mask"].to_numpy().view(np.uint64)
     work.close()
@@ -192,7 +192,7 @@ def predict(docs: DataFrame, model: Masks) -> DataFrame:
             yield pa.record_batch(arrays, names=[*kept, "lang_pred", "score"])
 
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*kept, "text").mapInArrow(run, schema)
+    return docs.select(*kept, "text").transform(arrow, run, schema)
 
 
 def held_out(docs: DataFrame) -> DataFrame:

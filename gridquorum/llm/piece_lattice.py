@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Work, mix, ranges, slabs
+from .common import Work, arrow, mix, partitions, ranges, slabs
 
 LONGEST, UNKNOWN, SLAB, SCALAR = 16, 10.0, 2 << 20, 256
 SPACE, LITERAL = 0x2581, 0x110000
@@ -308,9 +308,10 @@ def _frequent(batches):
 
 def vocabulary(docs: DataFrame, model: str, work: Work) -> Vocabulary:
     """The VOCABULARY most frequent words of docs (text) by the relational lattice."""
-    counted = docs.select("text").mapInArrow(_frequent, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").transform(arrow, _frequent, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = work.save(counted.orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word"), "words")
     pieces = opened(model)
+    words = words.repartition(partitions(docs.sparkSession), "word")  # few bytes, but many edges
     got = encode_words(words, piece_table(docs.sparkSession, model), pieces.byte.tolist(), pieces.unknown).toArrow()
     return Vocabulary.of(got["word"].to_pylist(), got["ids"].to_pylist())
 
@@ -337,7 +338,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
                 yield pa.record_batch([batch.column("doc_id").slice(i, j - i), pa.array(count), pa.array(same), _list(ids, count)], names=["doc_id", "n_pieces", "restored", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_pieces long, restored boolean, ids array<int>")
+    return rows.transform(arrow, run, "doc_id long, n_pieces long, restored boolean, ids array<int>")
 
 
 def decoded(rows: DataFrame, model: str) -> DataFrame:
@@ -352,7 +353,7 @@ def decoded(rows: DataFrame, model: str) -> DataFrame:
             texts = pa.Array.from_buffers(pa.large_string(), len(count), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data.tobytes())])
             yield pa.record_batch([batch.column("doc_id"), texts.cast(pa.string())], names=["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return rows.select("doc_id", "ids").transform(arrow, run, "doc_id long, text string")
 
 
 def piece_table(spark: SparkSession, model: str) -> DataFrame:

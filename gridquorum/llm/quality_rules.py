@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, mix, word_hashes, word_slabs
+from .common import Work, arrow, mix, word_hashes, word_slabs
 
 BINS, SPREADS = 1 << 14, 4.0
 SYMBOLS = b"#*$%&|<>"
@@ -53,7 +53,7 @@ def counts(texts: DataFrame) -> np.ndarray:
 
     out = np.zeros(BINS)
     # BINS rows at most
-    for b, n in texts.select("text").mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n")).collect():
+    for b, n in texts.select("text").transform(arrow, run, "bin int, n long").groupBy("bin").agg(F.sum("n")).collect():
         out[b] = n
     return out
 
@@ -142,7 +142,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     raw, target = counts(rows), counts(rows.join(good, "doc_id", "left_semi"))
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
     # figures without the labels, so that no text is shuffled
-    facts = work.save(rows.mapInArrow(_scores(weights(target, raw)), schema), "facts")
+    facts = work.save(rows.transform(arrow, _scores(weights(target, raw)), schema), "facts")
     mean, spread = facts.join(good, "doc_id", "left_semi").where("n_words > 0").agg(F.avg("score"), F.stddev_pop("score")).first()
     least = -math.inf if mean is None else mean - SPREADS * spread
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))

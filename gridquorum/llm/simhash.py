@@ -17,17 +17,20 @@ spanning star of each linked set, not with all pairs.
 
 Scale.  Equal fingerprints are one index entry (a hash aggregate with map-side
 combine), so a group of copies is one row however large it is.  Components are
-found by alternating large and small stars on written tables.  Only the
-``COMMON`` most common shingles at most are collected, for the order of the sets.
+found by alternating large and small stars on written tables.  All shingles are counted, in
+compressed blobs; the ``COMMON`` most common at most are collected, for the order of the sets.
 
 Near copies.  ``keep_first`` asks for a five-word Jaccard similarity of 0.8, for which
 one fingerprint is often more than three bits off.  So it meets texts on shingles:
 sets are in one order, common shingles last, and of two near copies the first fifths
-share a shingle.  A bit map of each set, in which each shingle flips a bit, bounds from below in how
-many shingles a pair differs; pairs that differ in too many go.  Of the others, the smallest of each
-connected group is compared with its members on all shingles, then those pairs that are not
-in one component yet.  Texts of a bucket of more than ``CROWD`` meet in one task, which
-compares each with those not linked yet.
+share a shingle.  A bucket of texts with such a shingle gives its pairs; one of more than ``CROWD``
+gives the pairs with its smallest text.  A bit map of each set, in which each shingle flips a
+bit, bounds from below in how many shingles a pair differs; pairs that differ in too many go.
+Of the others, the smallest of each connected group is compared with its members on all
+shingles, then those pairs that are not in one component yet.  In buckets of more than CROWD that
+still have several components, the bit maps of all members meet, in blocks of ``BLOCK``,
+and what is left of their pairs is compared too.  So no link is lost, and copies, however
+many, cost a comparison each.
 
 Cases.  Null and empty texts have fingerprint zero and link like any other; null
 ids are ignored when the smallest id is chosen, and a component with null ids only
@@ -41,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, mix, partitions, run_starts, text_column
+from .common import Work, arrow, exchange, mix, pack, partitions, run_starts, text_column, unpack
 
 RADIUS, NODE, FAN = 3, 1024, 8
 _FULL = (1 << 64) - 1
@@ -83,7 +86,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             fps = [_fingerprint(bytes(view[s:e]), xxhash.xxh64_intdigest, width) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.record_batch([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(arrow, run, "doc_id long, fp long")
 
 
 def _below(mask: int) -> list[int]:
@@ -194,7 +197,7 @@ def links(fps: DataFrame, work: Work) -> DataFrame:
         wide = work.save(nodes.groupBy(*NODE_KEY).count().where(F.col("count") > NODE).select(*NODE_KEY), f"wide{depth}")
         none = wide.isEmpty()
         settled = nodes if none else nodes.join(wide, list(NODE_KEY), "left_anti")
-        found.append(work.save(settled.repartition(n, *NODE_KEY).sortWithinPartitions(*NODE_KEY).mapInArrow(_search(), "tab int, u long, v long"), f"links{depth}"))
+        found.append(work.save(settled.repartition(n, *NODE_KEY).sortWithinPartitions(*NODE_KEY).transform(arrow, _search(), "tab int, u long, v long"), f"links{depth}"))
         if none:
             break
         # fixed size: at most 4 ** depth masks
@@ -237,16 +240,24 @@ def components(edges: DataFrame, work: Work, name: str = "") -> DataFrame:
     return edges
 
 
+#: Most fingerprints, and least rows of one, whose components rows get by broadcast.
+HOT, HOT_ROWS = 1000, 10_000
+
+
 def grouped(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs."""
     work = Work(docs.sparkSession, "simhash")
     rows = work.save(fingerprints(docs, width), "rows")
-    fps = work.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
+    fps = work.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "fps")
     roots = components(links(fps.withColumn("tab", F.lit(0)), work).select("u", "v"), work)
-    labelled = work.save(fps.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "labelled")
+    labelled = work.save(fps.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "labelled")
     names = work.save(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "names")
-    named = work.save(labelled.join(names, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = work.save(labelled.join(names, "root").select("fp", "n", "component_id"), "named")
+    # rows of the most common fingerprints, such as that of empty texts, do not meet in one task
+    hot = work.save(named.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), "fp").limit(HOT).select("fp", F.struct("component_id").alias("hot")), "hot")
+    told = rows.join(F.broadcast(hot), "fp", "left")
+    rare = told.where("hot is null").select("doc_id", "fp").join(named.select("fp", "component_id"), "fp")
+    return told.where("hot is not null").select("doc_id", "fp", "hot.component_id").unionByName(rare.select("doc_id", "fp", "component_id"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -254,10 +265,10 @@ def digest(docs: DataFrame) -> DataFrame:
     return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near copies: words of a shingle, least similarity, most texts of a bucket whose pairs are written out.
-WORDS, ALIKE, CROWD = 5, 0.8, 64
-#: A common shingle is in OFTEN texts or more; at most COMMON of them are told apart; shingles counted at once.
-OFTEN, COMMON, COUNTED = 16, 100_000, 1 << 21
+#: Near copies: words of a shingle, least similarity, most texts of a bucket whose pairs are written out, texts of a block.
+WORDS, ALIKE, CROWD, BLOCK = 5, 0.8, 16, 4096
+#: A common shingle is in OFTEN texts or more; at most COMMON of them are told apart; shingles counted at once; parts of a bucket.
+OFTEN, COMMON, COUNTED, PARTS = 16, 500_000, 1 << 21, 16
 #: Bits of the map of a shingle set.
 MAP = 2048
 
@@ -288,28 +299,77 @@ def _texts(batch):
     return (bytes(view[s:e]) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()))
 
 
-def _named(batches):
-    """(id, name, 0) for each text, and (null, shingle, texts) for shingles that several texts of a task have."""
-    held, size = [], 0
+def _key(shingles: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket, part and 32 more bits of each shingle, under which it is counted; shingles that agree in them count as one, which only moves them in the order."""
+    t = shingles.view(np.uint64)
+    rest = t // np.uint64(buckets)
+    return (t % np.uint64(buckets)).astype(np.int32), (rest % np.uint64(PARTS)).astype(np.int32), ((rest // np.uint64(PARTS)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
-    def common():
-        found, counts = np.unique(np.concatenate(held), return_counts=True)
-        found, counts = found[counts > 2], counts[counts > 2]
-        return pa.record_batch([pa.nulls(len(found), pa.int64()), pa.array(found), pa.array(counts.astype(np.int64))], names=["id", "name", "n"])
 
-    for batch in batches:
-        names = []
-        for raw in _texts(batch):
-            name, s = shingle_set(raw)
-            names.append(name)
-            held.append(s)
-            size += len(s)
-            if size > COUNTED:
-                yield common()
-                held, size = [], 0
-        yield pa.record_batch([batch.column("id"), pa.array(names, pa.int64()), pa.array(np.zeros(len(names), np.int64))], names=["id", "name", "n"])
-    if held:
-        yield common()
+def _named(buckets: int):
+    """(id, name) of each text, and blobs of the shingles of about COUNTED with the number of texts that have them."""
+
+    def blobs(held):
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        bucket, part, rest = _key(found, buckets)
+        order = np.lexsort((rest, part, bucket))
+        bucket, part, rest, n = bucket[order], part[order], rest[order], np.minimum(n[order], 0xFFFF).astype(np.uint16)
+        first = run_starts(bucket, part)
+        ends = np.append(first[1:], len(order))
+        # sorted numbers are stored as their differences, which compress
+        rows = [pack(step=np.diff(rest[a:b], prepend=np.uint32(0)), n=n[a:b]) for a, b in zip(first.tolist(), ends.tolist())]
+        none = pa.nulls(len(rows), pa.int64())
+        return pa.record_batch([none, none, pa.array(part[first]), pa.array(bucket[first]), pa.array(rows, pa.binary())], names=["id", "name", "kind", "bucket", "blob"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            names = []
+            for raw in _texts(batch):
+                name, s = shingle_set(raw)
+                names.append(name)
+                held.append(s)
+                size += len(s)
+                if size > COUNTED:
+                    yield blobs(held)
+                    held, size = [], 0
+            none = pa.nulls(len(names), pa.int32())
+            yield pa.record_batch([batch.column("id"), pa.array(names, pa.int64()), none, none, pa.nulls(len(names), pa.binary())], names=["id", "name", "kind", "bucket", "blob"])
+        if size:
+            yield blobs(held)
+
+    return run
+
+
+def _often(buckets: int):
+    """(key, n) of the shingles that OFTEN texts have, from the blobs of a partition that is sorted by part; bucket b is partition b."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        bucket, part, steps = TaskContext.get().partitionId(), None, []
+
+        def counted():
+            rest, n = (np.concatenate(x) for x in zip(*steps))
+            order = np.argsort(rest, kind="stable")
+            first = run_starts(rest[order])
+            total = np.add.reduceat(n[order].astype(np.int64), first)
+            many = total >= OFTEN
+            key = (rest[order][first][many].astype(np.uint64) * np.uint64(PARTS) + np.uint64(part)) * np.uint64(buckets) + np.uint64(bucket)
+            return pa.record_batch([pa.array(key.view(np.int64)), pa.array(total[many])], names=["key", "n"])
+
+        for batch in batches:
+            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob")):
+                if kind != part and steps:
+                    yield counted()
+                    steps = []
+                part = kind
+                x = unpack(blob.as_buffer())
+                steps.append((np.cumsum(x["step"], dtype=np.uint32), x["n"]))
+        if steps:
+            yield counted()
+
+    return run
 
 
 def least_shared(n: np.ndarray | int):
@@ -317,8 +377,8 @@ def least_shared(n: np.ndarray | int):
     return np.ceil(ALIKE * n - 1e-9).astype(np.int64)
 
 
-def _prefixes(common: np.ndarray):
-    """(token, name, n): of each set the shingles of which a near copy has one, those in the sorted array common last."""
+def _prefixes(common: np.ndarray, buckets: int):
+    """(token, name, n): of each set the shingles of which a near copy has one, those with a key in the sorted array common last."""
 
     def run(batches):
         seen = set()
@@ -330,7 +390,9 @@ def _prefixes(common: np.ndarray):
                     continue
                 seen.add(name)
                 if len(common):
-                    s = s[np.argsort(common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s, kind="stable")]
+                    bucket, part, rest = _key(s, buckets)
+                    key = (rest.astype(np.uint64) * np.uint64(PARTS) + part.astype(np.uint64)) * np.uint64(buckets) + bucket.astype(np.uint64)
+                    s = s[np.argsort(common[np.minimum(np.searchsorted(common, key), len(common) - 1)] == key, kind="stable")]
                 tokens.append(s[: len(s) - int(least_shared(len(s))) + 1])
                 names.append(name)
                 sizes.append(len(s))
@@ -426,56 +488,49 @@ def _verified(batches):
 def _beside(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     """pairs (u, v) with columns of the sets of both, under the column's first letter and u or v."""
     side = lambda x: sets.select(F.col("name").alias(x), *[F.col(c).alias(f"{c[0]}{x}") for c in columns])
-    return pairs.join(side("u"), "u").join(side("v"), "v")
+    # many pairs may share v, the smallest of a group, so they meet it before their own sets come along
+    return pairs.join(side("v"), "v").join(side("u"), "u")
 
 
-def settled(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links of near copies that connect all sets which near copies connect.
+def _blocks(batches):
+    """(u, v) of the pairs of different labels that can be near copies, in each block pair of a partition that is sorted by (bucket, i, j).
 
-    Each set is compared with all that have no link yet, so no pair of two groups is left out.
+    Rows (bucket, i, j, block, name, label, n, bits): members of blocks i and j, which meet each other.
     """
-    found, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    sizes = np.array([len(s) for s in sets])
-    own = np.split(flat, np.cumsum(sizes)[:-1])
-    mark, left, out, queue = np.zeros(len(found), bool), np.arange(len(sets)), [], []
-    while len(left):
-        if not queue:
-            queue, left = [int(left[0])], left[1:]
-            rest, stale = None, True
-            continue
-        x = queue.pop()
-        if stale:
-            rest, stale = (np.concatenate([own[k] for k in left]), np.cumsum(sizes[left]) - sizes[left]), False
-        mark[own[x]] = True
-        both = np.add.reduceat(mark[rest[0]], rest[1], dtype=np.int64)
-        mark[own[x]] = False
-        hit = both / (sizes[x] + sizes[left] - both) >= ALIKE
-        if hit.any():
-            out += [(x, k) for k in left[hit].tolist()]
-            queue += left[hit].tolist()
-            left, stale = left[~hit], True
-    return out
-
-
-def _crowds(batches):
-    """(u, v) of the links in each bucket of a partition that is sorted by bucket."""
-
-    def links_of(names, sets):
-        ends = settled(sets)
-        u, v = (np.array([names[e[k]] for e in ends], np.int64) for k in (0, 1))
+
+    def near(rows):
+        block, name, label, n = (np.concatenate(x) for x in list(zip(*rows))[:4])
+        maps = np.frombuffer(b"".join(b for r in rows for b in r[4]), np.uint64).reshape(len(name), -1)
+        i, j = rows[0][5]
+        order = np.argsort(n, kind="stable")
+        block, name, label, n, maps = (x[order] for x in (block, name, label, n, maps))
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(len(name)):
+            # larger sets up to those that are too large
+            at = np.arange(k + 1, np.searchsorted(n, n[k] / ALIKE + 1e-9, "right"))
+            at = at[(label[at] != label[k]) & ((i == j) | (block[at] != block[k]))]
+            most = n[k] + n[at] - 2 * np.ceil(ALIKE / (1 + ALIKE) * (n[k] + n[at]) - 1e-9)
+            for words in (slice(0, 4), slice(0, None)):  # a part of the map first
+                fits = np.bitwise_count(maps[at, words] ^ maps[k, words]).sum(axis=1, dtype=np.int64) <= most
+                at, most = at[fits], most[fits]
+            us.append(np.full(len(at), name[k]))
+            vs.append(name[at])
+        u, v = np.concatenate(us), np.concatenate(vs)
         return pa.record_batch([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
-    key, names, sets = None, [], []
+    key, rows = None, []
     for batch in batches:
-        for bucket, name, s in zip(batch.column("bucket").to_pylist(), batch.column("name").to_pylist(), _split(batch.column("shingles"))):
-            if bucket != key:
-                if names:
-                    yield links_of(names, sets)
-                key, names, sets = bucket, [], []
-            names.append(name)
-            sets.append(s)
-    if names:
-        yield links_of(names, sets)
+        bucket, i, j = (batch.column(c).to_numpy() for c in ("bucket", "i", "j"))
+        first = run_starts(bucket, i, j)
+        for a, b in zip(first.tolist(), np.append(first[1:], batch.num_rows).tolist()):
+            now = (bucket[a], i[a], j[a])
+            if now != key and rows:
+                yield near(rows)
+                rows = []
+            key = now
+            rows.append((*(batch.column(c).slice(a, b - a).to_numpy() for c in ("block", "name", "label", "n")), batch.column("bits").slice(a, b - a).to_pylist(), now[1:]))
+    if rows:
+        yield near(rows)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -485,40 +540,57 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     work, n = Work(docs.sparkSession, "nearcopies"), partitions(docs.sparkSession)
     docs = docs.select("id", "text")
-    told = work.save(docs.mapInArrow(_named, "id long, name long, n long"), "told")
-    rows = told.where("id is not null").select("id", "name")
-    often = told.where("id is null").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    told = work.save(docs.transform(arrow, _named(n), "id long, name long, kind int, bucket int, blob binary"), "told")
+    rows = work.save(told.where("blob is null").select("id", "name"), "rows")
+    often = exchange(told.where("blob is not null").select("kind", "bucket", "blob"), n).transform(arrow, _often(n), "key long, n long")
     # at most COMMON numbers; any set of them gives the same pairs
-    common = np.sort(np.array([r[0] for r in often.orderBy(F.desc("n"), "name").limit(COMMON).select("name").collect()], np.int64))
-    tokens = docs.mapInArrow(_prefixes(common), "token long, name long, n int")
-    met = work.save(tokens.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_buckets, "u long, v long, nu long, nv long, c long"), "met")
+    common = np.sort(np.array([r[0] for r in often.orderBy(F.desc("n"), "key").limit(COMMON).select("key").collect()], np.int64).view(np.uint64))
+    work.drop("told")
+    tokens = docs.transform(arrow, _prefixes(common, n), "token long, name long, n int")
+    met = work.save(tokens.repartition(n, "token").sortWithinPartitions("token").transform(arrow, _buckets, "u long, v long, nu long, nv long, c long"), "met")
 
     # what two prefixes do not share of an overlap lies behind one of them
     need = F.ceil(ALIKE / (1 + ALIKE) * (F.col("nu") + F.col("nv")) - 1e-9) - F.ceil(ALIKE * F.greatest("nu", "nv") - 1e-9) + 1
-    pairs = work.save(met.where("c > 0").groupBy("u", "v", "nu", "nv").agg(F.sum("c").alias("c")).where(F.col("c") >= need).select("u", "v"), "pairs")
+    pairs = met.where("c > 0").groupBy("u", "v", "nu", "nv").agg(F.sum("c").alias("c")).where(F.col("c") >= need).select("u", "v")
     crowds = met.where("c = 0").select(F.col("u").alias("bucket"), F.col("v").alias("name"))
-    names = pairs.select(F.col("u").alias("name")).unionByName(pairs.select(F.col("v").alias("name"))).unionByName(crowds.select("name")).distinct()
+    least = work.save(crowds.groupBy("bucket").agg(F.min("name").alias("least"), F.count("*").alias("size")), "crowds")
+    stars = crowds.join(least, "bucket").where("name <> least").select(F.col("name").alias("u"), F.col("least").alias("v"))
+    pairs = work.save(pairs.unionByName(stars).distinct(), "pairs")
+    names = pairs.select(F.col("u").alias("name")).unionByName(pairs.select(F.col("v").alias("name"))).distinct()
     heads = work.save(rows.groupBy("name").agg(F.min("id").alias("first")), "heads")
     wanted = work.save(heads.join(names, "name", "left_semi"), "wanted")
     texts = docs.join(wanted.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
-    sets = texts.mapInArrow(_sets, "name long, n long, bits binary, shingles array<long>").join(wanted.select("name"), "name", "left_semi")
+    sets = texts.transform(arrow, _sets, "name long, n long, bits binary, shingles array<long>").join(wanted.select("name"), "name", "left_semi")
     sets = work.save(sets.dropDuplicates(["name"]), "sets")
-    possible = _beside(pairs, sets, "n", "bits").select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(_possible, "u long, v long")
-    possible = work.save(possible.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "possible")
 
-    def near(pairs: DataFrame) -> DataFrame:
-        return _beside(pairs, sets, "shingles").select("u", "v", "su", "sv").mapInArrow(_verified, "u long, v long")
+    def checked(pairs: DataFrame, table: str) -> DataFrame:
+        return work.save(_beside(pairs, sets, "shingles").select("u", "v", "su", "sv").transform(arrow, _verified, "u long, v long"), table)
+
+    def label(x: str, of: DataFrame) -> DataFrame:
+        return of.select(F.col("u").alias(x), F.col("v").alias(f"of_{x}"))
 
+    possible = _beside(pairs, sets, "n", "bits").select("u", "v", "nu", "nv", "bu", "bv").transform(arrow, _possible, "u long, v long")
+    possible = work.save(possible.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "possible")
     # a group of copies has few members and many pairs: most are in one component after its smallest is compared
-    first = work.save(near(components(possible, work, "possible")), "first")
-    to = lambda x: first.select(F.col("u").alias(x), F.col("v").alias(f"of_{x}"))
-    apart = possible.join(to("u"), "u", "left").join(to("v"), "v", "left").where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v")
-    small = first.unionByName(near(apart))
-    large = crowds.join(sets.select("name", "shingles"), "name").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_crowds, "u long, v long")
-    edges = work.save(small.unionByName(large).distinct(), "edges")
-
-    roots = components(edges, work).select(F.col("u").alias("name"), F.col("v").alias("root"))
-    labelled = work.save(heads.join(roots, "name", "left").select("name", "first", F.coalesce("root", "name").alias("root")), "labelled")
+    first = checked(components(possible, work, "possible"), "first")
+    apart = possible.join(label("u", first), "u", "left").join(label("v", first), "v", "left").where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v")
+    edges = work.save(first.unionByName(checked(apart, "second")).distinct(), "edges")
+    roots = components(edges, work, "found")
+
+    # crowded buckets with several components: bit maps of all members, block by block
+    held = crowds.join(roots.select(F.col("u").alias("name"), F.col("v").alias("root")), "name", "left").select("bucket", "name", F.coalesce("root", "name").alias("label"))
+    mixed = held.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
+    open_ = held.join(mixed, "bucket", "left_semi").join(least.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket")
+    placed = open_.withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")).join(sets.select("name", "n", "bits"), "name")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = placed.select("bucket", "block", "name", "label", "n", "bits", other.alias("k")).select("bucket", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "name", "label", "n", "bits")
+    more = dealt.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").transform(arrow, _blocks, "u long, v long")
+    late = checked(work.save(more.distinct(), "late"), "third")
+    if not late.isEmpty():
+        roots = components(work.save(edges.unionByName(late).distinct(), "all"), work, "all")
+
+    named = roots.select(F.col("u").alias("name"), F.col("v").alias("root"))
+    labelled = work.save(heads.join(named, "name", "left").select("name", "first", F.coalesce("root", "name").alias("root")), "labelled")
     kept = labelled.join(labelled.groupBy("root").agg(F.min("first").alias("kept")), "root").select("name", "kept")
     return rows.join(kept, "name").where("id <> kept").select("id").distinct()
 

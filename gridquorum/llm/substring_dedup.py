@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOBS, Work, bucket_rows, by_bucket, exchange, mix, named_rows, numbers, pack, partitions, ranges, run_starts, slabs, text_column
+from .common import BLOBS, Work, arrow, bucket_rows, by_bucket, exchange, mix, named_rows, numbers, pack, partitions, ranges, run_starts, slabs, text_column
 
 SPAN, GRAM = 50, 16
 FLUSH, PIECE = 500_000, 1 << 19
@@ -254,7 +254,7 @@ def _ranges(whole: bool):
 
 
 def _by_doc(answers: DataFrame, kind: int, n: int, name: str) -> DataFrame:
-    out = exchange(answers.where(F.col("kind") == kind), n).mapInArrow(_ranges(kind == CANDIDATE), "_llm_id long, _llm_tk long, _llm_a array<int>, _llm_b array<int>")
+    out = exchange(answers.where(F.col("kind") == kind), n).transform(arrow, _ranges(kind == CANDIDATE), "_llm_id long, _llm_tk long, _llm_a array<int>, _llm_b array<int>")
     return out.withColumnsRenamed({"_llm_a": f"{name}a", "_llm_b": f"{name}b"})
 
 
@@ -374,9 +374,9 @@ def repeats(docs: DataFrame, work: Work) -> DataFrame:
     parts = partitions(spark)
     buckets = parts
     keyed = docs.select("_llm_id", "_llm_tk", "text")
-    answers = work.save(exchange(keyed.mapInArrow(_parse(buckets), BLOBS), parts).mapInArrow(_settle(buckets), BLOBS), "answers")
-    found = keyed.join(_by_doc(answers, CANDIDATE, parts, "_llm_c"), ["_llm_id", "_llm_tk"]).mapInArrow(_windows(buckets), BLOBS)
-    shared = work.save(exchange(found, parts).mapInArrow(_ranked(buckets), BLOBS), "shared")
+    answers = work.save(exchange(keyed.transform(arrow, _parse(buckets), BLOBS), parts).transform(arrow, _settle(buckets), BLOBS), "answers")
+    found = keyed.join(_by_doc(answers, CANDIDATE, parts, "_llm_c"), ["_llm_id", "_llm_tk"]).transform(arrow, _windows(buckets), BLOBS)
+    shared = work.save(exchange(found, parts).transform(arrow, _ranked(buckets), BLOBS), "shared")
     removed = work.save(_by_doc(answers.unionByName(shared), REMOVED, parts, "_llm_r"), "removed")
     work.drop("answers", "shared")
     return removed
@@ -418,7 +418,7 @@ def digest(docs: DataFrame) -> DataFrame:
     work = Work(docs.sparkSession, "substring")
     rows = named_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work)
     marked = rows.join(repeats(rows, work), ["_llm_id", "_llm_tk"], "left").select("doc_id", "text", "_llm_ra", "_llm_rb")
-    return marked.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked.transform(arrow, _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _cut_texts(batches):
@@ -453,7 +453,7 @@ def cut(docs: DataFrame) -> DataFrame:
     rows = named_rows(docs.select(F.struct(*others).alias("rest"), "doc_id", "text"), work)
     marked = rows.join(repeats(rows, work), ["_llm_id", "_llm_tk"], "left").select("rest", "text", "_llm_ra", "_llm_rb")
     kind = T.StructType([T.StructField("rest", marked.schema["rest"].dataType), T.StructField("text", T.StringType())])
-    out = marked.mapInArrow(_cut_texts, kind).select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
+    out = marked.transform(arrow, _cut_texts, kind).select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

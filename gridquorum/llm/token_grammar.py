@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, numbers, partitions, ranges, run_starts
+from .common import Work, arrow, numbers, partitions, ranges, run_starts
 
 SHARD, LEAST = 1 << 19, 12
 END, TERMINALS = 2, 1 << 17
@@ -301,7 +301,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, parts: int) -> None:
     schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    ordered.mapInArrow(run, FORMAT).write.option("compression", "zstd").parquet(path)
+    ordered.transform(arrow, run, FORMAT).write.option("compression", "zstd").parquet(path)
 
 
 FORMAT = "part int, shard int, first long, n_tokens long, payload binary"
@@ -334,7 +334,7 @@ def read_documents(spark, path: str) -> DataFrame:
         starts.append((part, before))
         before += n
     bases = spark.createDataFrame(starts, "part int, base long")
-    rows = table.mapInArrow(_documents, "doc_id long, part int, start long, n_tokens long, ids_crc32 long")
+    rows = table.transform(arrow, _documents, "doc_id long, part int, start long, n_tokens long, ids_crc32 long")
     return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
