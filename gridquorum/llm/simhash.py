@@ -26,8 +26,8 @@ sets are in one order, common shingles last, and of two near copies the first fi
 share a shingle.  A bucket of texts with such a shingle gives its pairs; one of more than ``CROWD``
 gives the pairs with its smallest text.  A bit map of each set, in which each shingle flips a
 bit, bounds from below in how many shingles a pair differs; pairs that differ in too many go.
-Of the others, the smallest of each connected group is compared with its members on all
-shingles, then those pairs that are not in one component yet.  In buckets of more than CROWD that
+Of the others, each text is compared with the smallest of its partners on all shingles,
+then those pairs that are not linked to one text yet.  In buckets of more than CROWD that
 still have several components, the bit maps of all members meet, in blocks of ``BLOCK``,
 and what is left of their pairs is compared too.  So no link is lost, and copies, however
 many, cost a comparison each.
@@ -571,8 +571,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     possible = _beside(pairs, sets, "n", "bits").select("u", "v", "nu", "nv", "bu", "bv").transform(arrow, _possible, "u long, v long")
     possible = work.save(possible.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "possible")
-    # a group of copies has few members and many pairs: most are in one component after its smallest is compared
-    first = checked(components(possible, work, "possible"), "first")
+    # a group of copies has few members and many pairs: most are linked to one text once each met the smallest of its partners
+    first = checked(possible.groupBy("u").agg(F.min("v").alias("v")), "first")
     apart = possible.join(label("u", first), "u", "left").join(label("v", first), "v", "left").where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v")
     edges = work.save(first.unionByName(checked(apart, "second")).distinct(), "edges")
     roots = components(edges, work, "found")
