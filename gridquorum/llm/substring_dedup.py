@@ -9,8 +9,9 @@ equal windows and need no neighbours (the prefix-free property).
 Dictionary and parse.  The first pass ships (trigger, phrase, document): a phrase
 that also occurs in a document with a smaller id is removed whole.  What is left,
 one owner document for each distinct phrase, is the dictionary.  A window that two
-different dictionary phrases share has the same trigger in both, so only phrases
-whose trigger stands under two or more of them go on.
+different dictionary phrases share has the same trigger in both, and 16 bytes or more
+of it to the left or to the right of the trigger.  So only phrases go on that share with
+another one their trigger and, by 16 bits of its hash, the gram on one side of it.
 
 Suffix order.  The second pass ranks the dictionary suffixes that are left by
 their first SPAN bytes.  Ranks are made by prefix doubling (1, 2, 4, ... bytes),
@@ -83,13 +84,13 @@ def window_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def phrases(data: np.ndarray, ends: np.ndarray):
-    """Phrases: first window, one past the last, trigger hash, document.
+    """Phrases: first window, one past the last, trigger hash, document, hashes of the grams on either side of the trigger.
 
     ends: end of each document in data.  Windows that cross an end are left out.
     """
     none = np.zeros(0, np.int64)
     if len(data) < SPAN:
-        return none, none, np.zeros(0, np.uint64), none
+        return none, none, np.zeros(0, np.uint64), none, np.zeros(0, np.uint32)
     grams = gram_hashes(data)
     low = (grams & _U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     size = 1
@@ -101,11 +102,14 @@ def phrases(data: np.ndarray, ends: np.ndarray):
     starts = np.concatenate([[0], ends[:-1]])
     windows = ranges(starts, np.maximum(ends - starts - SPAN + 1, 0))
     if not len(windows):
-        return none, none, np.zeros(0, np.uint64), none
+        return none, none, np.zeros(0, np.uint64), none, np.zeros(0, np.uint32)
     doc = np.repeat(np.arange(len(ends)), np.maximum(ends - starts - SPAN + 1, 0))
     first = run_starts(place[windows], doc)
     last = np.append(first[1:], len(windows)) - 1
-    return windows[first], windows[last] + 1, grams[place[windows[first]]], doc[first]
+    trigger = place[windows[first]]
+    # beyond the ends of a document no window needs them, so any value does
+    left, right = (grams[np.clip(trigger + step, 0, len(grams) - 1)] >> _U(48) for step in (-GRAM, GRAM))
+    return windows[first], windows[last] + 1, grams[trigger], doc[first], (left << _U(16) | right).astype(np.uint32)
 
 
 class _Held:
@@ -172,13 +176,14 @@ def _parse(buckets: int):
         e = _at(e, order)
         later = e["doc"] > least
         yield from _settled(buckets, REMOVED, _at(e, later))
-        e = _at(e, ~later)
+        e, order = _at(e, ~later), order[~later]
         more, rank = _shared(e["h"], e["name"])
         crowd = more >= CROWD_HERE
         hot = _at(e, crowd)
         yield from _settled(buckets, CANDIDATE, hot | {"n": hot["n"] + np.uint8(CROWDED)})
         e["n"] = np.where(crowd, e["n"] + np.uint8(CROWDED), e["n"])
-        ship = _at(e, ~crowd | (rank < 2))
+        ship = np.flatnonzero(~crowd | (rank < 2))
+        ship = _at(e, ship[np.argsort(order[ship])])  # by place, which compresses
         yield from bucket_rows(PHRASE, (ship["h"] % _U(buckets)).astype(np.int32), ship | {"h": (ship["h"] >> _U(32)).astype(np.uint32)})
 
     def run(batches):
@@ -186,12 +191,12 @@ def _parse(buckets: int):
         for batch in batches:
             ids, tks = numbers(batch.column("_llm_id")), numbers(batch.column("_llm_tk"))
             for i, j, offsets, data in slabs(batch, limit=PIECE):
-                a, b, h, d = phrases(data, offsets[1:])
+                a, b, h, d, side = phrases(data, offsets[1:])
                 if not len(a):
                     continue
                 w = window_hashes(data)
                 name = _join(w[a], w[b - 1], 0) + (b - a).astype(np.uint64)
-                held.add(h=h, name=name, doc=ids[i:j][d], tk=tks[i:j][d], a=(a - offsets[d]).astype(np.int32), n=(b - a).astype(np.uint8))
+                held.add(h=h, name=name, doc=ids[i:j][d], tk=tks[i:j][d], a=(a - offsets[d]).astype(np.int32), n=(b - a).astype(np.uint8), side=side)
                 if held.n >= FLUSH:
                     yield _rows(flush(held))
         if held.n:
@@ -200,6 +205,17 @@ def _parse(buckets: int):
     return run
 
 
+def _beside(e: dict) -> np.ndarray:
+    """Whether another phrase has the trigger and a gram beside it, for entries sorted by (h, name)."""
+    out = np.zeros(len(e["h"]), bool)
+    at = np.flatnonzero(_shared(e["h"], e["name"])[0] > 0)
+    for side in (e["side"][at] >> np.uint32(16), e["side"][at] & np.uint32(0xFFFF)):
+        key = e["h"][at].astype(np.uint64) << _U(16) | side
+        order = np.argsort(key, kind="stable")  # names stay in order
+        out[at[order]] |= _shared(key[order], e["name"][at[order]])[0] > 0
+    return out
+
+
 def _settle(buckets: int):
     """Answers of one bucket: later copies of a phrase, and phrases that share their trigger."""
 
@@ -212,12 +228,12 @@ def _settle(buckets: int):
             e = _at(e, order)
             group = run_starts(e["h"])
             sizes = np.diff(np.append(group, len(order)))
-            more, _ = _shared(e["h"], e["name"])
             sign = e["n"] >= CROWDED
-            hot = np.repeat(np.logical_or.reduceat(sign, group), sizes) | (more >= CROWD)
+            hot = np.repeat(np.logical_or.reduceat(sign, group), sizes)
             e["n"] = np.where(sign, e["n"] - np.uint8(CROWDED), e["n"])
             first = e["doc"] == least
-            go = first & ((more > 0) | hot)
+            go = first & (_beside(e) | hot)
+            hot |= np.repeat(np.add.reduceat(go.astype(np.int64), group) > CROWD, sizes)
             flagged = np.where(hot, e["n"] + np.uint8(CROWDED), e["n"])
             yield _rows([*_answer(buckets, REMOVED, _at(e, ~first)), *_answer(buckets, CANDIDATE, _at(e | {"n": flagged}, go))])
 

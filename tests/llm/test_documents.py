@@ -14,7 +14,7 @@ import pytest
 import xxhash
 
 from gridquorum.llm import cotraining, language_masks, piece_lattice, quality_rules, simhash, substring_dedup, token_grammar
-from gridquorum.llm.common import Work, word_spans
+from gridquorum.llm.common import Work, unpack, word_spans
 from gridquorum.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _llm_id string, fp string, score double"
@@ -536,3 +536,18 @@ def test_similarity_is_exact(spark):
         texts += [" ".join(base), " ".join(base[:-new] + say(new))]
     want = kept_brute(texts)
     assert len(want) == 60 and left_of(spark, texts) == want
+
+
+def test_passages_that_share_a_short_gram_are_not_shipped():
+    rng = random.Random(5)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    grams, passage = [word(20) for _ in range(200)], word(70)
+    texts = ["".join(word(80) + rng.choice(grams) for _ in range(20)) for _ in range(100)] + [word(60) + passage + word(60), word(61) + passage + word(59)]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int64()), pa.array(texts)], names=["_llm_id", "_llm_tk", "text"])
+    sent = sorted((r for b in substring_dedup._parse(4)([batch]) for r in b.to_pylist()), key=lambda r: (r["kind"], r["bucket"]))
+    out = [r for b in substring_dedup._settle(4)([pa.RecordBatch.from_pylist([r], pa.schema({"kind": pa.int32(), "bucket": pa.int32(), "blob": pa.binary()})) for r in sent]) for r in b.to_pylist()]
+    candidates = Counter(d for r in out if r["kind"] == substring_dedup.CANDIDATE for d in unpack(pa.py_buffer(r["blob"]))["doc"].tolist())
+    removed = {d for r in out if r["kind"] == substring_dedup.REMOVED for d in unpack(pa.py_buffer(r["blob"]))["doc"].tolist()}
+    # only the passage of 70 bytes can hold a string of 50 twice
+    assert sum(n for d, n in candidates.items() if d < 100) < 40
+    assert {100, 101} <= candidates.keys() | removed
