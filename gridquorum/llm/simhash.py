@@ -20,9 +20,10 @@ combine), so a group of copies is one row however large it is.  Components are
 found by alternating large and small stars on written tables.  All shingles are counted, in
 compressed blobs; the ``COMMON`` most common at most are collected, for the order of the sets.
 
-Near copies.  ``keep_first`` asks for a five-word Jaccard similarity of 0.8, for which
-one fingerprint is often more than three bits off.  So it meets texts on shingles:
-sets are in one order, common shingles last, and of two near copies the first fifths
+Near copies.  ``keep_first`` asks for a five-word Jaccard similarity of 0.8.  Fingerprints of
+the shingle sets meet in the index above, and its links are checked on all shingles.  A near
+copy is often more than three bits off, so texts that the index has not linked
+meet on shingles too: sets are in one order, common shingles last, and of two near copies the first fifths
 share a shingle.  A bucket of texts with such a shingle gives its pairs; one of more than ``CROWD``
 gives the pairs with its smallest text.  A bit map of each set, in which each shingle flips a
 bit, bounds from below in how many shingles a pair differs; pairs that differ in too many go.
@@ -66,7 +67,11 @@ def _fingerprint(raw: bytes, hash64, width: int) -> int:
         ends = np.cumsum(sizes) - 1
         starts = (ends - sizes + 1)[: len(words) - width + 1].tolist()
         hashes = [hash64(line[s:e], 42) for s, e in zip(starts, ends[width - 1 :].tolist())]
-    h = np.array(hashes, np.uint64)
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes: the bits that more than half of them have."""
     ones = np.zeros(64, np.int64)
     for s in range(0, len(h), 1 << 16):
         part = h[s : s + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -307,7 +312,7 @@ def _key(shingles: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _named(buckets: int):
-    """(id, name) of each text, and blobs of the shingles of about COUNTED with the number of texts that have them."""
+    """(id, name, fp) of each text, and blobs of the shingles of about COUNTED with the number of texts that have them; fp is null for an empty set."""
 
     def blobs(held):
         found, n = np.unique(np.concatenate(held), return_counts=True)
@@ -319,22 +324,23 @@ def _named(buckets: int):
         # sorted numbers are stored as their differences, which compress
         rows = [pack(step=np.diff(rest[a:b], prepend=np.uint32(0)), n=n[a:b]) for a, b in zip(first.tolist(), ends.tolist())]
         none = pa.nulls(len(rows), pa.int64())
-        return pa.record_batch([none, none, pa.array(part[first]), pa.array(bucket[first]), pa.array(rows, pa.binary())], names=["id", "name", "kind", "bucket", "blob"])
+        return pa.record_batch([none, none, none, pa.array(part[first]), pa.array(bucket[first]), pa.array(rows, pa.binary())], names=["id", "name", "fp", "kind", "bucket", "blob"])
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            names = []
+            names, fps = [], []
             for raw in _texts(batch):
                 name, s = shingle_set(raw)
                 names.append(name)
+                fps.append(_signed(majority(s.view(np.uint64))) if len(s) else None)
                 held.append(s)
                 size += len(s)
                 if size > COUNTED:
                     yield blobs(held)
                     held, size = [], 0
             none = pa.nulls(len(names), pa.int32())
-            yield pa.record_batch([batch.column("id"), pa.array(names, pa.int64()), none, none, pa.nulls(len(names), pa.binary())], names=["id", "name", "kind", "bucket", "blob"])
+            yield pa.record_batch([batch.column("id"), pa.array(names, pa.int64()), pa.array(fps, pa.int64()), none, none, pa.nulls(len(names), pa.binary())], names=["id", "name", "fp", "kind", "bucket", "blob"])
         if size:
             yield blobs(held)
 
@@ -475,14 +481,17 @@ def _possible(batches):
         yield batch.select(["u", "v"]).filter(pa.array(differ <= both - 2 * np.ceil(ALIKE / (1 + ALIKE) * both - 1e-9)))
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two shingle sets are near copies."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) >= ALIKE
+
+
 def _verified(batches):
     """(u, v) of the pairs (u, v, su, sv) whose sets are near copies."""
     for batch in batches:
-        same = np.zeros(batch.num_rows, bool)
-        for k, (a, b) in enumerate(zip(_split(batch.column("su")), _split(batch.column("sv")))):
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            same[k] = both / (len(a) + len(b) - both) >= ALIKE
-        yield batch.select(["u", "v"]).filter(pa.array(same))
+        same = [alike(a, b) for a, b in zip(_split(batch.column("su")), _split(batch.column("sv")))]
+        yield batch.select(["u", "v"]).filter(pa.array(same, pa.bool_()))
 
 
 def _beside(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
@@ -533,6 +542,15 @@ def _blocks(batches):
         yield near(rows)
 
 
+def indexed(heads: DataFrame, work: Work) -> DataFrame:
+    """(u, v) of the sets (name, fp) that the index links: each with the smallest of its fingerprint, and those with each other."""
+    fps = work.save(heads.groupBy("fp").agg(F.min("name").alias("least")), "fps")
+    same = heads.join(fps, "fp").where("name <> least").select(F.col("name").alias("u"), F.col("least").alias("v"))
+    side = lambda x: fps.select(F.col("fp").alias(x), F.col("least").alias(f"of_{x}"))
+    near = links(fps.select(F.lit(0).alias("tab"), "fp"), work).join(side("u"), "u").join(side("v"), "v")
+    return same.unionByName(near.select(F.col("of_u").alias("u"), F.col("of_v").alias("v"))).distinct()
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(id) of the rows of docs (id, text) that an earlier one makes superfluous.
 
@@ -540,8 +558,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     work, n = Work(docs.sparkSession, "nearcopies"), partitions(docs.sparkSession)
     docs = docs.select("id", "text")
-    told = work.save(docs.transform(arrow, _named(n), "id long, name long, kind int, bucket int, blob binary"), "told")
-    rows = work.save(told.where("blob is null").select("id", "name"), "rows")
+    told = work.save(docs.transform(arrow, _named(n), "id long, name long, fp long, kind int, bucket int, blob binary"), "told")
+    rows = work.save(told.where("blob is null").select("id", "name", "fp"), "rows")
     often = exchange(told.where("blob is not null").select("kind", "bucket", "blob"), n).transform(arrow, _often(n), "key long, n long")
     # at most COMMON numbers; any set of them gives the same pairs
     common = np.sort(np.array([r[0] for r in often.orderBy(F.desc("n"), "key").limit(COMMON).select("key").collect()], np.int64).view(np.uint64))
@@ -556,8 +574,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     least = work.save(crowds.groupBy("bucket").agg(F.min("name").alias("least"), F.count("*").alias("size")), "crowds")
     stars = crowds.join(least, "bucket").where("name <> least").select(F.col("name").alias("u"), F.col("least").alias("v"))
     pairs = work.save(pairs.unionByName(stars).distinct(), "pairs")
-    names = pairs.select(F.col("u").alias("name")).unionByName(pairs.select(F.col("v").alias("name"))).distinct()
-    heads = work.save(rows.groupBy("name").agg(F.min("id").alias("first")), "heads")
+    heads = work.save(rows.groupBy("name").agg(F.min("id").alias("first"), F.min("fp").alias("fp")), "heads")
+    index = work.save(indexed(heads.where("fp is not null").select("name", "fp"), work), "indexed")
+    both = pairs.unionByName(index)
+    names = both.select(F.col("u").alias("name")).unionByName(both.select(F.col("v").alias("name"))).distinct()
     wanted = work.save(heads.join(names, "name", "left_semi"), "wanted")
     texts = docs.join(wanted.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
     sets = texts.transform(arrow, _sets, "name long, n long, bits binary, shingles array<long>").join(wanted.select("name"), "name", "left_semi")
@@ -569,12 +589,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
     def label(x: str, of: DataFrame) -> DataFrame:
         return of.select(F.col("u").alias(x), F.col("v").alias(f"of_{x}"))
 
+    def apart_in(of: DataFrame, pairs: DataFrame) -> DataFrame:
+        return pairs.join(label("u", of), "u", "left").join(label("v", of), "v", "left").where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v")
+
+    near = checked(index, "near")
+    pairs = apart_in(components(near, work, "near"), pairs)
     possible = _beside(pairs, sets, "n", "bits").select("u", "v", "nu", "nv", "bu", "bv").transform(arrow, _possible, "u long, v long")
     possible = work.save(possible.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "possible")
     # a group of copies has few members and many pairs: most are linked to one text once each met the smallest of its partners
     first = checked(possible.groupBy("u").agg(F.min("v").alias("v")), "first")
-    apart = possible.join(label("u", first), "u", "left").join(label("v", first), "v", "left").where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v")
-    edges = work.save(first.unionByName(checked(apart, "second")).distinct(), "edges")
+    edges = work.save(near.unionByName(first).unionByName(checked(apart_in(first, possible), "second")).distinct(), "edges")
     roots = components(edges, work, "found")
 
     # crowded buckets with several components: bit maps of all members, block by block

@@ -551,3 +551,20 @@ def test_passages_that_share_a_short_gram_are_not_shipped():
     # only the passage of 70 bytes can hold a string of 50 twice
     assert sum(n for d, n in candidates.items() if d < 100) < 40
     assert {100, 101} <= candidates.keys() | removed
+
+
+def test_near_copies_meet_in_the_index(spark, monkeypatch):
+    rng, found, links = random.Random(14), [], simhash.links
+    say = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n)]
+    texts = [say(600) for _ in range(20)]
+    copies = [" ".join([*w[:300], "changed", *w[301:]]) for w in texts]
+
+    def kept(fps, work):
+        out = links(fps, work)
+        found.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "links", kept)
+    texts = [" ".join(w) for w in texts] + copies
+    assert left_of(spark, texts) == kept_brute(texts) == set(range(20))
+    assert len(found) == 1 and found[0] > 0
