@@ -29,9 +29,10 @@ gives the pairs with its smallest text.  A bit map of each set, in which each sh
 bit, bounds from below in how many shingles a pair differs; pairs that differ in too many go.
 Of the others, each text is compared with the smallest of its partners on all shingles,
 then those pairs that are not linked to one text yet.  In buckets of more than CROWD that
-still have several components, the bit maps of all members meet, in blocks of ``BLOCK``,
-and what is left of their pairs is compared too.  So no link is lost, and copies, however
-many, cost a comparison each.
+still have several components, the bit maps of all members meet, in blocks of ``BLOCK``;
+the members with a possible partner bring their shingles to the same blocks, which compare
+pairs until their members are linked and return the links that join two components, not
+the pairs.  So no link is lost, and copies, however many, cost a comparison each.
 
 Cases.  Null and empty texts have fingerprint zero and link like any other; null
 ids are ignored when the smallest id is chosen, and a component with null ids only
@@ -274,8 +275,8 @@ def digest(docs: DataFrame) -> DataFrame:
 WORDS, ALIKE, CROWD, BLOCK = 5, 0.8, 16, 4096
 #: A common shingle is in OFTEN texts or more; at most COMMON of them are told apart; shingles counted at once; parts of a bucket.
 OFTEN, COMMON, COUNTED, PARTS = 16, 500_000, 1 << 21, 16
-#: Bits of the map of a shingle set.
-MAP = 2048
+#: Bits of the map of a shingle set; most shingles of a block; buckets that a set knows itself to be in.
+MAP, HELD, LOW = 2048, 1 << 22, 32
 
 
 def _hashes(words: list[bytes], hash64, width: int) -> np.ndarray:
@@ -501,45 +502,69 @@ def _beside(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     return pairs.join(side("v"), "v").join(side("u"), "u")
 
 
-def _blocks(batches):
-    """(u, v) of the pairs of different labels that can be near copies, in each block pair of a partition that is sorted by (bucket, i, j).
+def _met(rows, exact: bool):
+    """Of a block pair, the members with a possible partner of another label; exact: the links (u, v) that join labels.
 
-    Rows (bucket, i, j, block, name, label, n, bits): members of blocks i and j, which meet each other.
+    A pair meets in the first bucket that both know of, whatever others they share.
     """
-
-    def near(rows):
-        block, name, label, n = (np.concatenate(x) for x in list(zip(*rows))[:4])
-        maps = np.frombuffer(b"".join(b for r in rows for b in r[4]), np.uint64).reshape(len(name), -1)
-        i, j = rows[0][5]
-        order = np.argsort(n, kind="stable")
-        block, name, label, n, maps = (x[order] for x in (block, name, label, n, maps))
-        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in range(len(name)):
-            # larger sets up to those that are too large
-            at = np.arange(k + 1, np.searchsorted(n, n[k] / ALIKE + 1e-9, "right"))
-            at = at[(label[at] != label[k]) & ((i == j) | (block[at] != block[k]))]
-            most = n[k] + n[at] - 2 * np.ceil(ALIKE / (1 + ALIKE) * (n[k] + n[at]) - 1e-9)
-            for words in (slice(0, 4), slice(0, None)):  # a part of the map first
-                fits = np.bitwise_count(maps[at, words] ^ maps[k, words]).sum(axis=1, dtype=np.int64) <= most
-                at, most = at[fits], most[fits]
-            us.append(np.full(len(at), name[k]))
-            vs.append(name[at])
-        u, v = np.concatenate(us), np.concatenate(vs)
+    block, name, label, n = (np.concatenate(x) for x in list(zip(*rows))[:4])
+    maps = np.frombuffer(b"".join(b for r in rows for b in r[4]), np.uint64).reshape(len(name), -1)
+    low, sets = ([s for r in rows for s in r[c]] for c in (5, 6))
+    bucket, i, j = rows[0][7]
+    low = [{x for x in own.tolist() if x < bucket} for own in low]
+    order = np.argsort(n, kind="stable")
+    block, name, label, n, maps = (x[order] for x in (block, name, label, n, maps))
+    _, group = np.unique(label, return_inverse=True)
+    hit, us, vs = np.zeros(len(name), bool), [], []
+    for k in range(len(name)):
+        # larger sets up to those that are too large
+        at = np.arange(k + 1, np.searchsorted(n, n[k] / ALIKE + 1e-9, "right"))
+        at = at[(group[at] != group[k]) & ((i == j) | (block[at] != block[k]))]
+        most = n[k] + n[at] - 2 * np.ceil(ALIKE / (1 + ALIKE) * (n[k] + n[at]) - 1e-9)
+        for words in (slice(0, 4), slice(0, None)):  # a part of the map first
+            fits = np.bitwise_count(maps[at, words] ^ maps[k, words]).sum(axis=1, dtype=np.int64) <= most
+            at, most = at[fits], most[fits]
+        at = np.array([m for m in at.tolist() if low[order[k]].isdisjoint(low[order[m]])], np.int64)
+        if exact:
+            for m in at.tolist():
+                if group[m] != group[k] and alike(sets[order[k]], sets[order[m]]):
+                    us.append(name[k])
+                    vs.append(name[m])
+                    group[group == group[m]] = group[k]
+        elif len(at):
+            hit[k] = True
+            hit[at] = True
+    if exact:
+        u, v = np.array(us, np.int64), np.array(vs, np.int64)
         return pa.record_batch([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+    held = int(hit.sum())
+    return pa.record_batch([pa.array(np.full(held, x)) for x in (bucket, i, j)] + [pa.array(x[hit]) for x in (block, name, label)], names=["bucket", "i", "j", "block", "name", "label"])
 
-    key, rows = None, []
-    for batch in batches:
-        bucket, i, j = (batch.column(c).to_numpy() for c in ("bucket", "i", "j"))
-        first = run_starts(bucket, i, j)
-        for a, b in zip(first.tolist(), np.append(first[1:], batch.num_rows).tolist()):
-            now = (bucket[a], i[a], j[a])
-            if now != key and rows:
-                yield near(rows)
-                rows = []
-            key = now
-            rows.append((*(batch.column(c).slice(a, b - a).to_numpy() for c in ("block", "name", "label", "n")), batch.column("bits").slice(a, b - a).to_pylist(), now[1:]))
-    if rows:
-        yield near(rows)
+
+def _blocks(exact: bool):
+    """_met of each block pair in a partition that is sorted by (bucket, i, j).
+
+    Rows (bucket, i, j, block, name, label, n, bits, low, and shingles if exact): members of blocks i and j, which meet each other.
+    """
+
+    def run(batches):
+        key, rows = None, []
+        for batch in batches:
+            bucket, i, j = (batch.column(c).to_numpy() for c in ("bucket", "i", "j"))
+            first = run_starts(bucket, i, j)
+            for a, b in zip(first.tolist(), np.append(first[1:], batch.num_rows).tolist()):
+                now = (bucket[a], i[a], j[a])
+                if now != key and rows:
+                    yield _met(rows, exact)
+                    rows = []
+                key = now
+                part = batch.slice(a, b - a)
+                sets = _split(part.column("shingles")) if exact else []
+                rows.append((*(part.column(c).to_numpy() for c in ("block", "name", "label", "n")), part.column("bits").to_pylist(), _split(part.column("low")), sets, now))
+        if rows:
+            yield _met(rows, exact)
+
+    return run
 
 
 def indexed(heads: DataFrame, work: Work) -> DataFrame:
@@ -604,12 +629,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
     # crowded buckets with several components: bit maps of all members, block by block
     held = crowds.join(roots.select(F.col("u").alias("name"), F.col("v").alias("root")), "name", "left").select("bucket", "name", F.coalesce("root", "name").alias("label"))
     mixed = held.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
-    open_ = held.join(mixed, "bucket", "left_semi").join(least.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket")
-    placed = open_.withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")).join(sets.select("name", "n", "bits"), "name")
+    open_ = work.save(held.join(mixed, "bucket", "left_semi").join(sets.select("name", "n", "bits"), "name"), "open")
+    blocks = open_.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / HELD)).cast("int").alias("blocks"))
+    low = open_.groupBy("name").agg(F.slice(F.array_sort(F.collect_set("bucket")), 1, LOW).alias("low"))
+    placed = open_.join(blocks, "bucket").join(low, "name").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.select("bucket", "block", "name", "label", "n", "bits", other.alias("k")).select("bucket", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "name", "label", "n", "bits")
-    more = dealt.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").transform(arrow, _blocks, "u long, v long")
-    late = checked(work.save(more.distinct(), "late"), "third")
+    member = ["block", "name", "label", "n", "bits", "low"]
+    dealt = placed.select("bucket", *member, other.alias("k")).select("bucket", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), *member)
+    place = ["bucket", "i", "j"]
+    meeting = lambda rows, exact, kind: rows.repartition(n, *place).sortWithinPartitions(*place).transform(arrow, _blocks(exact), kind)
+    few = work.save(meeting(dealt, False, "bucket long, i int, j int, block int, name long, label long"), "few")
+    late = work.save(meeting(few.join(sets, "name").join(low, "name").select(*place, *member, "shingles"), True, "u long, v long").distinct(), "late")
     if not late.isEmpty():
         roots = components(work.save(edges.unionByName(late).distinct(), "all"), work, "all")
 

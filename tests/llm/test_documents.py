@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -553,6 +554,23 @@ def test_passages_that_share_a_short_gram_are_not_shipped():
     assert {100, 101} <= candidates.keys() | removed
 
 
+def test_members_of_crowded_buckets_return_links_not_pairs(spark, monkeypatch):
+    rng, rows, save = random.Random(13), {}, Work.save
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(5, 9))) for _ in range(n))
+    parts = [say(1300) for _ in range(8)]
+    # any two share four of six parts at most, but their bit maps are too full to tell
+    texts = [" ".join(parts[i] for i in of) for of in itertools.combinations(range(8), 5)]
+
+    def counted(work, df, table):
+        out = save(work, df, table)
+        rows[table] = out.count()
+        return out
+
+    monkeypatch.setattr(Work, "save", counted)
+    assert len(left_of(spark, texts)) == len(texts)
+    assert rows["late"] <= len(texts)
+
+
 def test_near_copies_meet_in_the_index(spark, monkeypatch):
     rng, found, links = random.Random(14), [], simhash.links
     say = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n)]
