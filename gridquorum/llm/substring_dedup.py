@@ -209,6 +209,8 @@ def _beside(e: dict) -> np.ndarray:
     """Whether another phrase has the trigger and a gram beside it, for entries sorted by (h, name)."""
     out = np.zeros(len(e["h"]), bool)
     at = np.flatnonzero(_shared(e["h"], e["name"])[0] > 0)
+    if not len(at):
+        return out
     for side in (e["side"][at] >> np.uint32(16), e["side"][at] & np.uint32(0xFFFF)):
         key = e["h"][at].astype(np.uint64) << _U(16) | side
         order = np.argsort(key, kind="stable")  # names stay in order

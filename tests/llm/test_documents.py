@@ -586,3 +586,8 @@ def test_near_copies_meet_in_the_index(spark, monkeypatch):
     texts = [" ".join(w) for w in texts] + copies
     assert left_of(spark, texts) == kept_brute(texts) == set(range(20))
     assert len(found) == 1 and found[0] > 0
+
+
+def test_a_bucket_without_a_shared_trigger():
+    e = {"h": np.array([1, 2], np.uint32), "name": np.array([5, 6], np.uint64), "side": np.zeros(2, np.uint32)}
+    assert substring_dedup._beside(e).tolist() == [False, False]
