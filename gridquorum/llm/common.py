@@ -48,26 +48,39 @@ class Work:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.tables: set[str] = set()
         Work.live.append(self)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def save(self, df: DataFrame, table: str) -> DataFrame:
+    @contextlib.contextmanager
+    def saving(self):
+        """Settings for what is made and run inside: see ``_SAVING``."""
         before = {key: self.spark.conf.get(key, None) for key in _SAVING}
         try:
             for key, value in _SAVING.items():
                 self.spark.conf.set(key, value)
-            df.write.option("compression", "zstd").parquet(self.path(table))
+            yield
         finally:
             for key, value in before.items():
                 self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)
+
+    def save(self, df: DataFrame, table: str) -> DataFrame:
+        with self.saving():
+            df.write.option("compression", "zstd").parquet(self.path(table))
+        self.tables.add(table)
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def drop(self, *tables: str) -> None:
         """Delete tables that nothing reads any more."""
         for table in tables:
             self._delete(self.path(table))
+        self.tables -= set(tables)
+
+    def keep(self, *tables: str) -> None:
+        """Delete all tables but these."""
+        self.drop(*sorted(self.tables - set(tables)))
 
     def close(self) -> None:
         """Delete the folder: no result that reads from it is needed any more."""

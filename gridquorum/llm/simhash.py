@@ -587,7 +587,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     rows = work.save(told.where("blob is null").select("id", "name", "fp"), "rows")
     often = exchange(told.where("blob is not null").select("kind", "bucket", "blob"), n).transform(arrow, _often(n), "key long, n long")
     # at most COMMON numbers; any set of them gives the same pairs
-    common = np.sort(np.array([r[0] for r in often.orderBy(F.desc("n"), "key").limit(COMMON).select("key").collect()], np.int64).view(np.uint64))
+    with work.saving():
+        common = np.sort(np.array([r[0] for r in often.orderBy(F.desc("n"), "key").limit(COMMON).select("key").collect()], np.int64).view(np.uint64))
     work.drop("told")
     tokens = docs.transform(arrow, _prefixes(common, n), "token long, name long, n int")
     met = work.save(tokens.repartition(n, "token").sortWithinPartitions("token").transform(arrow, _buckets, "u long, v long, nu long, nv long, c long"), "met")
@@ -601,12 +602,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
     pairs = work.save(pairs.unionByName(stars).distinct(), "pairs")
     heads = work.save(rows.groupBy("name").agg(F.min("id").alias("first"), F.min("fp").alias("fp")), "heads")
     index = work.save(indexed(heads.where("fp is not null").select("name", "fp"), work), "indexed")
+    work.keep("rows", "met", "pairs", "heads", "indexed")
     both = pairs.unionByName(index)
     names = both.select(F.col("u").alias("name")).unionByName(both.select(F.col("v").alias("name"))).distinct()
     wanted = work.save(heads.join(names, "name", "left_semi"), "wanted")
     texts = docs.join(wanted.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
     sets = texts.transform(arrow, _sets, "name long, n long, bits binary, shingles array<long>").join(wanted.select("name"), "name", "left_semi")
     sets = work.save(sets.dropDuplicates(["name"]), "sets")
+    work.drop("wanted")
 
     def checked(pairs: DataFrame, table: str) -> DataFrame:
         return work.save(_beside(pairs, sets, "shingles").select("u", "v", "su", "sv").transform(arrow, _verified, "u long, v long"), table)
@@ -625,11 +628,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
     first = checked(possible.groupBy("u").agg(F.min("v").alias("v")), "first")
     edges = work.save(near.unionByName(first).unionByName(checked(apart_in(first, possible), "second")).distinct(), "edges")
     roots = components(edges, work, "found")
+    work.keep("rows", "met", "heads", "sets", "edges", *[t for t in work.tables if t.startswith("foundstars")])
 
     # crowded buckets with several components: bit maps of all members, block by block
     held = crowds.join(roots.select(F.col("u").alias("name"), F.col("v").alias("root")), "name", "left").select("bucket", "name", F.coalesce("root", "name").alias("label"))
     mixed = held.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
     open_ = work.save(held.join(mixed, "bucket", "left_semi").join(sets.select("name", "n", "bits"), "name"), "open")
+    work.drop("met")
     blocks = open_.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / HELD)).cast("int").alias("blocks"))
     low = open_.groupBy("name").agg(F.slice(F.array_sort(F.collect_set("bucket")), 1, LOW).alias("low"))
     placed = open_.join(blocks, "bucket").join(low, "name").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
@@ -640,13 +645,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
     meeting = lambda rows, exact, kind: rows.repartition(n, *place).sortWithinPartitions(*place).transform(arrow, _blocks(exact), kind)
     few = work.save(meeting(dealt, False, "bucket long, i int, j int, block int, name long, label long"), "few")
     late = work.save(meeting(few.join(sets, "name").join(low, "name").select(*place, *member, "shingles"), True, "u long, v long").distinct(), "late")
+    work.drop("sets", "open", "few")
     if not late.isEmpty():
         roots = components(work.save(edges.unionByName(late).distinct(), "all"), work, "all")
 
     named = roots.select(F.col("u").alias("name"), F.col("v").alias("root"))
     labelled = work.save(heads.join(named, "name", "left").select("name", "first", F.coalesce("root", "name").alias("root")), "labelled")
     kept = labelled.join(labelled.groupBy("root").agg(F.min("first").alias("kept")), "root").select("name", "kept")
-    return rows.join(kept, "name").where("id <> kept").select("id").distinct()
+    gone = work.save(rows.join(kept, "name").where("id <> kept").select("id").distinct(), "gone")
+    work.keep("gone")  # a stage that follows has the disk for itself
+    return gone
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

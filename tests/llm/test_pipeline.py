@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib.util
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +63,15 @@ def test_near_duplicates_against_all_pairs(spark, pipeline):
     assert got == want and len(want) < len(ids)
 
 
+def test_near_duplicates_leave_the_disk_to_the_next_stage(spark, pipeline, docs):
+    from gridquorum.llm.common import Work
+
+    before = list(Work.live)
+    out = pipeline.near_duplicates(spark, docs, SF)
+    left = [t for w in Work.live if w not in before for t in os.listdir(w.root.removeprefix("file://"))]
+    assert left == ["gone"] and 0 < out.count() < docs.count()
+
+
 def test_repeated_text_against_all_strings(spark, pipeline, docs):
     rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
     first: dict[bytes, int] = {}
