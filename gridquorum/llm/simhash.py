@@ -275,6 +275,8 @@ def digest(docs: DataFrame) -> DataFrame:
 WORDS, ALIKE, CROWD, BLOCK = 5, 0.8, 16, 4096
 #: A common shingle is in OFTEN texts or more; at most COMMON of them are told apart; shingles counted at once; parts of a bucket.
 OFTEN, COMMON, COUNTED, PARTS = 16, 500_000, 1 << 21, 16
+#: Most ids of superfluous texts that rows get by broadcast.
+GONE = 500_000
 #: Bits of the map of a shingle set; most shingles of a block; buckets that a set knows itself to be in.
 MAP, HELD, LOW = 2048, 1 << 22, 32
 
@@ -662,5 +664,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     # in a struct no other column can clash with a name used here
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
     gone = near_copies(rows.where("id is not null").select("id", "text"))
+    # few enough ids go by broadcast: else every text is shuffled, and lies on disk until the driver collects its garbage
+    gone = F.broadcast(gone) if gone.count() <= GONE else gone
     kept = rows.join(gone, "id", "left_anti")
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -72,6 +72,24 @@ def test_near_duplicates_leave_the_disk_to_the_next_stage(spark, pipeline, docs)
     assert left == ["gone"] and 0 < out.count() < docs.count()
 
 
+def test_near_duplicates_go_with_and_without_a_shuffle_of_the_texts(spark, pipeline, monkeypatch):
+    from gridquorum.llm import simhash
+
+    text = " ".join(f"word{k}" for k in range(50))
+    rows = spark.createDataFrame([(7, text), (3, text), (None, text), (5, "other words"), (5, None)], "doc_id long, text string")
+    want = [(False, 3), (False, 5), (False, 5), (True, 0)]
+    for most, join in ((simhash.GONE, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+        monkeypatch.setattr(simhash, "GONE", most)
+        if not most:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        try:
+            out = pipeline.near_duplicates(spark, rows, SF)
+            assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect()) == want
+            assert join in out._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_repeated_text_against_all_strings(spark, pipeline, docs):
     rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
     first: dict[bytes, int] = {}
